@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanlake.functions.text import let
@@ -48,6 +48,15 @@ def running_starts(lengths: Column) -> Column:
     return let(lengths.cast("array<int>"), lambda values: let(blocks(values), assemble))
 
 
+def explode_rows(df: DataFrame, array: Column, *keep, names: tuple[str, str] = ("pos", "item")) -> DataFrame:
+    """One row per array element with its position.
+
+    The outer form keeps the optimizer from adding a size filter that would evaluate ``array`` again.
+    """
+    pos, item = names
+    return df.select(*keep, F.posexplode_outer(array).alias(pos, item)).where(F.col(pos).isNotNull())
+
+
 def python_round(value: Column, digits: int) -> Column:
     """Round half to even on the decimal text of the double, the closest match to Python's round."""
     return F.bround(value, digits)

@@ -136,19 +136,21 @@ def _marked(text: Column, with_sections: bool) -> Column:
 def sentence_array(text: Column, with_sections: bool = False) -> Column:
     """Array of (start_char, end_char, raw_text[, at_line_start, section_pos]) in text order."""
     source = F.coalesce(text, F.lit(""))
-    odd = source.rlike(f"[{_MARKERS}]")
+    # The original text, carried along only if it holds a marker character of its own.
+    original = F.when(source.rlike(f"[{_MARKERS}]"), source)
 
-    def assemble(pieces: Column) -> Column:
+    def assemble(pieces: Column, original: Column) -> Column:
         plain = F.transform(pieces, lambda p: _without(p, _LINE, _HEADER)) if with_sections else pieces
         starts = running_starts(F.transform(plain, F.length))
         if with_sections:
             seen = running_starts(F.transform(pieces, lambda p: F.length(p) - F.length(_without(p, _HEADER))))
         else:
             seen = F.transform(pieces, lambda p: F.lit(0))
-        rows = F.zip_with(F.arrays_zip(pieces.alias("piece"), starts.alias("start")), seen, _row)
+        entries = F.zip_with(pieces, starts, lambda p, s: F.struct(p.alias("piece"), s.alias("start")))
+        rows = F.zip_with(entries, seen, lambda e, h: _row(e, h, original))
         return F.filter(rows, lambda r: r["end_char"] > r["start_char"])
 
-    def _row(entry: Column, headers_before: Column) -> Column:
+    def _row(entry: Column, headers_before: Column, original: Column) -> Column:
         piece, start = entry["piece"], entry["start"]
         lead_marked = F.regexp_extract(piece, rf"^[\s\x1c-\x1f\x85\p{{Z}}{_LINE}{_HEADER}]*", 0)
 
@@ -158,7 +160,7 @@ def sentence_array(text: Column, with_sections: bool = False) -> Column:
             fields = [
                 first.alias("start_char"),
                 (first + F.length(raw)).alias("end_char"),
-                F.when(odd, F.substring(source, first + 1, F.length(raw))).otherwise(raw).alias("raw_text"),
+                F.coalesce(F.substring(original, first + 1, F.length(raw)), raw).alias("raw_text"),
             ]
             if with_sections:
                 here = F.length(lead) - F.length(_without(lead, _HEADER))
@@ -170,7 +172,8 @@ def sentence_array(text: Column, with_sections: bool = False) -> Column:
 
         return let(F.struct(lead_marked.alias("lead"), strip(_without(piece, _LINE, _HEADER)).alias("raw")), build)
 
-    return let(F.split(_marked(source, with_sections), _CUT), assemble)
+    pieces = F.split(_marked(source, with_sections), _CUT)
+    return let(pieces, lambda p: let(original, lambda o: assemble(p, o)))
 
 
 def section_headers(text: Column) -> Column:
@@ -190,7 +193,8 @@ def sentence_spans(documents: DataFrame, text: str = "text", carry_forward: bool
         section_headers(F.col(text)).alias("headers"),
         sentence_array(F.col(text), with_sections=True).alias("found"),
     )
-    rows = found.select("document_row_id", "headers", F.posexplode("found").alias("sentence_index", "s"))
+    rows = found.select("document_row_id", "headers", F.posexplode_outer("found").alias("sentence_index", "s"))
+    rows = rows.where(F.col("s").isNotNull())
     known = F.lit(True) if carry_forward else F.col("s.at_line_start")
     section = F.when(known & (F.col("s.section_pos") > 0), F.get("headers", F.col("s.section_pos") - 1))
     rows = rows.select(
@@ -217,4 +221,4 @@ def split_texts(rows: DataFrame, text: str, keep: list[str], position: str = "pi
     pieces = F.transform(sentence_array(F.col(text)), lambda s: s["raw_text"])
     whole = strip(F.coalesce(F.col(text), F.lit("")))
     pieces = let(pieces, lambda p: F.when((F.size(p) == 0) & (whole != ""), F.array(whole)).otherwise(p))
-    return rows.select(*keep, F.posexplode(pieces).alias(position, "piece"))
+    return rows.select(*keep, F.posexplode_outer(pieces).alias(position, "piece")).where(F.col("piece").isNotNull())
