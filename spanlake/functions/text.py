@@ -13,11 +13,18 @@ NOT_WS = r"[^\s\x1c-\x1f\x85\p{Z}]"
 LINE_END = r"(?<=[\n\x0b\x0c\x1c-\x1e\x85\u2028\u2029])|(?<=\r)(?!\n)"
 
 # Typographic characters and their ASCII stand-ins.
-_TYPOGRAPHIC = "\u00a0\u2018\u2019\u201c\u201d\u2013\u2014"
-_PLAIN = " ''\"\"--"
+_PLAIN_FOR = {
+    "\u00a0": " ",
+    "\u2018": "'",
+    "\u2019": "'",
+    "\u201c": '"',
+    "\u201d": '"',
+    "\u2013": "-",
+    "\u2014": "-",
+}
 
 # ASCII punctuation removed before answers are compared.
-PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+PUNCTUATION = r"[!-/:-@\[-`{-~]"
 
 # Texts that mean "the document has no answer".
 NO_ANSWER = "NO_ANSWER"
@@ -61,7 +68,9 @@ def split_lines(c: Column | str, keep_ends: bool = True) -> Column:
 
 def normalize_sentence(c: Column | str) -> Column:
     """Typographic characters to ASCII, whitespace collapsed, none left before punctuation."""
-    plain = F.translate(F.coalesce(_col(c), F.lit("")), _TYPOGRAPHIC, _PLAIN)
+    plain = F.coalesce(_col(c), F.lit(""))
+    for typographic, ascii_form in _PLAIN_FOR.items():  # byte searches; translate would walk every character
+        plain = F.replace(plain, F.lit(typographic), F.lit(ascii_form))
     return F.regexp_replace(collapse(plain), r" ([,.;:!?])", "$1")
 
 
@@ -121,7 +130,7 @@ def multiset_overlap(left: Column, right: Column) -> Column:
 
 def normalize_answer(c: Column | str) -> Column:
     """Lower case, no ASCII punctuation, no articles, single blanks."""
-    bare = F.translate(F.lower(F.coalesce(_col(c), F.lit(""))), PUNCTUATION, "")
+    bare = F.regexp_replace(F.lower(F.coalesce(_col(c), F.lit(""))), PUNCTUATION, "")
     return collapse(F.regexp_replace(bare, r"(?U)\b(?:a|an|the)\b", " "))
 
 

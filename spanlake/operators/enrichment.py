@@ -8,6 +8,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from spanlake.functions.arrays import explode_rows
 from spanlake.functions.text import joined_nonblank, normalize_sentence, strip, term_counts, words
@@ -57,7 +58,7 @@ def enriched_query(question: Column | str, terms: Column | str) -> Column:
     return joined_nonblank(question, F.lit(HINT_LABEL), terms)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def enrichment_key(index: pd.Series, category: pd.Series, question: pd.Series, description: pd.Series) -> pd.Series:
     """sha256 of the canonical JSON of a question (sorted keys, ASCII escapes)."""
     names = ("question_index", "category", "question", "category_description")

@@ -89,18 +89,19 @@ def row_ids(df: DataFrame) -> DataFrame:
 def stratified_split(rows: DataFrame, generator_size: int = 20, evaluator_size: int = 20) -> DataFrame:
     """Split per category by row id: generator rows, evaluator rows, the rest held out.
 
-    Only the first ``generator_size + evaluator_size`` rows of a category decide anything, and that limit is
+    Only one row more than ``generator_size + evaluator_size`` of a category decides anything; that limit is
     applied inside each task before the shuffle; a category with a third of all rows is never sorted whole.
     Small categories (count within the limit) give half to the generator and nothing to the holdout.
     """
     cap = generator_size + evaluator_size
     order = W.partitionBy("category").orderBy("row_id")
-    head = rows.select("category", "row_id").withColumn("place", F.row_number().over(order)).where(F.col("place") <= cap)
+    head = rows.select("category", "row_id").withColumn("place", F.row_number().over(order)).where(F.col("place") <= cap + 1)
     head = head.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("category")))
-    generator = F.when(F.col("n") < cap, F.greatest(F.lit(1), F.floor(F.col("n") / 2))).otherwise(
-        F.least(F.lit(generator_size), F.lit(cap))
-    )
-    labels = head.select(
-        "category", "row_id", F.when(F.col("place") <= generator, "generator_dev").otherwise("evaluator_dev").alias("split")
+    generator = F.when(F.col("n") <= cap, F.greatest(F.lit(1), F.floor(F.col("n") / 2))).otherwise(F.lit(generator_size))
+    split = (
+        F.when(F.col("place") > cap, "holdout_eval")
+        .when(F.col("place") <= generator, "generator_dev")
+        .otherwise("evaluator_dev")
     )
+    labels = head.select("category", "row_id", split.alias("split"))
     return rows.join(labels, ["category", "row_id"], "left").withColumn("split", F.coalesce("split", F.lit("holdout_eval")))

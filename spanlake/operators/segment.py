@@ -87,16 +87,26 @@ def line_section(line: Column) -> Column:
     return let(strip(line), detect)
 
 
+def may_announce_section(line: Column) -> Column:
+    """Cheap necessary condition of ``line_section``: starts with a number or keyword, or has no lower case."""
+    return line.rlike(rf"^[\s\x1c-\x1f\x85\p{{Z}}{_CUT}]*+(?:\p{{Nd}}|(?i:section|article))|^[^a-z]*+$")
+
+
 def _without(text: Column, *markers: str) -> Column:
-    return F.translate(text, "".join(markers), "")
+    for marker in markers:
+        text = F.replace(text, F.lit(marker), F.lit(""))
+    return text
 
 
 def _cut_headings(paragraph: Column) -> Column:
     """Mark the end of each leading heading line; the last line of a paragraph never counts as one."""
-    lead = F.regexp_extract(paragraph, f"^{WS}*", 0)
-    body = F.regexp_replace(paragraph, f"^{WS}+", "")
 
-    def mark(lines: Column) -> Column:
+    def mark_all(body: Column) -> Column:
+        trailing = F.regexp_extract(body, rf"[\s\x1c-\x1f\x85\p{{Z}}{_CUT}]*+\z", 0)
+        core = F.regexp_replace(body, rf"[\s\x1c-\x1f\x85\p{{Z}}{_CUT}]++\z", "")
+        return F.concat(let(F.split(core, LINE_END), mark_lines), trailing)
+
+    def mark_lines(lines: Column) -> Column:
         candidates = F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0)))
 
         def rebuild(stop: Column) -> Column:
@@ -107,30 +117,34 @@ def _cut_headings(paragraph: Column) -> Column:
         flags = F.transform(candidates, lambda line: is_heading(_without(line, _CUT)))
         return let(F.array_position(flags, False), rebuild)
 
-    trailing = F.regexp_extract(body, rf"[\s\x1c-\x1f\x85\p{{Z}}{_CUT}]*\z", 0)
-    core = F.regexp_replace(body, rf"[\s\x1c-\x1f\x85\p{{Z}}{_CUT}]+\z", "")
-    return F.concat(lead, let(F.split(core, LINE_END), mark), trailing, F.lit(_CUT))
+    # Most paragraphs do not begin with a heading; only those that do are taken apart.
+    def mark(body: Column) -> Column:
+        first = _without(F.regexp_extract(body, r"^[^\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]*+", 0), _CUT)
+        return F.when(is_heading(first), mark_all(body)).otherwise(body)
+
+    lead = F.regexp_extract(paragraph, f"^{WS}*+", 0)
+    return F.concat(lead, let(F.regexp_replace(paragraph, f"^{WS}++", ""), mark), F.lit(_CUT))
 
 
 def _marked(text: Column, with_sections: bool) -> Column:
-    safe = F.translate(text, _MARKERS, _STAND_IN * len(_MARKERS))
+    safe = text
+    for marker in _MARKERS:
+        safe = F.replace(safe, F.lit(marker), F.lit(_STAND_IN))
     cut = F.regexp_replace(safe, SENTENCE_END, "$0" + _CUT)
     paragraphs = F.split(F.regexp_replace(cut, _PARAGRAPH_BREAK, "$0" + _PARAGRAPH), _PARAGRAPH)
     joined = F.array_join(F.transform(paragraphs, _cut_headings), "")
     if not with_sections:
         return joined
+
     # Line starts, and lines that announce a section, get their own marks after any cut standing there.
-    return F.array_join(
-        F.transform(
-            F.split(joined, LINE_END),
-            lambda line: F.regexp_replace(
-                line,
-                f"^({_CUT}*)",
-                F.when(line_section(_without(line, _CUT)).isNotNull(), F.lit(f"$1{_LINE}{_HEADER}")).otherwise(F.lit(f"$1{_LINE}")),
-            ),
-        ),
-        "",
-    )
+    def mark_line(line: Column) -> Column:
+        header = may_announce_section(line) & line_section(_without(line, _CUT)).isNotNull()
+        mark = F.when(header, F.lit(_LINE + _HEADER)).otherwise(F.lit(_LINE))
+        return F.when(
+            line.startswith(_CUT), F.concat(F.regexp_extract(line, f"^{_CUT}*+", 0), mark, F.regexp_replace(line, f"^{_CUT}++", ""))
+        ).otherwise(F.concat(mark, line))
+
+    return F.array_join(F.transform(F.split(joined, LINE_END), mark_line), "")
 
 
 def sentence_array(text: Column, with_sections: bool = False) -> Column:
@@ -138,47 +152,59 @@ def sentence_array(text: Column, with_sections: bool = False) -> Column:
     source = F.coalesce(text, F.lit(""))
     # The original text, carried along only if it holds a marker character of its own.
     original = F.when(source.rlike(f"[{_MARKERS}]"), source)
+    lead_class = rf"^[\s\x1c-\x1f\x85\p{{Z}}{_LINE}{_HEADER}]*+"
 
-    def assemble(pieces: Column, original: Column) -> Column:
-        plain = F.transform(pieces, lambda p: _without(p, _LINE, _HEADER)) if with_sections else pieces
-        starts = running_starts(F.transform(plain, F.length))
-        if with_sections:
-            seen = running_starts(F.transform(pieces, lambda p: F.length(p) - F.length(_without(p, _HEADER))))
-        else:
-            seen = F.transform(pieces, lambda p: F.lit(0))
-        entries = F.zip_with(pieces, starts, lambda p, s: F.struct(p.alias("piece"), s.alias("start")))
-        rows = F.zip_with(entries, seen, lambda e, h: _row(e, h, original))
-        return F.filter(rows, lambda r: r["end_char"] > r["start_char"])
-
-    def _row(entry: Column, headers_before: Column, original: Column) -> Column:
-        piece, start = entry["piece"], entry["start"]
-        lead_marked = F.regexp_extract(piece, rf"^[\s\x1c-\x1f\x85\p{{Z}}{_LINE}{_HEADER}]*", 0)
+    def measure(piece: Column) -> Column:
+        """Lead (with marks), the rest without trailing white space and marks, lengths without marks."""
 
-        def build(pair: Column) -> Column:
-            lead, raw = pair["lead"], pair["raw"]
-            first = start + F.length(_without(lead, _LINE, _HEADER))
+        def parts(lead: Column) -> Column:
+            rest = F.substring(piece, F.length(lead) + 1, F.length(piece)) if not with_sections else _without(
+                F.substring(piece, F.length(lead) + 1, F.length(piece)), _LINE, _HEADER
+            )
+            bare = _without(lead, _LINE, _HEADER) if with_sections else lead
             fields = [
-                first.alias("start_char"),
-                (first + F.length(raw)).alias("end_char"),
-                F.coalesce(F.substring(original, first + 1, F.length(raw)), raw).alias("raw_text"),
+                F.length(bare).alias("lead"),
+                F.regexp_replace(rest, rf"{WS}++\z", "").alias("raw"),
+                (F.length(bare) + F.length(rest)).alias("n"),
             ]
             if with_sections:
-                here = F.length(lead) - F.length(_without(lead, _HEADER))
                 fields += [
+                    (F.length(lead) - F.length(_without(lead, _HEADER))).alias("headers_here"),
+                    (F.length(piece) - F.length(_without(piece, _HEADER))).alias("headers"),
                     lead.rlike(f"{_LINE}{_HEADER}?$").alias("at_line_start"),
-                    (headers_before + here).alias("section_pos"),
                 ]
             return F.struct(*fields)
 
-        return let(F.struct(lead_marked.alias("lead"), strip(_without(piece, _LINE, _HEADER)).alias("raw")), build)
+        return let(F.regexp_extract(piece, lead_class, 0), parts)
+
+    def place(entry: Column, start: Column, before: Column, original: Column) -> Column:
+        first, size = start + entry["lead"], F.length(entry["raw"])
+        fields = [
+            first.alias("start_char"),
+            (first + size).alias("end_char"),
+            F.coalesce(F.substring(original, first + 1, size), entry["raw"]).alias("raw_text"),
+        ]
+        if with_sections:
+            fields += [entry["at_line_start"].alias("at_line_start"), (before + entry["headers_here"]).alias("section_pos")]
+        return F.struct(*fields)
+
+    def assemble(entries: Column, original: Column) -> Column:
+        starts = running_starts(F.transform(entries, lambda e: e["n"]))
+        numbered = F.zip_with(entries, starts, lambda e, s: F.struct(e.alias("e"), s.alias("s")))
+        if with_sections:
+            before = running_starts(F.transform(entries, lambda e: e["headers"]))
+            rows = F.zip_with(numbered, before, lambda x, b: place(x["e"], x["s"], b, original))
+        else:
+            rows = F.transform(numbered, lambda x: place(x["e"], x["s"], F.lit(0), original))
+        return F.filter(rows, lambda r: r["end_char"] > r["start_char"])
 
-    pieces = F.split(_marked(source, with_sections), _CUT)
-    return let(pieces, lambda p: let(original, lambda o: assemble(p, o)))
+    entries = F.transform(F.split(_marked(source, with_sections), _CUT), measure)
+    return let(entries, lambda e: let(original, lambda o: assemble(e, o)))
 
 
 def section_headers(text: Column) -> Column:
     """Sections announced by the lines of a text, in order."""
-    lines = F.split(F.coalesce(text, F.lit("")), LINE_END)
+    lines = F.filter(F.split(F.coalesce(text, F.lit("")), LINE_END), may_announce_section)
     return F.filter(F.transform(lines, line_section), lambda s: s.isNotNull())
 
 
