@@ -153,22 +153,22 @@ def review_patches(patches: DataFrame) -> DataFrame:
     keep = lambda flag, message: F.when(flag, F.lit(message))
     requests = F.array_compact(
         F.array(
-            keep(verbatim & ~span_rule, "Add explicit exact-span extraction guidance."),
+            keep(verbatim & ~span_rule, "State that the exact span must be quoted."),
             keep(
                 verbatim & (F.lower("csv_answer_format") == "yes/no") & ~label_rule,
-                "Clarify that CSV Yes/No categories still require spans when gold answers are spans.",
+                "Say that a span is required although the category is listed as Yes/No.",
             ),
             keep(
                 F.col("yes_no_label_only") & ~label_rule,
-                "Clarify that this category is label-only because gold answers are Yes/No.",
+                "Say that the answer is a Yes/No label.",
             ),
-            keep(growth, "Reduce prompt length and keep only category-specific rules."),
+            keep(growth, "Shorten the prompt to the rules of this category."),
         )
     )
     risks = F.array_compact(
         F.array(
-            keep(growth, "Prompt bloat may dilute the extraction task."),
-            keep(F.col("false_positives") > 0, "False positives remain a risk for related clauses."),
+            keep(growth, "The longer prompt may distract from extraction."),
+            keep(F.col("false_positives") > 0, "Related clauses may still be quoted by mistake."),
         )
     )
 

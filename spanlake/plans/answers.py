@@ -21,21 +21,19 @@ from spanlake.sources.results import read_result_log
 def system_prompt() -> Column:
     """Default system prompt of a row from its question and category columns."""
     blank = F.lit("")
-    # The wording of the prompt.
-    return F.concat_ws(
-        "\n",
-        F.lit("You are a legal contract review assistant evaluating CUAD clauses."), blank,
-        F.lit("Task:"), F.coalesce("question", blank), blank,
-        F.lit("Category:"), F.coalesce("category", blank), blank,
-        F.lit("Category description:"), F.coalesce("category_description", blank), blank,
-        F.lit("Answer format:"), F.coalesce(F.nullif("answer_format", blank), F.lit("No fixed answer format")), blank,
-        F.lit("Instructions:"),
-        F.lit("- Read the provided contract title and contract text."),
-        F.lit("- Return exact answer text span(s) from the contract when present."),
-        F.lit("- Separate multiple answer spans with newlines."),
-        F.lit(f"- Return {NO_ANSWER} when the contract does not contain an answer."),
-        F.lit("- Set marked_impossible to true only when no answer is present."),
-    )
+    parts = {
+        "Question": F.coalesce("question", blank),
+        "Clause category": F.coalesce("category", blank),
+        "What the category means": F.coalesce("category_description", blank),
+        "Expected form of the answer": F.coalesce(F.nullif("answer_format", blank), F.lit("free form")),
+    }
+    rules = (
+        "Answer only with wording quoted from the contract you are given, one quotation per line. "
+        f"If the contract says nothing about the question, answer {NO_ANSWER} and set marked_impossible to true; "
+        "otherwise set it to false."
+    )
+    body = [F.concat(F.lit(f"{title}: "), value) for title, value in parts.items()]
+    return F.concat_ws("\n", F.lit("You review contracts and answer one question about each."), *body, F.lit(rules))
 
 
 def with_prompts(rows: DataFrame, prompts: DataFrame | None) -> DataFrame:
@@ -74,11 +72,9 @@ def model_predictions(rows: DataFrame, complete: Callable[[str, str], str], para
     """
     user = F.concat_ws(
         "\n\n",
-        F.concat(F.lit("Contract title:\n"), F.coalesce("title", F.lit(""))),
-        F.concat(F.lit("Contract text:\n"), F.coalesce("context", F.lit(""))),
-        F.concat(F.lit("Category:\n"), F.coalesce("category", F.lit(""))),
-        F.concat(F.lit("Category description:\n"), F.coalesce("category_description", F.lit(""))),
-        F.concat(F.lit("Answer format:\n"), F.coalesce("answer_format", F.lit(""))),
+        F.concat(F.lit("Title: "), F.coalesce("title", F.lit(""))),
+        F.concat(F.lit("Contract:\n"), F.coalesce("context", F.lit(""))),
+        F.concat(F.lit("Hint: "), F.nullif("hint_used", F.lit(""))) if "hint_used" in rows.columns else F.lit(None).cast("string"),
     )
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -126,13 +126,13 @@ def ordered_collect(spark, folder):
 
 @query(
     "union_merge",
-    """WITH u AS (SELECT event_id % 5000 AS row_id, value, 0 AS src, event_id AS seq FROM events WHERE event_type = 'click'
-                  UNION ALL SELECT event_id % 5000, value, 1, event_id FROM events WHERE event_type <> 'click')
+    """WITH u AS (SELECT event_id // 2 AS row_id, value, 0 AS src, event_id AS seq FROM events WHERE event_type = 'click'
+                  UNION ALL SELECT event_id // 2, value, 1, event_id FROM events WHERE event_type <> 'click')
        SELECT row_id, value, seq FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY src DESC, seq DESC) AS n FROM u) WHERE n = 1""",
 )
 def union_merge(spark, folder):
-    """Click events as the older result table, all other events as the newer one, keyed by a wrapped id."""
-    events = inputs.table(spark, folder, "events").select("event_type", (F.col("event_id") % 5000).alias("row_id"), "value", F.col("event_id").alias("seq"))
+    """Click events as the older result table, all other events as the newer one, keyed by pairs of ids."""
+    events = inputs.table(spark, folder, "events").select("event_type", F.floor(F.col("event_id") / 2).alias("row_id"), "value", F.col("event_id").alias("seq"))
     older = events.where("event_type = 'click'").drop("event_type")
     return merge_results(older, events.where("event_type <> 'click'").drop("event_type"))
 
