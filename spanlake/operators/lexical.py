@@ -82,7 +82,9 @@ def bm25_parts(chunks: DataFrame, queries: DataFrame, k1: float = K1, b: float =
     length = F.when(F.col("dl") == 0, 1).otherwise(F.col("dl"))
     mean = F.when(F.coalesce(avgdl, F.lit(0.0)) == 0, F.lit(1.0)).otherwise(avgdl)
     saturation = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * length / mean))
-    hits = postings(tokens).select(DOC, POS, "term", saturation.alias("gain"))
+    # Statistics cover the whole collection; postings are needed only for documents somebody asks about.
+    reachable = tokens.join(queries.select(DOC).distinct(), DOC, "left_semi")
+    hits = postings(reachable).select(DOC, POS, "term", saturation.alias("gain"))
     return weighted.join(hits, [DOC, "term"]).select(QUERY, DOC, POS, (F.col("weight") * F.col("gain")).alias("score"))
 
 

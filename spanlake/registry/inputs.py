@@ -18,7 +18,7 @@ from spanlake.functions.text import row_key
 from spanlake.operators.chunk import sentence_chunks
 from spanlake.operators.enrichment import base_query
 from spanlake.plans.stores import stored_recursive_chunks, stored_spans
-from spanlake.session import shared_folder
+from spanlake.session import cut_lineage, shared_folder
 
 _TOKEN = r"[\p{L}\p{N}]+"
 
@@ -102,7 +102,8 @@ def evaluation_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def search_queries(rows: DataFrame) -> DataFrame:
-    return rows.select(F.col("row_id").alias("query_id"), "document_row_id", base_query().alias("query"))
+    """Queries of the rows, stored once because every search reads them several times."""
+    return cut_lineage(rows.select(F.col("row_id").alias("query_id"), "document_row_id", base_query().alias("query")))
 
 
 def spans(spark: SparkSession, folder: str) -> DataFrame:
