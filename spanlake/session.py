@@ -18,6 +18,10 @@ _DEFAULTS = {
 }
 
 
+# Stand-in folders of local sessions, by application id.
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def build_session(app_name: str = "spanlake", master: str | None = None, **conf: str) -> SparkSession:
     """Create (or reuse) a session. ``master`` is left to spark-submit unless given."""
     builder = SparkSession.builder.appName(app_name)
@@ -42,9 +46,10 @@ def shared_folder(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="spanlake-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[application] = tempfile.mkdtemp(prefix="spanlake-")
+    return _LOCAL_FOLDERS[application]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

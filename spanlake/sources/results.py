@@ -72,7 +72,7 @@ def read_review_csv(spark: SparkSession, path: str) -> DataFrame:
 def cached_results(results: DataFrame, rows: DataFrame, model_id: str, order: list[str]) -> DataFrame:
     """Stored results of one model for the requested rows, last write per row."""
     mine = results.where(F.col("model_id") == model_id).join(rows.select("row_id").distinct(), "row_id", "left_semi")
-    return last_by_key(mine, ["row_id"], order)
+    return last_by_key(mine.select(*results.columns), ["row_id"], order)
 
 
 def read_result_log(spark: SparkSession, path: str, rows: DataFrame, model_id: str) -> DataFrame:
