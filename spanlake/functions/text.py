@@ -75,8 +75,12 @@ def normalize_sentence(c: Column | str) -> Column:
 
 
 def tokenize(c: Column | str) -> Column:
-    """ASCII word tokens of the normalised, lower-cased text (accented letters separate tokens)."""
-    return F.regexp_extract_all(F.lower(normalize_sentence(c)), F.lit(r"[A-Za-z0-9_]+"), F.lit(0))
+    """ASCII word tokens of the normalised, lower-cased text (accented letters separate tokens).
+
+    Normalisation only turns characters that separate tokens into other separators, so the tokens of the
+    text itself are the same and the work is left out.
+    """
+    return F.regexp_extract_all(F.lower(F.coalesce(_col(c), F.lit(""))), F.lit(r"[a-z0-9_]+"), F.lit(0))
 
 
 def unicode_tokens(c: Column | str) -> Column:

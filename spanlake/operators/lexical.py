@@ -9,7 +9,7 @@ pairing every query with every chunk.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -69,23 +69,33 @@ def sum_scores(*parts: DataFrame) -> DataFrame:
     return rows.groupBy(QUERY, DOC, POS).agg(F.sum("score").alias("score"))
 
 
-def bm25_parts(chunks: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """Partial score of every (query, term, chunk) that matches."""
-    tokens = chunk_terms(chunks)
-    stats = collection_stats(tokens)
+def _partial_scores(hits: DataFrame, terms: DataFrame, stats: DataFrame, queries: DataFrame, k1: float, b: float) -> DataFrame:
     n, avgdl = stats.select("n_chunks").scalar(), stats.select("avgdl").scalar()
     weighted = (
         query_terms(queries)
-        .join(document_frequencies(tokens), "term")
+        .join(terms, "term")
         .select(QUERY, DOC, "term", (F.col("qtf") * F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("weight"))
     )
     length = F.when(F.col("dl") == 0, 1).otherwise(F.col("dl"))
     mean = F.when(F.coalesce(avgdl, F.lit(0.0)) == 0, F.lit(1.0)).otherwise(avgdl)
     saturation = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * length / mean))
+    gains = hits.select(DOC, POS, "term", saturation.alias("gain"))
+    return weighted.join(gains, [DOC, "term"]).select(QUERY, DOC, POS, (F.col("weight") * F.col("gain")).alias("score"))
+
+
+def bm25_parts(chunks: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """Partial score of every (query, term, chunk) that matches."""
+    tokens = chunk_terms(chunks)
     # Statistics cover the whole collection; postings are needed only for documents somebody asks about.
     reachable = tokens.join(queries.select(DOC).distinct(), DOC, "left_semi")
-    hits = postings(reachable).select(DOC, POS, "term", saturation.alias("gain"))
-    return weighted.join(hits, [DOC, "term"]).select(QUERY, DOC, POS, (F.col("weight") * F.col("gain")).alias("score"))
+    return _partial_scores(postings(reachable), document_frequencies(tokens), collection_stats(tokens), queries, k1, b)
+
+
+def bm25_search_index(spark: SparkSession, path: str, queries: DataFrame, k: int = 30, k1: float = K1, b: float = B) -> DataFrame:
+    """Search stored index tables (see ``sinks.tables.write_index``): no text is read or tokenised again."""
+    read = lambda name: spark.read.parquet(f"{path}/{name}")
+    parts = _partial_scores(read("postings"), read("terms"), read("stats"), queries, k1, b)
+    return rank_top(sum_scores(parts, zero_scores(queries, read("places"), k)), k)
 
 
 def rank_top(scores: DataFrame, k: int, by: tuple[str, ...] = (QUERY,), score: str = "score") -> DataFrame:

@@ -35,6 +35,21 @@ def with_position(ids: DataFrame, column: str) -> DataFrame:
     return placed.select(column, "position")
 
 
+def position_within(df: DataFrame, key: list[str], order: str, output: str, width: int = 1024) -> DataFrame:
+    """0-based position of each row in its group by a whole-number order column that is unique in the group.
+
+    Rows are ranked inside ranges of ``width`` order values, and only the range counts are summed per group,
+    so a group with a third of all rows is spread over many tasks.
+    """
+    ranged = df.withColumn("_range", F.floor(F.col(order) / width))
+    counts = ranged.groupBy(*key, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = W.partitionBy(*key).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    inside = W.partitionBy(*key, "_range").orderBy(order)
+    placed = ranged.withColumn("_place", F.row_number().over(inside)).join(starts, [*key, "_range"])
+    return placed.withColumn(output, F.col("_start") + F.col("_place") - 1).drop("_range", "_start", "_place")
+
+
 def sample_ids(ids: DataFrame, size: int, seed: int, column: str = "document_row_id") -> DataFrame:
     """Seeded sample of ids with their draw order; the same draw as sampling the sorted list of ids.
 

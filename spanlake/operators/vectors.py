@@ -58,7 +58,8 @@ def tfidf_table(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
 def tfidf_weights(chunks: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Unnormalised TF-IDF weights of the chunks the queries can reach, and the idf table."""
     tokens, table = tfidf_table(chunks)
-    entries = tokens.agg(F.sum(F.size(F.array_distinct("tokens"))).alias("entries")).scalar()
+    # Reads the same shuffled counts as the look-up below, so nothing is counted twice.
+    entries = document_frequencies(tokens).agg(F.sum("df").alias("entries")).scalar()
     reachable = tokens.join(queries.select(DOC).distinct(), DOC, "left_semi")
     found = lookup_by_term(postings(reachable), table, entries, "idf")
     return found.select(DOC, POS, "term", (F.col("tf") * F.col("idf")).alias("weight")), table

@@ -67,7 +67,8 @@ def containment_join(haystacks: DataFrame, needles: DataFrame, hay_id: str, need
         F.when(F.size("t") >= 5, inner).otherwise(F.raise_error(F.lit("needle with fewer than five tokens")).cast("bigint")).alias("gram"),
     )
     spread = explode_rows(haystacks, _grams(tokens, F.array_distinct), hay_id, names=("n", "gram")).drop("n")
-    candidates = spread.join(anchors, "gram").select(hay_id, needle_id, "needle").distinct()
+    # A haystack holds each triple once and a needle has one triple, so no pair can repeat.
+    candidates = spread.join(anchors, "gram").select(hay_id, needle_id, "needle")
     return candidates.join(haystacks, hay_id).where(F.contains("text", "needle"))
 
 

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spanlake.functions.arrays import explode_rows
 from spanlake.functions.text import row_key
 from spanlake.operators.failures import sentence_units, span_shape
 from spanlake.operators.incremental import content_manifest, first_by_key, last_by_key, merge_results, pending
-from spanlake.operators.sampling import sample_ids, with_position
+from spanlake.operators.sampling import position_within, sample_ids, with_position
 from spanlake.operators.scoring import parse_bool, parse_gold_answers
 from spanlake.registry import inputs, query
 from spanlake.registry import sqltext as S
@@ -174,9 +173,8 @@ def document_positions(spark, folder):
 
 @query("seeded_sample")
 def seeded_sample(spark, folder):
-    """A tenth of the documents, drawn with a fixed seed; the sample grows with the table."""
-    ids = inputs.documents(spark, folder).select("document_row_id")
-    return sample_ids(ids, max(1, ids.count() // 10), 42)
+    """The reference sample of 50 documents, drawn with seed 42 from all ids."""
+    return sample_ids(inputs.documents(spark, folder).select("document_row_id"), 50, 42)
 
 
 @query(
@@ -205,11 +203,10 @@ def span_shapes(spark, folder):
        FROM a q JOIN a p ON p.conv_id = q.conv_id AND p.i = q.i WHERE q.role = 'user' AND p.role = 'assistant'""",
 )
 def turn_index_join(spark, folder):
-    """Position of each turn among the turns of its role (inside one conversation), then a join on two keys."""
-    turns = inputs.table(spark, folder, "conversations")
-    grouped = turns.groupBy("conv_id", "role").agg(F.sort_array(F.collect_list(F.struct("turn", F.length("text").alias("chars")))).alias("t"))
-    rows = explode_rows(grouped, F.col("t"), "conv_id", "role", names=("turn_index", "r"))
-    side = lambda role, name: rows.where(F.col("role") == role).select("conv_id", F.col("turn_index").cast(_BIG).alias("turn_index"), F.col("r.chars").alias(name))
+    """Position of each turn among the turns of its role, then a join on two keys."""
+    turns = inputs.table(spark, folder, "conversations").select("conv_id", "role", "turn", F.length("text").alias("chars"))
+    rows = position_within(turns, ["conv_id", "role"], "turn", "turn_index")
+    side = lambda role, name: rows.where(F.col("role") == role).select("conv_id", "turn_index", F.col("chars").alias(name))
     return side("user", "question_chars").join(side("assistant", "answer_chars"), ["conv_id", "turn_index"])
 
 

@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanlake.operators.fusion import fuse_ranked, hierarchical_search, section_index
-from spanlake.operators.lexical import bm25_search
+from spanlake.operators.lexical import bm25_search, bm25_search_index
 from spanlake.operators.retrieve import retrieve, sectioned_context
 from spanlake.operators.vectors import dense_search, tfidf_search
+from spanlake.sinks.tables import write_index
 
 TEXTS = {
     (1, 0): "Assignment requires consent.",
@@ -81,6 +82,11 @@ def test_bm25_and_tfidf_equal_the_formulas(chunks, queries, k):
     assert actual(tfidf_search(chunks, queries, k)) == expected(tfidf, k)
 
 
+def test_stored_index_gives_the_same_ranking(spark, chunks, queries, tmp_path):
+    write_index(chunks, str(tmp_path / "index"))
+    assert actual(bm25_search_index(spark, str(tmp_path / "index"), queries, 3)) == expected(bm25, 3)
+
+
 def test_fusion_ties_and_ranks(chunks, queries):
     dense, lexical = tfidf_search(chunks, queries, 5), bm25_search(chunks, queries, 5)
     fused = [r for r in fuse_ranked(dense, lexical, 3).orderBy("rank").collect() if r.query_id == "a"]
