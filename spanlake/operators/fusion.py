@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from spanlake.operators.lexical import DOC, POS, QUERY, bm25_scores, rank_top
 from spanlake.operators.vectors import tfidf_scores
+from spanlake.session import cut_lineage
 
 # Fusion constant, leaf depth, number of sections, name of the missing section.
 RRF_K = 60
@@ -59,7 +60,8 @@ def section_index(spans: DataFrame) -> DataFrame:
 def _expand(scores: DataFrame, chunks: DataFrame, queries: DataFrame, k: int, leaf_k: int, top_sections: int) -> DataFrame:
     """Best leaves -> sections with the largest sums -> all chunks of those sections, ranked again."""
     sections = chunks.select(DOC, POS, section_key().alias("section_key"))
-    scored = scores.join(sections, [DOC, POS])
+    # Read by the leaf ranking and again by the section ranking: scored once, stored, read twice.
+    scored = cut_lineage(scores.join(sections, [DOC, POS]))
     leaves = rank_top(scored, leaf_k)
     sums = leaves.groupBy(QUERY, DOC, "section_key").agg(F.sum("score").alias("section_score"), F.min("rank").alias("first_rank"))
     best = W.partitionBy(QUERY).orderBy(F.round("section_score", 9).desc(), F.col("first_rank"))

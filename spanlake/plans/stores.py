@@ -8,7 +8,7 @@ from spanlake.operators.chunk import recursive_chunks
 from spanlake.operators.incremental import content_manifest
 from spanlake.operators.segment import sentence_spans
 from spanlake.sinks.tables import write_versioned
-from spanlake.sources.results import read_table, read_valid_cache
+from spanlake.sources.results import read_valid_cache
 
 SENTENCE_VERSION = "sentence-v3"
 RECURSIVE_VERSION = "legal-recursive-v1"
@@ -21,8 +21,10 @@ def load_or_build(documents: DataFrame, path: str, version: str, build, rebuild:
         stored = read_valid_cache(documents.sparkSession, path, manifest)
         if stored is not None:
             return stored, True
-    write_versioned(build(documents), manifest, path)
-    return read_table(documents.sparkSession, f"{path}/rows"), False
+    built = build(documents)
+    write_versioned(built, manifest, path)
+    stored = read_valid_cache(documents.sparkSession, path, manifest)
+    return (built if stored is None else stored), False
 
 
 def stored_spans(documents: DataFrame, path: str, rebuild: bool = False) -> DataFrame:

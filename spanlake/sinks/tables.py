@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -32,9 +33,14 @@ def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
 
 
 def write_versioned(df: DataFrame, manifest: DataFrame, path: str) -> None:
-    """Rows first, manifest last: a table without a matching manifest is never used."""
-    df.write.mode("overwrite").parquet(f"{path}/rows")
-    manifest.write.mode("overwrite").parquet(f"{path}/manifest")
+    """Rows under a new name first, then the manifest that names them.
+
+    Until the manifest is replaced the old one keeps pointing at the old rows, so a lost job or a reader in
+    between never sees rows and manifest that do not belong together.
+    """
+    name = f"rows-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{name}")
+    manifest.withColumn("rows_name", F.lit(name)).write.mode("overwrite").parquet(f"{path}/manifest")
 
 
 def write_enrichments(df: DataFrame, path: str) -> None:

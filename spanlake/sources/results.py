@@ -93,9 +93,10 @@ def read_enrichment_cache(spark: SparkSession, path: str) -> DataFrame:
 def read_valid_cache(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame | None:
     """Stored spans or chunks if their manifest equals the expected one, else None."""
     stored = read_table(spark, f"{path}/manifest")
-    if stored is None or not manifest_matches(stored, manifest):
+    if stored is None or "rows_name" not in stored.columns or not manifest_matches(stored, manifest):
         return None
-    return read_table(spark, f"{path}/rows")
+    named = stored.select("rows_name").first()
+    return None if named is None else read_table(spark, f"{path}/{named.rows_name}")
 
 
 def cached_spans(spans: DataFrame, documents: DataFrame) -> DataFrame:

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from spanlake import cli
 from spanlake.operators.sampling import select_rows
 from spanlake.operators.scoring import RESULT_COLUMNS
+from spanlake.operators.segment import sentence_spans
 from spanlake.plans import answers, prompt_improvement
+from spanlake.plans.stores import load_or_build
 from spanlake.sources import corpus as S
 from spanlake.sources import results as L
 from spanlake.streaming import result_log
@@ -129,6 +131,18 @@ def test_streamed_log_is_tolerant_and_last_write_wins(spark, tmp_path):
     assert [r.row_id for r in result_log.missing(work, target).collect()] == ["2:0"]
 
 
+def test_store_is_rebuilt_only_when_texts_change(spark, tmp_path):
+    path = str(tmp_path / "store")
+    first = spark.createDataFrame([(1, "One. Two."), (2, "Three.")], "document_row_id int, text string")
+    assert load_or_build(first, path, "v1", sentence_spans)[1] is False
+    rows, hit = load_or_build(first, path, "v1", sentence_spans)
+    assert hit and rows.count() == 3
+    other = spark.createDataFrame([(1, "One. Two. More."), (2, "Three.")], "document_row_id int, text string")
+    rows, hit = load_or_build(other, path, "v1", sentence_spans)
+    assert not hit and rows.count() == 4
+    assert load_or_build(other, path, "v2", sentence_spans)[1] is False
+
+
 def test_exploration_report(spark, corpus, tmp_path):
     args = cli.parser().parse_args(["explore", "--corpus", corpus["corpus"], "--categories", corpus["categories"], "--output-dir", str(tmp_path)])
     got = cli.explore(spark, args)
