@@ -55,8 +55,3 @@ def explode_rows(df: DataFrame, array: Column, *keep, names: tuple[str, str] = (
     """
     pos, item = names
     return df.select(*keep, F.posexplode_outer(array).alias(pos, item)).where(F.col(pos).isNotNull())
-
-
-def python_round(value: Column, digits: int) -> Column:
-    """Round half to even on the decimal text of the double, the closest match to Python's round."""
-    return F.bround(value, digits)

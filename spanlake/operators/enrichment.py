@@ -151,3 +151,12 @@ def enrichment_deltas(covered: DataFrame, cutoffs=(10, 20, 30)) -> DataFrame:
             )
         )
     return covered.groupBy("row_id").agg(*columns)
+
+
+def summarize_deltas(deltas: DataFrame, rows: DataFrame) -> DataFrame:
+    """Per question: number of rows and the mean of every coverage column of ``enrichment_deltas``."""
+    keyed = deltas.join(rows.select("row_id", "document_row_id", "question_index", "category"), "row_id")
+    means = [F.avg(c).alias(c) for c in deltas.columns if c != "row_id"]
+    return keyed.groupBy("question_index").agg(
+        F.min_by("category", "document_row_id").alias("category"), F.count(F.lit(1)).alias("rows"), *means
+    )

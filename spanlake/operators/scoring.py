@@ -188,6 +188,23 @@ def compare_to_baseline(current: DataFrame, baseline: DataFrame, *groups: str) -
     )
 
 
+def page_rows(results: DataFrame, baseline: DataFrame | None = None) -> DataFrame:
+    """Result rows with the scores of their category and, where present, the same row of a baseline run.
+
+    Rows stay flat; a page groups them by question when it is drawn.
+    """
+    scores = results.groupBy("question_index", "category").agg(
+        F.count(F.lit(1)).alias("category_count"),
+        (F.avg("token_f1") * 100).alias("category_mean_token_f1"),
+        (F.avg(F.col("correct_at_0_5").cast("double")) * 100).alias("category_correct_at_0_5"),
+    )
+    page = results.join(scores, ["question_index", "category"], "left")
+    if baseline is None:
+        return page
+    old = ensure_row_id(baseline).select("row_id", F.col("token_f1").alias("baseline_token_f1"), F.col("predicted_answer").alias("baseline_predicted_answer"))
+    return page.join(old, "row_id", "left").withColumn("token_f1_delta", F.col("token_f1") - F.col("baseline_token_f1"))
+
+
 def align_runs(summaries: DataFrame, labels: list[str], group: str = "category", value: str = "mean_token_f1") -> DataFrame:
     """One row per group and one column per run label; a missing run gives null."""
     return summaries.groupBy(group).pivot("label", labels).agg(F.first(value))

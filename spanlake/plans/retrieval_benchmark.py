@@ -112,7 +112,8 @@ def run(
             "enriched_query", F.coalesce("enriched_query", E.base_query())
         )
         tables["ranking"] = ranking
-        tables["enrichment effect"] = compare_queries(enriched, sentence_chunks(spans), records)
+        effect = compare_queries(enriched, sentence_chunks(spans), records)
+        tables["enrichment effect"] = E.summarize_deltas(effect, rows).orderBy("question_index")
         tables["rows"] = C.summarize_rows(covered, methods, tuple(sorted({10, 20, 30, top_k})))
         write_json_lines(covered, paths["retrieval"])
         write_csv(tables["rows"], paths["rows"])

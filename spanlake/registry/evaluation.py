@@ -395,6 +395,22 @@ def baseline_compare(spark, folder):
     return _round_all(compared, *[c for c in compared.columns if c not in ("level", "question_index", "category", "matched_examples")])
 
 
+@query(
+    "evaluation_page_rows",
+    f"""WITH {_results_sql('r', 0)}, {_results_sql('b', 1)}, s AS (SELECT question_index, category, count(*) AS n, 100 * avg(token_f1) AS m FROM r GROUP BY ALL)
+        SELECT r.id AS row_id, s.n AS category_count, round(s.m, 6) AS category_mean_token_f1, round(b.token_f1, 6) AS baseline_token_f1,
+               round(r.token_f1 - b.token_f1, 6) AS token_f1_delta
+        FROM r JOIN s ON s.question_index = r.question_index AND s.category = r.category LEFT JOIN b ON b.id = r.id AND b.category <> 'en'""",
+)
+def evaluation_page_rows(spark, folder):
+    """The baseline lacks the English rows, so their baseline columns stay null."""
+    page = R.page_rows(inputs.results(spark, folder), inputs.results(spark, folder, shift=1).where("category <> 'en'"))
+    return _round_all(
+        page.select("row_id", "category_count", "category_mean_token_f1", "baseline_token_f1", "token_f1_delta"),
+        "category_mean_token_f1", "baseline_token_f1", "token_f1_delta",
+    )
+
+
 @query(
     "align_runs",
     f"""WITH {_results_sql('r', 0)}, {_results_sql('b', 1)}, s AS (SELECT 'run_a' AS label, category, avg(token_f1) AS v FROM r GROUP BY ALL

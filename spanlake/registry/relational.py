@@ -243,3 +243,18 @@ def numeric_match(spark, folder):
     return items.select(
         "l_orderkey", "l_linenumber", matches(net, F.col("l_extendedprice").cast("string")).alias("close"), matches(F.col("l_returnflag"), F.lit(" r ")).alias("same")
     )
+
+
+@query(
+    "calculator",
+    """SELECT l_orderkey, l_linenumber, round(CASE l_linenumber % 6 WHEN 0 THEN l_quantity + l_linenumber WHEN 1 THEN l_quantity - l_linenumber
+              WHEN 2 THEN l_quantity * l_linenumber WHEN 3 THEN l_quantity / l_linenumber WHEN 4 THEN pow(l_quantity, l_linenumber)
+              ELSE (l_quantity > l_linenumber)::INT END, 4) AS result FROM lineitem""",
+)
+def calculator(spark, folder):
+    from spanlake.functions.numeric import calculate
+
+    names = F.array(*[F.lit(n) for n in ("add", "subtract", "multiply", "divide", "exp", "greater")])
+    operation = F.get(names, F.col("l_linenumber") % 6)
+    result = calculate(operation, F.col("l_quantity"), F.col("l_linenumber").cast("double"))
+    return inputs.table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", F.round(result, 4).alias("result"))

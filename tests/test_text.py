@@ -25,7 +25,7 @@ def test_answers_and_overlap(spark):
 
 
 def test_names(spark):
-    assert one(spark, T.slugify(F.lit("  DeepSeek/Chat  v4__x-- "))) == "deepseek-chat-v4__x"
+    assert one(spark, T.slugify(F.lit("  Vendor/Chat  v4__x-- "))) == "vendor-chat-v4__x"
     assert one(spark, T.slugify(F.lit("!!"), "model")) == "model"
     assert one(spark, T.class_name(F.lit("Non-Compete / x"))) == "NonCompeteX"
     assert one(spark, T.identifier(F.lit("Non-Compete"))) == "NON_COMPETE"
