@@ -29,6 +29,7 @@ LINE_CLASSES = [
 # Fixed value: leading token of a line that may be a list marker.
 LINE_PREFIX = r"^(\([a-zA-Z0-9]+\)|[A-Za-z]{1,4}\.|\d+\.|[A-Za-z0-9]{1,3}\)|[•\-–—*])"
 EXHIBIT_START = r"^(?:EXHIBIT|Exhibit|exhibit|SCHEDULE|Schedule)\s+[\d.]+"
+# Lines of a document on a report page, prefixes listed per document.
 SHOWN_LINES = 200
 TOP_PREFIXES = 25
 
@@ -78,9 +79,15 @@ def line_offsets(documents: DataFrame, text: str = "text") -> DataFrame:
     return rows.select("document_row_id", "line_no", F.col("r.start").alias("line_start"), F.col("r.length").alias("line_length"))
 
 
-def annotate_documents(documents: DataFrame, text: str = "text", shown: int = SHOWN_LINES) -> DataFrame:
-    """Coverage of the first lines by the classes; lines of one document combine before the shuffle."""
-    lines = document_lines(documents, text).where(F.col("line_number") <= shown)
+def _lines_up_to(documents: DataFrame, text: str, shown: int | None) -> DataFrame:
+    """All lines, or the first ``shown`` ones for a report page."""
+    lines = document_lines(documents, text)
+    return lines if shown is None else lines.where(F.col("line_number") <= shown)
+
+
+def annotate_documents(documents: DataFrame, text: str = "text", shown: int | None = None) -> DataFrame:
+    """Coverage of the lines by the classes; lines of one document combine before the shuffle."""
+    lines = _lines_up_to(documents, text, shown)
     known, filled = F.col("pattern").isNotNull(), F.col("stripped") != ""
     counts = lines.groupBy("document_row_id").agg(
         F.sum("words").alias("total_words"),
@@ -110,14 +117,14 @@ def annotate_documents(documents: DataFrame, text: str = "text", shown: int = SH
     )
 
 
-def pattern_counts(documents: DataFrame, text: str = "text", shown: int = SHOWN_LINES) -> DataFrame:
-    lines = document_lines(documents, text).where((F.col("line_number") <= shown) & F.col("pattern").isNotNull())
+def pattern_counts(documents: DataFrame, text: str = "text", shown: int | None = None) -> DataFrame:
+    lines = _lines_up_to(documents, text, shown).where(F.col("pattern").isNotNull())
     return lines.groupBy("document_row_id", "pattern").agg(F.count(F.lit(1)).alias("lines"))
 
 
-def top_prefixes(documents: DataFrame, text: str = "text", shown: int = SHOWN_LINES, top: int = TOP_PREFIXES) -> DataFrame:
+def top_prefixes(documents: DataFrame, text: str = "text", shown: int | None = None, top: int = TOP_PREFIXES) -> DataFrame:
     """Most frequent prefixes of unclassified lines per document; ties keep first appearance."""
-    lines = document_lines(documents, text).where((F.col("line_number") <= shown) & F.col("prefix").isNotNull())
+    lines = _lines_up_to(documents, text, shown).where(F.col("prefix").isNotNull())
     counts = lines.groupBy("document_row_id", "prefix").agg(F.count(F.lit(1)).alias("lines"), F.min("line_number").alias("first_line"))
     order = W.partitionBy("document_row_id").orderBy(F.col("lines").desc(), F.col("first_line"))
     return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)

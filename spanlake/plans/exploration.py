@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.operators.lines import annotate_documents, document_lines, pattern_counts, top_prefixes
+from spanlake.operators.lines import SHOWN_LINES, annotate_documents, document_lines, pattern_counts, top_prefixes
 from spanlake.sinks.report import write_report
 from spanlake.sources.corpus import column_counts, document_texts
 
@@ -21,12 +21,12 @@ def overview(tables: dict[str, DataFrame]) -> dict[str, dict]:
 def annotation_report(contracts: DataFrame, path: str, shown: int = 50) -> str:
     """Annotated lines of the first documents (a report over a fixed number of documents) with class counts."""
     first = document_texts(contracts).orderBy("document_row_id").limit(shown)
-    notes = annotate_documents(first)
+    notes = annotate_documents(first, shown=SHOWN_LINES)
     totals = notes.agg(F.sum("total_words").alias("words"), F.sum("classified_words").alias("classified_words")).first().asDict()
     tables = {
         "documents": notes.orderBy("document_row_id"),
-        "patterns": pattern_counts(first).orderBy("document_row_id", "pattern"),
-        "prefixes": top_prefixes(first).orderBy("document_row_id", "rank"),
-        "lines": document_lines(first).orderBy("document_row_id", "line_number"),
+        "patterns": pattern_counts(first, shown=SHOWN_LINES).orderBy("document_row_id", "pattern"),
+        "prefixes": top_prefixes(first, shown=SHOWN_LINES).orderBy("document_row_id", "rank"),
+        "lines": document_lines(first).where(F.col("line_number") <= SHOWN_LINES).orderBy("document_row_id", "line_number"),
     }
     return write_report(path, "Line classes", totals, tables)

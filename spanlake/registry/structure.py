@@ -139,7 +139,7 @@ def line_classify(spark, folder):
 
 @query(
     "line_prefix_topk",
-    f"""WITH {_lines_sql()}, {_CLASSES}, c AS (SELECT doc_id, prefix, count(*) AS lines, min(l) AS f FROM pre WHERE prefix IS NOT NULL AND l < 200 GROUP BY ALL)
+    f"""WITH {_lines_sql()}, {_CLASSES}, c AS (SELECT doc_id, prefix, count(*) AS lines, min(l) AS f FROM pre WHERE prefix IS NOT NULL GROUP BY ALL)
     SELECT doc_id, prefix, lines, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY lines DESC, f) AS rank FROM c) WHERE rank <= 25""",
 )
 def line_prefix_topk(spark, folder):
@@ -149,7 +149,7 @@ def line_prefix_topk(spark, folder):
 
 @query(
     "line_patterns",
-    f"WITH {_lines_sql()}, {_CLASSES} SELECT doc_id, pattern, count(*) AS lines FROM pre WHERE pattern IS NOT NULL AND l < 200 GROUP BY ALL",
+    f"WITH {_lines_sql()}, {_CLASSES} SELECT doc_id, pattern, count(*) AS lines FROM pre WHERE pattern IS NOT NULL GROUP BY ALL",
 )
 def line_patterns(spark, folder):
     return pattern_counts(inputs.documents(spark, folder)).select(F.col("document_row_id").alias("doc_id"), "pattern", "lines")
@@ -158,10 +158,10 @@ def line_patterns(spark, folder):
 @query(
     "annotate_documents",
     f"""WITH {_lines_sql()}, {_CLASSES}, a AS (
-      SELECT doc_id, count(*) AS total_lines, sum(words) FILTER (WHERE l < 200) AS total_words,
-             coalesce(sum(words) FILTER (WHERE l < 200 AND pattern IS NOT NULL), 0) AS classified_words,
-             count(*) FILTER (WHERE l < 200 AND pattern IS NOT NULL) AS classified_lines,
-             count(*) FILTER (WHERE l < 200 AND s <> '') AS filled,
+      SELECT doc_id, count(*) AS total_lines, sum(words) AS total_words,
+             coalesce(sum(words) FILTER (WHERE pattern IS NOT NULL), 0) AS classified_words,
+             count(*) FILTER (WHERE pattern IS NOT NULL) AS classified_lines,
+             count(*) FILTER (WHERE s <> '') AS filled,
              any_value(s) FILTER (WHERE l = 0) AS first_line FROM pre GROUP BY doc_id)
     SELECT doc_id, total_lines, regexp_matches(first_line, '^(?:EXHIBIT|Exhibit|exhibit|SCHEDULE|Schedule)\\s+[\\d.]+') AS starts_with_exhibit,
            total_words::BIGINT AS total_words, classified_words::BIGINT AS classified_words, classified_lines,
