@@ -5,6 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from spanlake.operators import vectors
 from spanlake.operators.fusion import fuse_ranked, hierarchical_search, section_index
 from spanlake.operators.lexical import bm25_search, bm25_search_index
 from spanlake.operators.retrieve import retrieve, sectioned_context
@@ -82,6 +83,12 @@ def test_bm25_and_tfidf_equal_the_formulas(chunks, queries, k):
     assert actual(tfidf_search(chunks, queries, k)) == expected(tfidf, k)
 
 
+@pytest.mark.parametrize("share", [0.02, 0.9])
+def test_frequent_and_rare_terms_take_different_lookups(chunks, queries, monkeypatch, share):
+    monkeypatch.setattr(vectors, "HOT_SHARE", share)  # some terms, then no term, count as frequent
+    assert actual(tfidf_search(chunks, queries, 3)) == expected(tfidf, 3)
+
+
 def test_stored_index_gives_the_same_ranking(spark, chunks, queries, tmp_path):
     write_index(chunks, str(tmp_path / "index"))
     assert actual(bm25_search_index(spark, str(tmp_path / "index"), queries, 3)) == expected(bm25, 3)
