@@ -7,13 +7,14 @@ similarity s meet unless no A or no B agrees, which happens with probability 2 *
 
 How it runs, and why no step needs all pairs of a bucket:
 
-1. One pass over the texts gives each document the size and fingerprint of its set, its band hashes and a sketch of one
-   byte per minhash. Copies (equal sets) fold into their smallest doc_id before anything else.
+1. One pass over the texts gives each document the size and fingerprint of its set and its band hashes. Copies (equal sets) fold into their smallest doc_id before anything else.
 2. A table key is only formed from band hashes that at least two documents share: most documents drop out here.
-3. Each document is compared with one document, the smallest of its buckets. Confirmed links give components.
-4. Buckets that still hold several components are searched whole, in blocks of members that bound a task. Only pairs of
-   different components whose sketches agree enough come out (a pair of similarity 0.8 fails this with probability
-   0.0000001), each is confirmed, and the components are formed again. No bucket or candidate is capped.
+3. Each document is compared with one document, the smallest of its buckets. Confirmed links give components. In some
+   further turns each document of a bucket with several components is compared with another one, chosen by hash.
+4. The documents of buckets that still hold several components are joined exactly: similar sets share one of the
+   rarest shingles of each, so documents that merely hold the same passage don't meet, however many they are. The groups
+   of such a shingle are searched whole, in blocks of members that bound a task. Only similar pairs of different
+   components come out; they are confirmed and the components are formed again. No bucket or candidate is capped.
 
 The output is one row per document; links inside a known component are never written out.
 """
@@ -33,8 +34,8 @@ from spanlake.llm.groups import sorted_groups
 from spanlake.llm.words import mix, slices, windows
 from spanlake.session import cut_lineage
 
-EXTRA_SKETCH = 16
 BLOCK = 1024
+STAR_TURNS = 1
 
 
 def shingle_sets(batch: pa.RecordBatch, size: int) -> Iterator[np.ndarray]:
@@ -63,27 +64,26 @@ def minhashes(shingles: np.ndarray, factors: np.ndarray) -> np.ndarray:
 
 def _profiles(words: int, bands: int, rows: int):
     count = 2 * bands * rows
-    factors = np.random.default_rng(7).integers(0, 1 << 63, count + EXTRA_SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    factors = np.random.default_rng(7).integers(0, 1 << 63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     salt = mix(np.arange(1, 2 * bands + 1, dtype=np.uint64))
-    schema = pa.schema([("doc_id", pa.int64()), ("fingerprint", pa.binary()), ("n_shingles", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("fingerprint", pa.binary()), ("n_shingles", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
-            prints, sizes, keys, sketches = [], [], [], []
+            prints, sizes, keys = [], [], []
             for shingles in shingle_sets(batch, words):
                 sizes.append(len(shingles))
                 if not len(shingles):
-                    prints.append(None), keys.append(None), sketches.append(None)
+                    prints.append(None), keys.append(None)
                     continue
                 prints.append(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest())
                 least = minhashes(shingles, factors)
-                banded = least[:count].reshape(2 * bands, rows)
+                banded = least.reshape(2 * bands, rows)
                 key = salt.copy()
                 for k in range(rows):
                     key = mix(key * np.uint64(3) + banded[:, k])
                 keys.append(key.view(np.int64))
-                sketches.append((least >> np.uint64(40)).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip((prints, sizes, keys, sketches), schema.types[1:], strict=True))], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip((prints, sizes, keys), schema.types[1:], strict=True))], schema=schema)
 
     return run
 
@@ -100,8 +100,11 @@ def _sets(words: int):
     return run
 
 
-def _close_pairs(agree: int, percent: int):
-    """Pairs of different components in one block pair of a bucket whose sizes and sketches allow the similarity."""
+def _linked_pairs(percent: int):
+    """Pairs of different components in one block pair of a group whose sets, folded to 31 bits, are similar enough.
+
+    Folding can only add to what two sets share, so no similar pair is missed.
+    """
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def run(batches):
@@ -109,16 +112,24 @@ def _close_pairs(agree: int, percent: int):
             side = group.column("block").to_numpy()
             p, q = group.column("p")[0].as_py(), group.column("q")[0].as_py()
             ids, comp, n = (group.column(c).to_numpy() for c in ("rep", "component", "n_shingles"))
-            sketch = np.stack([np.frombuffer(x, np.uint8) for x in group.column("sketch").to_pylist()])
+            folded = group.column("folded").combine_chunks()
+            sizes = folded.value_lengths().to_numpy()
+            names, values = np.unique(folded.flatten().to_numpy(), return_inverse=True)
+            sets = np.split(values, np.cumsum(sizes)[:-1])
             left, right = np.flatnonzero(side == p), np.flatnonzero(side == q)
+            both, cuts = np.concatenate([sets[r] for r in right]), np.concatenate([[0], np.cumsum(sizes[right])[:-1]])
+            flags = np.zeros(len(names), np.int32)
             found = []
             for i in left:
-                rest = right[(comp[right] != comp[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
+                if (comp[right] == comp[i]).all():
+                    continue
+                flags[sets[i]] = 1
+                common = np.add.reduceat(flags[both], cuts)
+                flags[sets[i]] = 0
+                good = (comp[right] != comp[i]) & (100 * common >= percent * (n[right] + n[i] - common))
                 if p == q:
-                    rest = rest[rest > i]
-                if len(rest):
-                    rest = rest[(sketch[rest] == sketch[i]).sum(axis=1) >= agree]
-                    found.append(np.stack([np.full(len(rest), ids[i]), ids[rest]]))
+                    good &= right > i
+                found.append(np.stack([np.full(good.sum(), ids[i]), ids[right[good]]]))
             if found:
                 u, v = np.concatenate(found, axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], schema=schema)
@@ -126,15 +137,40 @@ def _close_pairs(agree: int, percent: int):
     return run
 
 
-def _confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+def _bucketed_sets(reps: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """(rep, shingles) of the representatives ``reps`` (rep, fingerprint), from the whole texts that bear their ids."""
+    named = texts.join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").select("doc_id", "text")
+    sets = named.mapInArrow(_sets(words), "rep long, fingerprint binary, shingles array<long>").join(reps, ["rep", "fingerprint"], "left_semi")
+    return cut_lineage(sets.groupBy("rep", "fingerprint").agg(F.any_value("shingles").alias("shingles")).drop("fingerprint"))
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets are similar enough."""
-    needed = cut_lineage(pairs.select(F.explode(F.array("u", "v")).alias("rep")).distinct().join(reps.select("rep", "fingerprint"), "rep"))
-    named = texts.join(needed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").select("doc_id", "text")
-    sets = named.mapInArrow(_sets(words), "rep long, fingerprint binary, shingles array<long>").join(needed, ["rep", "fingerprint"], "left_semi")
-    sets = cut_lineage(sets.groupBy("rep", "fingerprint").agg(F.any_value("shingles").alias("shingles")).drop("fingerprint"))
     both = pairs.join(sets.select(F.col("rep").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("rep").alias("v"), F.col("shingles").alias("b")), "v")
     common = F.size(F.array_intersect("a", "b"))
-    return both.where(100 * common >= percent * (F.size("a") + F.size("b") - common)).select("u", "v")
+    return both.where(100 * common >= percent * (F.size("a") + F.size("b") - common)).select("u", "v").distinct()
+
+
+def _shared_shingles(sets: DataFrame) -> DataFrame:
+    """(rep, n, s): the shingles of each set that another one holds too, as (count, key) from the rarest on."""
+    each = sets.select("rep", F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
+    held = sets.select(F.explode("shingles").alias("key")).groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    return each.join(held, "key").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("c", "key"))).alias("s"))
+
+
+def _rare_prefixes(shared: DataFrame, percent: int) -> DataFrame:
+    """(key, rep): the shingles by which a set must meet any set similar enough.
+
+    Ordered by how many sets hold it, a set of n shingles shares one of its first n - ceil(n * percent / 100) + 1 with
+    each such set. Those that no other set holds take up places but are not returned.
+    """
+    places = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1 - (F.col("n") - F.size("s"))
+    return shared.where(places > 0).select("rep", F.explode(F.slice("s", 1, places)).alias("s")).select(F.col("s.key").alias("key"), "rep").distinct()
+
+
+def _with_components(links: DataFrame, table: DataFrame) -> DataFrame:
+    found = connected_components(links).withColumnRenamed("id", "rep")
+    return cut_lineage(table.join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep")))
 
 
 def near_duplicate_classes(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 12, rows: int = 2) -> DataFrame:
@@ -148,10 +184,10 @@ def near_duplicate_classes(docs: DataFrame, words: int = 5, percent: int = 80, b
     null and it is kept. An empty table gives an empty result.
     """
     columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    profile = cut_lineage(columns.mapInArrow(_profiles(words, bands, rows), "doc_id long, fingerprint binary, n_shingles long, bands array<long>, sketch binary"))
+    profile = cut_lineage(columns.mapInArrow(_profiles(words, bands, rows), "doc_id long, fingerprint binary, n_shingles long, bands array<long>"))
     named = profile.where("doc_id is not null and n_shingles > 0")
     reps = cut_lineage(
-        named.groupBy("fingerprint").agg(F.min("doc_id").alias("rep"), *[F.any_value(c).alias(c) for c in ("n_shingles", "bands", "sketch")])
+        named.groupBy("fingerprint").agg(F.min("doc_id").alias("rep"), *[F.any_value(c).alias(c) for c in ("n_shingles", "bands")])
     )
     # Band hashes that two documents share, then the table keys that are pairs of them.
     hashes = reps.select("rep", F.posexplode("bands").alias("i", "h"))
@@ -164,32 +200,51 @@ def near_duplicate_classes(docs: DataFrame, words: int = 5, percent: int = 80, b
     tables = cut_lineage(tables)
     buckets = tables.groupBy("key").agg(F.min("rep").alias("u"), F.max("rep").alias("top")).where("u < top").select("key", "u")
     stars = tables.join(buckets, "key").where("rep > u").groupBy(F.col("rep").alias("v")).agg(F.min("u").alias("u")).select("u", "v")
-    size = 2 * bands * rows + EXTRA_SKETCH
-    agree = int(np.floor(size * percent / 100 - 5.4 * np.sqrt(size * percent / 100 * (1 - percent / 100))))
-    # First one comparison per document.
-    links = cut_lineage(_confirmed(cut_lineage(stars), reps, columns, words, percent))
-    first = connected_components(links)
-    # Then the buckets which that has not joined up, each set of members once.
-    classed = reps.select("rep", "n_shingles", "sketch").join(first.withColumnRenamed("id", "rep"), "rep", "left")
-    classed = classed.withColumn("component", F.coalesce("component", "rep"))
-    member = tables.join(classed.select("rep", "component"), "rep")
-    open_buckets = (
+    members = cut_lineage(tables.join(buckets.select("key"), "key", "left_semi"))
+    met = cut_lineage(reps.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "fingerprint", "n_shingles"))
+    sets = _bucketed_sets(met.select("rep", "fingerprint"), columns, words)
+    links = cut_lineage(_confirmed(stars, sets, percent))
+    classed = _with_components(links, met)
+    # Further centres, chosen by hash, as long as they join components up.
+    still = members
+    for turn in range(STAR_TURNS):
+        placed = still.join(classed.select("rep", "component"), "rep")
+        centres = placed.groupBy("key").agg(
+            F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by(F.struct("rep", "component"), F.xxhash64("rep", F.lit(turn))).alias("c")
+        ).where("lo < hi").select("key", "c")
+        opened = cut_lineage(placed.join(centres, "key"))
+        tried = opened.where("component <> c.component").groupBy("rep").agg(F.min_by("c.rep", F.xxhash64("c.rep", F.lit(turn))).alias("centre"))
+        found = cut_lineage(_confirmed(tried.select(F.least("rep", "centre").alias("u"), F.greatest("rep", "centre").alias("v")).distinct(), sets, percent))
+        still = opened.select("key", "rep")
+        if found.isEmpty():
+            break
+        links = links.unionByName(found)
+        classed = _with_components(links, met)
+    # Then the documents of buckets which that has not joined up: all their pairs, through the rarest shingles.
+    member = still.join(classed.select("rep", "component"), "rep")
+    unsettled = member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    rest_ids = cut_lineage(still.join(unsettled, "key", "left_semi").select("rep").distinct())
+    shared = cut_lineage(_shared_shingles(sets.join(rest_ids, "rep", "left_semi")))
+    prefixes = cut_lineage(_rare_prefixes(shared, percent))
+    folded = shared.select("rep", F.transform("s", lambda x: x["key"].bitwiseAND(0x7FFFFFFF).cast("int")).alias("folded"))
+    member = prefixes.join(classed.select("rep", "component"), "rep")
+    open_groups = (
         member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("same"))
         .where("lo < hi").groupBy("size", "same").agg(F.min("key").alias("key")).select("key", "size")
     )
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     rows_ = (
-        tables.join(cut_lineage(open_buckets), "key").join(classed, "rep")
+        prefixes.join(cut_lineage(open_groups), "key").join(classed, "rep").join(folded, "rep")
         .withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "rep", "component", "n_shingles", "sketch")
+        .select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "rep", "component", "n_shingles", "folded")
     )
     dealt = rows_.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
-    rest = cut_lineage(dealt.mapInArrow(_close_pairs(agree, percent), "u long, v long").distinct())
+    rest = cut_lineage(dealt.mapInArrow(_linked_pairs(percent), "u long, v long").distinct())
+    first = classed.select("rep", "component")
     if not rest.isEmpty():
-        links = links.unionByName(_confirmed(rest, reps, columns, words, percent))
-        first = connected_components(cut_lineage(links))
-    folded = reps.select("fingerprint", "rep").join(first.withColumnRenamed("id", "rep"), "rep", "left")
+        first = _with_components(links.unionByName(_confirmed(rest, sets, percent)), met).select("rep", "component")
+    folded = reps.select("fingerprint", "rep").join(first.distinct(), "rep", "left")
     folded = folded.select("fingerprint", F.coalesce("component", "rep").alias("component_id"))
     out = profile.select("doc_id", "n_shingles", "fingerprint").join(folded, "fingerprint", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
