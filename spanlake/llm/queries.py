@@ -103,8 +103,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path()
-    ids = bpe.encode_texts(_table(spark, sf_dir, "documents").select("doc_id", "text"), path).select("doc_id", "ids")
-    both = bpe.decode_ids(ids, path)
+    both = bpe.encode_texts(_table(spark, sf_dir, "documents").select("doc_id", "text"), path, decoded="decoded")
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe.digest_ids("ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
