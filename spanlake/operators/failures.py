@@ -85,7 +85,7 @@ def format_profiles(results: DataFrame, documents: DataFrame, text: str = "text"
     per_row = rows.groupBy("category").agg(
         F.bool_or((F.size("golds") == 0) | F.coalesce("gold_marked_impossible", F.lit(False))).alias("allows_no_answer"),
         F.bool_or(F.size("golds") > 1).alias("allows_multiple_spans"),
-        F.first(F.nullif("answer_format", F.lit("")), ignorenulls=True).alias("csv_answer_format"),
+        F.min_by("answer_format", F.when(F.col("answer_format") != "", F.col("row_id"))).alias("csv_answer_format"),
     )
     answers = explode_rows(rows, F.col("golds"), "category", "document_row_id", names=("answer_pos", "answer"))
     checked = answers.join(documents.select("document_row_id", F.col(text).alias("document_text")), "document_row_id", "left")

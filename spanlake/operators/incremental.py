@@ -44,11 +44,10 @@ def unfinished_categories(work: DataFrame, status: DataFrame) -> DataFrame:
 
 def require_complete(results: DataFrame, expected: DataFrame, key: str = "row_id") -> DataFrame:
     """Raise while the job runs if any expected key has no result."""
-    checked = expected.select(key).distinct().join(results, key, "left")
-    found = F.coalesce(*[F.col(c).isNotNull() for c in results.columns if c != key][:1])
+    checked = expected.select(key).distinct().join(results.withColumn("_found", F.lit(True)), key, "left")
     return checked.where(
-        F.when(found, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("incomplete evaluation, missing "), F.col(key))).cast("boolean"))
-    )
+        F.when(F.col("_found"), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("incomplete evaluation, missing "), F.col(key))).cast("boolean"))
+    ).drop("_found")
 
 
 def content_manifest(documents: DataFrame, version: str, text: str = "text") -> DataFrame:

@@ -56,8 +56,12 @@ def with_token_f1(df: DataFrame, prediction: str, golds: Column, output: str = "
 
 
 def parse_bool(c: Column | str) -> Column:
-    text = normalize_answer(F.col(c).cast("string") if isinstance(c, str) else c.cast("string"))
-    return text.isin("true", "yes", "y", "1", "marked impossible", "impossible")
+    """Numbers are true unless zero; anything else is true if its text is one of the markers. Null stays null."""
+    value = F.col(c) if isinstance(c, str) else c
+    text = normalize_answer(value.cast("string"))
+    marked = text.isin("true", "yes", "y", "1", "marked impossible", "impossible")
+    numeric = F.typeof(value).rlike("^(tinyint|smallint|int|bigint|float|double|decimal.*)$")
+    return F.when(numeric, value.try_cast("double") != 0).otherwise(marked)
 
 
 def parse_gold_answers(c: Column | str) -> Column:
@@ -75,9 +79,10 @@ def predicted_no_answer() -> Column:
 
 
 def parse_answer(output: Column) -> Column:
-    """Structured answer from model output: JSON if it parses, a marker, or the raw text."""
+    """Structured answer from model output: JSON if it parses, also inside a code fence, a marker, or the raw text."""
     text = strip(F.coalesce(output, F.lit("")))
-    parsed = F.from_json(text, "reasoning string, answer string, marked_impossible boolean")
+    inside = F.regexp_replace(text, r"(?s)^```[A-Za-z]*\s*(.*?)\s*```$", "$1")
+    parsed = F.from_json(inside, "reasoning string, answer string, marked_impossible string")
     marker = F.lower(text).isin(NO_ANSWER_MARKERS)
     fallback = F.struct(
         F.lit("unstructured_model_output").alias("reasoning"),
@@ -87,7 +92,7 @@ def parse_answer(output: Column) -> Column:
     whole = F.struct(
         F.coalesce(parsed["reasoning"], F.lit("")).alias("reasoning"),
         parsed["answer"].alias("answer"),
-        F.coalesce(parsed["marked_impossible"], F.lit(False)).alias("marked_impossible"),
+        F.coalesce(parse_bool(parsed["marked_impossible"]), F.lit(False)).alias("marked_impossible"),
     )
     return F.when(parsed["answer"].isNotNull(), whole).otherwise(fallback)
 

@@ -19,14 +19,15 @@ def overview(tables: dict[str, DataFrame]) -> dict[str, dict]:
 
 
 def annotation_report(contracts: DataFrame, path: str, shown: int = 50) -> str:
-    """Annotated lines of the first documents (a report over a fixed number of documents) with class counts."""
-    first = document_texts(contracts).orderBy("document_row_id").limit(shown)
-    notes = annotate_documents(first, shown=SHOWN_LINES)
-    totals = notes.agg(F.sum("total_words").alias("words"), F.sum("classified_words").alias("classified_words")).first().asDict()
+    """Class counts over all lines of all documents; the page lists the lines of the first ``shown`` documents only."""
+    texts = document_texts(contracts)
+    notes = annotate_documents(texts)
+    totals = notes.agg(F.count("*").alias("documents"), F.sum("total_words").alias("words"), F.sum("classified_words").alias("classified_words")).first().asDict()
+    first = texts.orderBy("document_row_id").limit(shown)
     tables = {
         "documents": notes.orderBy("document_row_id"),
-        "patterns": pattern_counts(first, shown=SHOWN_LINES).orderBy("document_row_id", "pattern"),
-        "prefixes": top_prefixes(first, shown=SHOWN_LINES).orderBy("document_row_id", "rank"),
+        "patterns": pattern_counts(texts).orderBy("document_row_id", "pattern"),
+        "prefixes": top_prefixes(texts).orderBy("document_row_id", "rank"),
         "lines": document_lines(first).where(F.col("line_number") <= SHOWN_LINES).orderBy("document_row_id", "line_number"),
     }
     return write_report(path, "Line classes", totals, tables)

@@ -29,13 +29,13 @@ def normalize_text(spark, folder):
 
 @query(
     "tokenize_counts",
-    f"SELECT doc_id, count(*) AS tokens, count(DISTINCT t) AS distinct_tokens FROM (SELECT doc_id, unnest({S.tokens('text')}) AS t FROM documents) GROUP BY doc_id",
+    f"SELECT doc_id, CAST(len(t) AS BIGINT) AS tokens, CAST(len(list_distinct(t)) AS BIGINT) AS distinct_tokens FROM (SELECT doc_id, {S.tokens('text')} AS t FROM documents)",
 )
 def tokenize_counts(spark, folder):
     tokens = inputs.table(spark, folder, "documents").select("doc_id", T.tokenize("text").alias("t"))
     return tokens.select(
         "doc_id", F.size("t").cast("bigint").alias("tokens"), F.size(F.array_distinct("t")).cast("bigint").alias("distinct_tokens")
-    ).where(F.col("tokens") > 0)
+    )
 
 
 @query("normalize_answer", f"SELECT conv_id, turn, {S.norm_answer('text')} AS answer FROM conversations")

@@ -76,10 +76,11 @@ def named_prompts(prompts: DataFrame) -> DataFrame:
 
 
 def output_layout(root: str, run: str) -> dict[str, str]:
-    """Paths of a run; dashboards live beside the output folder."""
-    folder = Path(root) / run
+    """Paths of a run, as strings so that URIs stay what they are; dashboards live beside the output folder."""
+    root = root.rstrip("/")
+    above = root.rpartition("/")[0] if "/" in root else "."
     names = ("results", "results_log", "summary", "baseline", "rows", "retrieval", "ranking", "eligibility", "prompts")
-    return {**{n: str(folder / n) for n in names}, "html": str(Path(root).parent / "dashboards" / f"{run}.html")}
+    return {**{n: f"{root}/{run}/{n}" for n in names}, "html": f"{above}/dashboards/{run}.html"}
 
 
 def write_index(chunks: DataFrame, path: str) -> None:

@@ -103,12 +103,35 @@ def cached_spans(spans: DataFrame, documents: DataFrame) -> DataFrame:
     return spans.join(documents.select("document_row_id").distinct(), "document_row_id", "left_semi")
 
 
+def _small_json(spark: SparkSession, path: str):
+    """A small JSON document from any store Spark reads."""
+    return json.loads(spark.read.option("wholetext", True).text(path).first()["value"])
+
+
+def _named_table(spark: SparkSession, path: str, columns: set[str]) -> DataFrame | None:
+    """A folder or file of JSON lines with these columns, as plans write them; None if it is something else."""
+    found = spark.read.json(path)
+    return found if columns <= set(found.columns) else None
+
+
 def read_split_ids(spark: SparkSession, reference: str) -> DataFrame | None:
-    """Row ids of ``PATH:SPLIT`` (or ``PATH`` holding a list); nested {"splits": {...}} and flat files both work."""
+    """Row ids of ``PATH:SPLIT`` (or ``PATH`` holding a list).
+
+    ``PATH`` is any path or URI: a JSON document, nested {"splits": {...}} or flat, or the folder of splits that prompt
+    improvement writes, which stays distributed.
+    """
     if not reference:
         return None
-    path, _, name = reference.partition(":")
-    content = json.loads(Path(path).read_text(encoding="utf-8"))
+    path, _, name = reference.rpartition(":")
+    if not path or "/" in name:
+        path, name = reference, ""
+    table = _named_table(spark, path, {"split", "row_id"})
+    if table is not None:
+        chosen = table.where(F.col("split") == name) if name else table
+        if chosen.isEmpty():
+            raise KeyError(f"split {name!r} not found in {path}")
+        return chosen.select(F.col("row_id").cast("string").alias("row_id")).distinct()
+    content = _small_json(spark, path)
     if name:
         named = content.get("splits", content)
         if name not in named:
@@ -120,9 +143,14 @@ def read_split_ids(spark: SparkSession, reference: str) -> DataFrame | None:
 
 
 def read_prompts(spark: SparkSession, path: str) -> DataFrame:
-    """Prompt dimension (category, prompt) from a JSON object file; nothing is executed."""
-    content = json.loads(Path(path).read_text(encoding="utf-8"))
-    return spark.createDataFrame([(str(k), str(v)) for k, v in content.items()], "category string, prompt string")
+    """Prompt dimension (category, prompt): JSON lines as prompt improvement writes them, or one JSON object.
+
+    ``path`` is any path or URI; nothing is executed.
+    """
+    table = _named_table(spark, path, {"category", "prompt"})
+    if table is not None:
+        return table.select(F.col("category").cast("string").alias("category"), F.col("prompt").cast("string").alias("prompt"))
+    return spark.createDataFrame([(str(k), str(v)) for k, v in _small_json(spark, path).items()], "category string, prompt string")
 
 
 def find_summary(path: str, name: str) -> str:

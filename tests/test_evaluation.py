@@ -122,3 +122,18 @@ def test_merge_pending_sample(spark):
     with pytest.raises(ValueError):
         sample_ids(ids, 511, 1)
     assert json.loads(spark.range(1).select(F.to_json(R.parse_gold_answers(F.lit('["a"]')))).first()[0]) == ["a"]
+
+
+def test_flags_of_all_kinds(spark):
+    from pyspark.sql import functions as F
+
+    from spanlake.operators.incremental import require_complete
+    from spanlake.operators.scoring import parse_answer, parse_bool
+
+    numbers = spark.createDataFrame([(1.0, 2), (0.0, 0)], "x double, n int").select(parse_bool("x").alias("x"), parse_bool("n").alias("n"))
+    assert [tuple(r) for r in numbers.collect()] == [(True, True), (False, False)]
+    said = ['{"answer": "a", "marked_impossible": "yes"}', '```json\n{"answer": "b", "marked_impossible": false}\n```', '{"answer": "c", "marked_impossible": true}', "plain"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(said)], "i int, t string").select("i", parse_answer(F.col("t")).alias("p")).orderBy("i").collect()
+    assert [(r.p.answer, r.p.marked_impossible) for r in rows] == [("a", True), ("b", False), ("c", True), ("plain", False)]
+    results = spark.createDataFrame([("1", None), ("2", "x")], "row_id string, value string")
+    assert require_complete(results, results.select("row_id")).count() == 2

@@ -47,6 +47,36 @@ def test_other_corpus_shapes(spark, tmp_path):
     assert S.questions_from_paragraphs(S.paragraphs_from_contracts(many)).count() == 0
 
 
+def test_every_record_of_every_corpus_shape_has_its_own_id(spark, tmp_path):
+    records = [{"title": f"t{i}", "paragraphs": []} for i in range(7)]
+    (tmp_path / "list.json").write_text(json.dumps(records[:3], indent=1))
+    (tmp_path / "lines.jsonl").write_text("".join(json.dumps(r) + "\n" for r in records))
+    (tmp_path / "folder").mkdir()
+    (tmp_path / "folder" / "a.json").write_text(json.dumps({"data": records[:2]}))
+    (tmp_path / "folder" / "b.json").write_text(json.dumps({"data": records[2:5]}))
+    spark.read.json(str(tmp_path / "lines.jsonl"), schema=S.RECORD_SCHEMA).write.parquet(f"file://{tmp_path}/c.parquet")
+    for name, n in (("list.json", 3), ("lines.jsonl", 7), ("folder", 5), ("c.parquet", 7)):
+        rows = S.contracts_from_records(S.read_corpus(spark, f"file://{tmp_path}/{name}")).collect()
+        assert sorted((r.document_row_id, r.title) for r in rows) == [(i, f"t{i}") for i in range(n)], name
+
+
+def test_splits_and_prompts_as_they_are_written(spark, tmp_path):
+    place = f"file://{tmp_path}"
+    spark.createDataFrame([("train", "1:0"), ("holdout", "2:0"), ("holdout", "2:1")], "split string, row_id string").write.partitionBy("split").json(f"{place}/splits")
+    assert sorted(r.row_id for r in L.read_split_ids(spark, f"{place}/splits:holdout").collect()) == ["2:0", "2:1"]
+    spark.createDataFrame([("A", "ask A", "A_SYSTEM_PROMPT")], "category string, prompt string, name string").write.json(f"{place}/prompts")
+    assert [tuple(r) for r in L.read_prompts(spark, f"{place}/prompts").collect()] == [("A", "ask A")]
+    (tmp_path / "p.json").write_text(json.dumps({"B": "ask B"}))
+    assert [tuple(r) for r in L.read_prompts(spark, f"{place}/p.json").collect()] == [("B", "ask B")]
+
+
+def test_layout_keeps_uris():
+    from spanlake.sinks.tables import output_layout
+
+    assert output_layout("s3a://bucket/out", "r")["results"] == "s3a://bucket/out/r/results"
+    assert output_layout("s3a://bucket/out/", "r")["html"] == "s3a://bucket/dashboards/r.html"
+
+
 def test_selection_and_splits(spark, tables, tmp_path):
     chosen = spark.createDataFrame([(0, 0), (1, 1)], "document_row_id int, selection_pos int")
     assert select_rows(tables["questions"], chosen).count() == 4
