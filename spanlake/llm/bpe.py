@@ -28,6 +28,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanlake.llm.batches import bound_batches
+
 #: The public pattern that splits a text into words before the merges of byte-level BPE.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CACHED_WORDS = 200_000
@@ -199,6 +201,7 @@ def encode_texts(docs: DataFrame, path: str, text: str = "text", into: str = "id
 
     With ``decoded``, that column gets what the ids decode to, in the same pass (one Python worker per task, not two).
     """
+    bound_batches(docs.sparkSession)
     definition = _shared(docs, path)
     rest = [F.col(c) for c in docs.columns if c not in (into, decoded)]
 
@@ -220,6 +223,7 @@ def encode_texts(docs: DataFrame, path: str, text: str = "text", into: str = "id
 
 def decode_ids(docs: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """``docs`` with the text of each id list; null and empty lists give an empty text."""
+    bound_batches(docs.sparkSession)
     definition = _shared(docs, path)
     rest = [F.col(c) for c in docs.columns if c != into]
 

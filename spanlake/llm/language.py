@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spanlake.llm.batches import bound_batches
 from spanlake.session import cut_lineage
 
 UNDETERMINED = "und"
@@ -127,6 +128,7 @@ def fit_profiles(docs: DataFrame, size: int = 300, max_rows: int = 2000, max_let
     The sample is bounded: of each language the ``max_rows`` texts with the smallest text hash, counted whole in the
     tasks; only n-gram counts of whole languages, cut at the ``size`` most frequent, and letter counts reach the driver.
     """
+    bound_batches(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     place = F.row_number().over(W.partitionBy("lang").orderBy("h", "n"))
     chosen = known.select("lang", F.xxhash64("text").alias("h"), F.length("text").alias("n")).distinct().withColumn("_p", place).where(F.col("_p") <= max_rows)
@@ -198,6 +200,7 @@ def identify_language(docs: DataFrame, profiles: Profiles, text: str = "text", i
     pass through untouched; columns named as the two new ones are replaced.
     """
 
+    bound_batches(docs.sparkSession)
     rest = [F.col(c) for c in docs.columns if c not in into]
 
     @F.pandas_udf("lang string, score double")

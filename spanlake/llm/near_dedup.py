@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanlake.llm.batches import bound_batches
 from spanlake.llm.components import connected_components
 from spanlake.llm.groups import sorted_groups
 from spanlake.llm.words import mix, slices, windows
@@ -183,6 +184,7 @@ def near_duplicate_classes(docs: DataFrame, words: int = 5, percent: int = 80, b
     each come back with the class of their text. A row without doc_id can't be named as a class: its component_id is
     null and it is kept. An empty table gives an empty result.
     """
+    bound_batches(docs.sparkSession)
     columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     profile = cut_lineage(columns.mapInArrow(_profiles(words, bands, rows), "doc_id long, fingerprint binary, n_shingles long, bands array<long>"))
     named = profile.where("doc_id is not null and n_shingles > 0")

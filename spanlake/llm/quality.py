@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanlake.llm.batches import bound_batches
 from spanlake.llm.boosting import FlatTrees, train
 from spanlake.llm.words import SPACE, mix, slices, windows
 from spanlake.session import cut_lineage
@@ -99,6 +100,7 @@ def features(counts: np.ndarray) -> np.ndarray:
 
 def document_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without its text, with one long column ``q_<count>`` for each of COUNTS, in one pass over whole texts."""
+    bound_batches(docs.sparkSession)
     rest = [c for c in docs.columns if c != text]
     fields = docs.select(*rest).schema.simpleString()[len("struct<") : -1]
     names = [f"q_{c}" for c in COUNTS]
