@@ -116,9 +116,25 @@ def document_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(*rest, F.col(text).cast("string").alias(text)).mapInArrow(run, f"{fields}, {wanted}" if fields else wanted)
 
 
+def _breaks_rules(n_words, n_repeat_words):
+    """Fewer than 10 words, or more than a fifth of the words in windows that repeat; for columns and arrays alike."""
+    return (n_words < 10) | (100 * n_repeat_words > 20 * n_words)
+
+
 def base_failed() -> Column:
-    """Fewer than 10 words, or more than a fifth of the words in windows that repeat."""
-    return (F.col("q_n_words") < 10) | (100 * F.col("q_n_repeat_words") > 20 * F.col("q_n_words"))
+    return _breaks_rules(F.col("q_n_words"), F.col("q_n_repeat_words"))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> DataFrame:
+    """doc_id and text of the documents that ``fit_quality`` may learn from, so that only their texts are counted.
+
+    Of the ids in both tables whose label is 0 or 1, the ``max_rows`` with the smallest hash: a bounded list, which is
+    broadcast. Null ids have no label. An empty table on either side gives an empty sample.
+    """
+    known = labels.where("quality in (0, 1)").select(F.col("doc_id").cast("long").alias("_id")).distinct()
+    ids = docs.select(F.col("doc_id").cast("long").alias("_id"))
+    chosen = cut_lineage(known.join(ids, "_id", "left_semi").orderBy(F.xxhash64("_id"), "_id").limit(max_rows))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"), "left_semi")
 
 
 def fit_quality(counted: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> FlatTrees:
@@ -159,3 +175,21 @@ def judge_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, th
     """
     counted = cut_lineage(document_counts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")))
     return score_quality(counted, fit_quality(counted, labels, max_rows), threshold)
+
+
+def keeps_text(model: FlatTrees, threshold: float = 0.5):
+    """The verdict of ``judge_quality`` as a column function of a text, for filters: one pass, only the verdict comes back.
+
+    A null or empty text is not kept. With a model trained without both labels the base rules alone decide.
+    """
+    n_words, n_repeat_words = COUNTS.index("n_words"), COUNTS.index("n_repeat_words")
+
+    @F.arrow_udf("boolean")
+    def kept(texts: pa.Array) -> pa.Array:
+        counts = text_counts(texts)
+        good = ~_breaks_rules(counts[:, n_words], counts[:, n_repeat_words])
+        if len(model.roots):
+            good &= model.probability(features(counts)) >= threshold
+        return pa.array(good)
+
+    return lambda text: kept(F.col(text).cast("string"))

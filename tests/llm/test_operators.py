@@ -83,6 +83,11 @@ def test_quality_counts_equal_plain_python(spark, odd, none):
     judged = quality.judge_quality(odd, labels)
     assert judged.count() == len(ODD) and not judged.where("doc_id = 2").first().kept
     assert quality.judge_quality(none, labels.limit(0)).count() == 0
+    model = quality.fit_quality(quality.document_counts(quality.labelled_sample(odd, labels)), labels)
+    kept = odd.where(quality.keeps_text(model)("text")).select("doc_id")
+    assert sorted(map(str, kept.collect())) == sorted(map(str, judged.where("kept").select("doc_id").collect()))
+    assert quality.labelled_sample(none, labels).count() == 0 and none.where(quality.keeps_text(model)("text")).count() == 0
+    assert quality.labelled_sample(odd, labels, max_rows=0).count() == 0
 
 
 def test_trees_are_right_and_monotonic():
