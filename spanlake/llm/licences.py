@@ -1,8 +1,11 @@
-"""License scans: TF-IDF cosine of the lines of files to templates, then inheritance from the nearest ancestor directory.
-
-Only DataFrame operations. Vectors are sparse: the vocabulary is that of the templates (some dozens of words), a line's
-words outside it enter its length only, each as a word of its own. Document frequencies are counted over all lines of
-all files. A line whose known words can't reach the threshold even if they all fit one template is not compared.
+"""License scans: TF-IDF cosine of the passages of files to templates, then inheritance from the nearest ancestor directory.
+
+Only DataFrame operations. A passage is a window of as many words as the template has, from each word of the whole text
+that is one of the template's, and across its lines (up to the end where the text is shorter). So notices within a
+sentence, headers wrapped over commented lines and licence texts are each one vector. Document frequencies are counted
+over all files; words outside the template have the mean weight of the vocabulary, each as a word of its own. A short
+notice counts only with its licence's name in the window. A file is passed over for a template only if the words they
+share can't reach the threshold in any window.
 """
 
 from __future__ import annotations
@@ -10,30 +13,82 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanlake.session import cut_lineage
 
-#: Notices by which files and licence files name their licence.
+_AS_IS = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_BSD_2 = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_3 = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_GNU_COPY = "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."
+_GNU_HEADER = "is free software: you can redistribute it and/or modify it under the terms of the GNU {0} as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0} for more details. You should have received a copy of the GNU {0} along with this program."
+
+
+def _gnu(name: str, short: str, version: str, dated: str, title: str) -> list[str]:
+    """Notices, the header of files, and the opening of the licence file of a GNU licence."""
+    return [
+        f"Licensed under the {name}, version {version}.", f"This work is licensed under the {name}, version {version}.", f"Released under the terms of the {name} version {version} or later.",
+        f"This program is free software: you can redistribute it and/or modify it under the terms of the {name}, version {version}.", f"Licensed under the {short} version {version}.", f"Licensed under {short}v{version.removesuffix('.0')}.",
+        f"SPDX-License-Identifier: {short}-{dated}", f"This program {_GNU_HEADER.format(name.removeprefix('GNU '), version)}", title,
+    ]
+
+
+def _creative(name: str, short: str) -> list[str]:
+    return [f"Licensed under CC {short} 4.0.", f"This work is licensed under a Creative Commons {name} 4.0 International License.", f"Creative Commons {name} 4.0 International Public License", f"SPDX-License-Identifier: CC-{short}-4.0"]
+
+
+#: Notices, headers and texts by which files and licence files name their licence. Of licences of many
+#: pages the opening of the licence file stands for it, which is a passage of that file.
 TEMPLATES = {
-    "MIT": ["Released under the MIT License.", "This project is licensed under the terms of the MIT license.", "SPDX-License-Identifier: MIT"],
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0"],
-    "GPL-3.0": [
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License, version 3.",
-        "SPDX-License-Identifier: GPL-3.0",
+    "MIT": [
+        "Released under the MIT License.", "Licensed under the MIT License.", "This project is licensed under the terms of the MIT license.", "SPDX-License-Identifier: MIT", "The MIT License (MIT)",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ],
+    "ISC": [
+        "Licensed under the ISC License.", "SPDX-License-Identifier: ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
+    ],
+    "Apache-2.0": [
+        "Licensed under the Apache License, Version 2.0.", "Released under the Apache 2.0 License.", "SPDX-License-Identifier: Apache-2.0",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION 1. Definitions. \"License\" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document.",
+    ],
+    "GPL-2.0": _gnu("GNU General Public License", "GPL", "2", "2.0", f"GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc. {_GNU_COPY}"),
+    "GPL-3.0": _gnu("GNU General Public License", "GPL", "3", "3.0", f"GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. {_GNU_COPY} Preamble The GNU General Public License is a free, copyleft license for software and other kinds of works."),
+    "LGPL-2.1": _gnu("GNU Lesser General Public License", "LGPL", "2.1", "2.1", f"GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999 Copyright (C) 1991, 1999 Free Software Foundation, Inc. {_GNU_COPY}"),
+    "LGPL-3.0": [
+        "This library is licensed under the GNU Lesser General Public License, version 3.",
+        *_gnu("GNU Lesser General Public License", "LGPL", "3", "3.0", f"GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. {_GNU_COPY} This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below."),
+    ],
+    "AGPL-3.0": _gnu("GNU Affero General Public License", "AGPL", "3", "3.0", f"GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 Copyright (C) 2007 Free Software Foundation, Inc. {_GNU_COPY} Preamble The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software."),
+    "MPL-2.0": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.", "Licensed under the Mozilla Public License, version 2.0.", "SPDX-License-Identifier: MPL-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+        "Mozilla Public License Version 2.0 1. Definitions 1.1. \"Contributor\" means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software.",
     ],
-    "LGPL-3.0": ["This library is licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0"],
-    "AGPL-3.0": ["Licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0"],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.", "SPDX-License-Identifier: MPL-2.0"],
-    "BSD-3-Clause": ["Licensed under the 3-clause BSD License.", "SPDX-License-Identifier: BSD-3-Clause"],
-    "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "CC0-1.0": ["Dedicated to the public domain under CC0 1.0.", "SPDX-License-Identifier: CC0-1.0"],
+    "BSD-2-Clause": ["Licensed under the 2-clause BSD License.", "SPDX-License-Identifier: BSD-2-Clause", f"{_BSD_2} {_AS_IS}"],
+    "BSD-3-Clause": ["Licensed under the 3-clause BSD License.", "SPDX-License-Identifier: BSD-3-Clause", f"{_BSD_2} {_BSD_3} {_AS_IS}"],
+    "CC-BY-4.0": _creative("Attribution", "BY"),
+    "CC-BY-SA-4.0": _creative("Attribution-ShareAlike", "BY-SA"),
+    "CC-BY-NC-4.0": _creative("Attribution-NonCommercial", "BY-NC"),
+    "CC-BY-ND-4.0": _creative("Attribution-NoDerivatives", "BY-ND"),
+    "CC-BY-NC-SA-4.0": _creative("Attribution-NonCommercial-ShareAlike", "BY-NC-SA"),
+    "CC-BY-NC-ND-4.0": _creative("Attribution-NonCommercial-NoDerivatives", "BY-NC-ND"),
+    "CC0-1.0": ["Dedicated to the public domain under CC0 1.0.", "SPDX-License-Identifier: CC0-1.0", "Creative Commons CC0 1.0 Universal Public Domain Dedication"],
 }
+#: The words of which a short notice's window must have one of each group.
+NAMES = {
+    "MIT": ["mit"], "ISC": ["isc"], "Apache-2.0": ["apache", "2.0"], "GPL-2.0": ["gnu gpl gplv2", "2 2.0 gplv2"], "GPL-3.0": ["gnu gpl gplv3", "3 3.0 gplv3"],
+    "LGPL-2.1": ["lesser lgpl lgplv2.1", "2.1 lgplv2.1"], "LGPL-3.0": ["lesser lgpl lgplv3", "3 3.0 lgplv3"], "AGPL-3.0": ["affero agpl agplv3", "3 3.0 agplv3"], "MPL-2.0": ["mozilla mpl", "2.0"],
+    "BSD-2-Clause": ["bsd", "2"], "BSD-3-Clause": ["bsd", "3"], "CC0-1.0": ["cc0"], "CC-BY-4.0": ["by attribution", "4.0"], "CC-BY-SA-4.0": ["sa sharealike", "4.0"], "CC-BY-NC-4.0": ["nc noncommercial", "4.0"],
+    "CC-BY-ND-4.0": ["nd noderivatives", "4.0"], "CC-BY-NC-SA-4.0": ["nc noncommercial", "sa sharealike", "4.0"], "CC-BY-NC-ND-4.0": ["nc noncommercial", "nd noderivatives", "4.0"],
+}
+#: Templates of fewer words are notices; words of every text, which weigh least whatever the files' language.
+NOTICE_WORDS = 30
+COMMON = frozenset("a an and any are as at be by for from in is it its of on or that the this to under with".split())
 _TOKEN = r"[\p{L}\p{N}]+(?:\.\p{N}+)*"
 
 
@@ -41,53 +96,84 @@ def _tokens(text: str) -> list[str]:
     return re.findall(r"[^\W_]+(?:\.\d+)*", text.lower())
 
 
-def _lookup(values: dict[str, float], token: Column) -> Column:
-    """The value of a token; tokens are from the (bounded) vocabulary or give 0."""
-    table = F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
-    return F.coalesce(F.element_at(table, token), F.lit(0.0))
+def _strings(values: list[str]) -> Column:
+    return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
+
+
+def _numbers(values: list[float]) -> Column:
+    return F.array(*[F.lit(float(v)) for v in values])
+
+
+def _template(name: str, counts: Counter, idf: dict[str, float], threshold: float) -> Column:
+    """A template as a struct: its words with their part of the cosine and their square, and what a text must have at least."""
+    words = sorted(counts)
+    length = math.sqrt(sum((counts[t] * idf[t]) ** 2 for t in words))
+    size, least, mass = sum(counts.values()), 0, 0.0
+    for square in sorted(((counts[t] * idf[t]) ** 2 for t in words), reverse=True):
+        if mass >= threshold**2 * length**2 - 1e-9:
+            break
+        mass, least = mass + square, least + 1
+    groups = [[t for t in group.split() if t in counts] or group.split() for group in NAMES.get(name, [])] if size < NOTICE_WORDS else []
+    # the groups as one list each, of which there are three at most
+    named = [_strings(g).alias(f"named{k}") for k, g in enumerate((groups + [[], [], []])[:3])]
+    return F.struct(
+        F.lit(name).alias("licence"), F.lit(size).alias("size"), F.lit(least).alias("least"), _strings(words).alias("words"), _numbers([counts[t] * idf[t] ** 2 / length for t in words]).alias("part"),
+        _numbers([idf[t] ** 2 for t in words]).alias("square"), *named,
+    )
+
+
+def _names_in(template: Column, words: Column) -> Column:
+    """Whether there is a word of each group of names that the template needs."""
+    groups = [template[f"named{k}"] for k in range(3)]
+    return reduce(lambda a, b: a & b, [(F.size(g) == 0) | F.arrays_overlap(g, words) for g in groups])
+
+
+def _best_window(w: Column, template: Column, other: float) -> Column:
+    """The best cosine over the windows that start at a word of the template."""
+    hits = F.filter(F.transform(w, lambda t, i: F.struct(i.alias("p"), F.array_position(template["words"], t).cast("int").alias("j"))), lambda h: h["j"] > 0)
+
+    def scored(hits: Column) -> Column:
+        def cosine(h: Column, inside: Column) -> Column:
+            n = F.least(template["size"], F.size(w) - h["p"])
+            start = F.struct(F.lit(0).alias("j"), F.lit(0).alias("run"), F.lit(0.0).alias("dot"), F.lit(0.0).alias("norm"))
+
+            def add(a: Column, j: Column) -> Column:  # a word said n times adds 1 + 3 + .. + (2n - 1) = n squared times its square
+                run = F.when(a["j"] == j, a["run"] + 1).otherwise(F.lit(1))
+                return F.struct(j.alias("j"), run.alias("run"), (a["dot"] + F.element_at(template["part"], j)).alias("dot"), (a["norm"] + (2 * run - 1) * F.element_at(template["square"], j)).alias("norm"))
 
+            full = F.aggregate(F.array_sort(inside), start, add, lambda a: F.least(F.lit(1.0), a["dot"] / F.sqrt(a["norm"] + (n - F.size(inside)) * F.lit(other * other))))
+            return F.when(_names_in(template, F.transform(inside, lambda j: F.element_at(template["words"], j))), full)
 
-def _total(tokens: str, values: dict[str, float]) -> Column:
-    return F.aggregate(tokens, F.lit(0.0), lambda a, t: a + _lookup(values, t))
+        def at(h: Column, i: Column) -> Column:
+            inside = F.filter(F.slice(hits, i + 1, template["size"]), lambda g: g["p"] < h["p"] + template["size"])
+            return F.transform(F.array(F.transform(inside, lambda g: g["j"])), lambda js: cosine(h, js))[0]
 
+        return F.array_max(F.transform(hits, at))
 
-def line_tokens(files: DataFrame, path: str, text: str, vocabulary: list[str]) -> DataFrame:
-    """(path, known, others) per line with a known word: its known words in order, and the number of its other words."""
-    lines = files.select(F.col(path).alias("path"), F.explode(F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), "\n")).alias("line"))
-    found = lines.select("path", F.regexp_extract_all(F.lower("line"), F.lit(_TOKEN), 0).alias("w"))
-    known = found.select("path", F.filter("w", lambda t: t.isin(vocabulary)).alias("known"), F.size("w").alias("n"))
-    return known.where(F.size("known") > 0).select("path", "known", (F.col("n") - F.size("known")).alias("others"))
+    # the hits are worked out once, as the only element of an array
+    return F.transform(F.array(hits), scored)[0]
 
 
 def scan_licences(files: DataFrame, templates: dict[str, list[str]] | None = None, path: str = "path", text: str = "text", threshold: float = 0.6) -> DataFrame:
-    """(path, licence, score): of each file with a line of cosine ``threshold`` or more to a template, the best one.
+    """(path, licence, score): of each file with a passage of cosine ``threshold`` or more to a template, the best one.
 
-    Every line of the whole text is compared. Ties go to the smaller licence name. Null and empty texts, and files
-    without such a line, give no row. Rows repeating a path are one file.
+    Ties go to the smaller licence name. Null and empty texts, and files without such a passage, give no row. Rows
+    repeating a path are one file.
     """
-    templates = templates or TEMPLATES
-    notices = [(name, Counter(_tokens(t))) for name, texts in sorted(templates.items()) for t in texts]
+    notices = [(name, Counter(_tokens(t))) for name, texts in sorted((templates or TEMPLATES).items()) for t in texts]
     vocabulary = sorted({t for _, c in notices for t in c})
-    lines = line_tokens(files, path, text, vocabulary)
-    counted = lines.select(F.explode(F.array_distinct("known")).alias("t")).groupBy("t").count().collect()  # a row per word of the vocabulary
-    total = files.agg(F.sum(F.size(F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), "\n")))).first()[0] or 0
-    seen = {r["t"]: r["count"] for r in counted}
-    idf = {t: math.log((1 + total) / (1 + seen.get(t, 0))) + 1 for t in vocabulary}
-    rare = math.log(1 + total) + 1
-    weight = lambda t: _lookup({k: v * v for k, v in idf.items()}, t)
-    each = F.transform(F.array_distinct("known"), lambda t: F.pow(F.size(F.filter("known", lambda x: x == t)), 2) * weight(t))
-    square = F.aggregate(each, F.lit(0.0), lambda a, x: a + x)
-    measured = lines.withColumn("_known2", square).withColumn("_all2", F.col("_known2") + F.col("others") * (rare * rare))
-    near = measured.where(F.col("_known2") >= threshold * threshold * F.col("_all2"))
-    scores = []
-    for name, counts in notices:
-        length = math.sqrt(sum((n * idf[t]) ** 2 for t, n in counts.items()))
-        part = {t: n * idf[t] ** 2 / length for t, n in counts.items()}
-        dot = _total("known", part)
-        scores.append(F.struct(F.round(dot / F.sqrt("_all2"), 9).alias("score"), F.lit(name).alias("licence")))
-    best = near.select("path", F.explode(F.array(*scores)).alias("s")).select("path", "s.*").where(F.col("score") >= threshold)
+    found = files.select(F.col(path).alias("path"), F.regexp_extract_all(F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))), F.lit(_TOKEN), 0).alias("w"))
+    known = found.select("path", "w", F.array_intersect(_strings(vocabulary), "w").alias("known"))
+    counted = known.select(F.explode("known").alias("t")).groupBy("t").count().collect()  # a row per word of the vocabulary
+    seen, total = {r["t"]: r["count"] for r in counted}, files.count()
+    idf = {t: 1.0 if t in COMMON else math.log((1 + total) / (1 + seen.get(t, 0))) + 1 for t in vocabulary}
+    other = sum(idf.values()) / len(idf)
+    every = F.array(*[_template(name, counts, idf, threshold) for name, counts in notices])
+    may = F.filter(every, lambda t: (F.size(F.array_intersect(t["words"], "known")) >= t["least"]) & _names_in(t, F.col("known")))
+    asked = known.where(F.size("known") > 0).select("path", "w", F.explode(may).alias("t"))
+    scores = asked.select("path", F.col("t.licence").alias("licence"), F.round(_best_window(F.col("w"), F.col("t"), other), 9).alias("score"))
     rank = F.struct(-F.col("score"), F.col("licence"))
-    return best.groupBy("path").agg(F.min_by("licence", rank).alias("licence"), F.max("score").alias("score"))
+    return scores.where(F.col("score") >= threshold).groupBy("path").agg(F.min_by("licence", rank).alias("licence"), F.max("score").alias("score"))
 
 
 def _ancestors(path: Column) -> Column:

@@ -62,6 +62,44 @@ def test_licences_are_found_and_inherited(spark):
     assert licences.inherit_licences(empty, licences.scan_licences(empty)).count() == 0
 
 
+def test_licences_inline_wrapped_and_in_full(spark):
+    text = lambda name: max(licences.TEMPLATES[name], key=len)
+    wrap = lambda said, start, n=9: "\n".join(start + " ".join(said.split()[k : k + n]) for k in range(0, len(said.split()), n))
+    prose = "Plain words about boats and the weather of the coast. " * 60
+    cases = {
+        "inline.py": ("Copyright 2020 Jane Doe. Licensed under the MIT License.", "MIT"), "prose.md": ("Foo is released under the MIT License by the Bar authors.", "MIT"),
+        "deep.md": (f"{prose}Foo is licensed under the Apache License, Version 2.0. {prose}", "Apache-2.0"), "wrapped.c": ("/*\n * Released under\n * the MIT\n * License.\n */\nint x;", "MIT"),
+        "header.c": (f"/*\n{wrap(text('Apache-2.0').replace('TERMS', ''), ' * ')}\n */\nint x;", "Apache-2.0"), "gnu.py": (wrap(licences.TEMPLATES["GPL-3.0"][7], "# ", 7) + "\nx = 1", "GPL-3.0"),
+        "LICENSE-mit": ("Copyright (c) 2019 Jane\n\n" + wrap(text("MIT"), ""), "MIT"), "LICENSE-bsd": ("Copyright (c) 2019, Jane\n" + wrap(text("BSD-3-Clause"), "", 12), "BSD-3-Clause"),
+        "LICENSE-bsd2": (wrap(text("BSD-2-Clause"), ""), "BSD-2-Clause"), "COPYING": (wrap(text("LGPL-3.0"), "    ") + "\n" + prose, "LGPL-3.0"), "twice": ("the license the mit " * 3000 + "Licensed under CC BY-NC-SA 4.0.", "CC-BY-NC-SA-4.0"),
+        "other.md": ("Licensed under the Foo License, version 9.\nSPDX-License-Identifier: Foo-1.0", None), "prose.txt": (prose, None), "none": (None, None), "empty": ("", None),
+    }
+    found = {r.path: r.licence for r in licences.scan_licences(spark.createDataFrame([(p, t) for p, (t, _) in cases.items()], "path string, text string")).collect()}
+    assert {p: found.get(p) for p in cases} == {p: name for p, (_, name) in cases.items()}
+
+
+def test_licence_windows_equal_brute_force(spark):
+    r = random.Random(3)
+    templates = {"a": ["red green blue"], "b": ["green green black white pink"]}
+    texts = [" ".join(r.choice("red green blue black white pink sky sea".split()) for _ in range(r.randint(1, 25))) for _ in range(60)]
+    vocabulary = sorted({t for v in templates.values() for x in v for t in x.split()})
+    idf = {t: np.log((1 + len(texts)) / (1 + sum(t in x.split() for x in texts))) + 1 for t in vocabulary}
+    expected = {}
+    for k, text in enumerate(texts):
+        w = text.split()
+        for name, (template,) in templates.items():
+            c = Counter(template.split())
+            for s in range(len(w)):
+                n = Counter(w[s : s + len(template.split())])
+                if w[s] in c:
+                    norm = sum((n[t] * idf[t]) ** 2 if t in c else n[t] * np.mean(list(idf.values())) ** 2 for t in n) * sum((c[t] * idf[t]) ** 2 for t in c)
+                    score = round(min(1.0, sum(c[t] * n[t] * idf[t] ** 2 for t in c) / norm**0.5), 9)
+                    expected[k] = min(expected.get(k, (0, "")), (-score, name))
+    got = {r.path: r for r in licences.scan_licences(spark.createDataFrame(list(enumerate(texts)), "path int, text string"), templates).collect()}
+    assert set(got) == {k for k, (score, _) in expected.items() if score <= -0.6} and len(got) > 10
+    assert all(r.licence == expected[k][1] and r.score == pytest.approx(-expected[k][0], abs=2e-9) for k, r in got.items())
+
+
 def plain_counts(text):
     words = WORD.findall(text or "")
     windows = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
