@@ -20,9 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed values of HTML: elements inside a line of text, without content, and never shown as text.
-INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style noscript template head title svg math iframe object select button textarea canvas audio video".split())
+MATH = "math mrow mi mo mn ms mtext mspace msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle mpadded mphantom menclose mfenced mtable mtr mtd mmultiscripts mprescripts none semantics merror"
+INLINE = frozenset(f"{MATH} a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr mspace mprescripts none".split())
+HIDDEN = frozenset("script style noscript template head title svg annotation annotation-xml iframe object select button textarea canvas audio video".split())
 RAW = frozenset("script style title textarea iframe noscript".split())
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section summary table ul".split()
@@ -32,6 +33,9 @@ IMPLIED = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}),
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"tbody", "thead"}, {"table"}), "tfoot": ({"tbody", "thead"}, {"table"}),
 }
+#: Elements that can stand in a head; any other, and any text, ends it.
+HEAD = frozenset("base basefont bgsound link meta title script style noscript template noframes head".split())
+BLOCKS = CLOSES_P | IMPLIED.keys() | {"body", "thead", "caption"}
 P_STOPS = frozenset("body html table td th article section div main aside li blockquote".split())
 
 TAGS = "html body nav header footer aside form article main section div p heading list li table cell blockquote pre figure other".split()
@@ -66,26 +70,58 @@ class Page:
     marked: list[str] = field(default_factory=list)  # raw attributes
 
 
+def _closed(source: str, position: int) -> set[int]:
+    """Where the start tags of hidden elements are, from a position on, that have an end tag of their own."""
+    opened: dict[str, list[int]] = {}
+    out = set()
+    while m := _TOKEN.search(source, position):
+        position = m.end()
+        tag = (m[2] or "").lower()
+        if tag in RAW and not m[1]:
+            close = _raw_end(tag).search(source, position)
+            position = close.end() if close else len(source)
+        elif tag in HIDDEN and m[1]:
+            if opened.get(tag):
+                out.add(opened[tag].pop())
+        elif tag in HIDDEN and not m[3].endswith("/"):
+            opened.setdefault(tag, []).append(m.start())
+    return out
+
+
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}\s*/?>", re.I)
+
+
 def parse(source: str) -> Page:
-    """A forgiving reading of HTML: implied and missing end tags, void and raw elements, comments left out."""
+    """A forgiving reading of HTML: implied and missing end tags, void and raw elements, comments left out.
+
+    A hidden element ends at its own end tag or with its parent. One that has no end tag also ends where a block begins,
+    and a head ends at the first text or element that can't stand in it.
+    """
     page = Page(["html"], [-1], [frozenset()], [], [""])
     stack: list[tuple[str, int]] = [("html", 0)]  # open elements, each with its block element
     links = block = 0
-    hidden: str | None = None
+    hidden: list[tuple[int, bool]] = []  # places on the stack of hidden elements, and whether each has its own end tag
+    closed: set[int] | None = None
     position = 0
 
     def text_to(end: int) -> None:
-        if end > position and hidden is None:
+        if hidden and stack[hidden[0][0]][0] == "head" and len(hidden) == 1 and source[position:end].strip():
+            pop_to(hidden[0][0])
+        if end > position and not hidden:
             said = html.unescape(source[position:end])
             if said:
                 page.runs.append((stack[-1][1], block, said, links > 0))
 
     def pop_to(k: int) -> None:
         nonlocal links, block
-        for tag, _ in stack[k:]:
+        shown = hidden[0][0] if hidden else len(stack)
+        for tag, _ in stack[k:shown]:
             links -= tag == "a"
             block += tag not in INLINE
         del stack[k:]
+        while hidden and hidden[-1][0] >= k:
+            hidden.pop()
 
     while True:
         m = _TOKEN.search(source, position)
@@ -96,10 +132,6 @@ def parse(source: str) -> Page:
         tag = (m[2] or "").lower()
         if not tag:
             continue
-        if hidden is not None:
-            if m[1] and tag == hidden:
-                hidden = None
-            continue
         if m[1]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == tag:
@@ -109,13 +141,24 @@ def parse(source: str) -> Page:
                     break
             continue
         if tag in RAW:
-            close = re.compile(rf"</{tag}\s*/?>", re.I).search(source, position)
+            close = _raw_end(tag).search(source, position)
             position = close.end() if close else len(source)
-            block += tag not in INLINE
+            block += tag not in INLINE and not hidden
             continue
+        if hidden and tag in BLOCKS and (k := next((k for k, own in hidden if not own), None)) is not None:
+            pop_to(k)
+        if hidden and stack[hidden[0][0]][0] == "head" and len(hidden) == 1 and tag not in HEAD:
+            pop_to(hidden[0][0])
         if tag in HIDDEN:
-            if not m[3].endswith("/"):
-                hidden = tag
+            if not m[3].endswith("/") and len(stack) < 4000:
+                if closed is None and tag != "head":
+                    closed = _closed(source, m.start())
+                hidden.append((len(stack), tag == "head" or m.start() in closed))
+                stack.append((tag, stack[-1][1]))
+            continue
+        if hidden:
+            if tag not in VOID and not m[3].endswith("/") and len(stack) < 4000:
+                stack.append((tag, stack[-1][1]))
             continue
         if tag == "br":
             page.runs.append((stack[-1][1], block, " ", links > 0))

@@ -213,6 +213,25 @@ def test_pages_keep_the_article_only(spark):
     assert (found == np.concatenate([y for _, y in held])).mean() > 0.95
 
 
+def test_hidden_elements_end_where_they_must():
+    article = "<article><h1>Title of it</h1><p>" + "Some words of the article stand here, and more of them. " * 4 + "</p>{}<p>" + "The last words of the article are these, and that is all. " * 3 + "</p></article>"
+    model = pages.fit(pages.labelled_pages())
+    plain = pages.main_texts([f"<html><body>{article.format('')}</body></html>"], model)[0]
+    assert plain.startswith("Title of it\nSome words") and plain.endswith("that is all.")
+    inside = article.format("{}")
+    same = {
+        "head": "<html><head><title>x</title><body>" + article.format("") + "</body></html>", "head, no body": "<html><head><title>x</title><script>'<body>'</script><meta a=b>" + article.format(""),
+        **{f"unclosed {t}": f"<body>{inside.format(f'<{t}>')}</body>" for t in ("select", "button", "object", "svg", "audio", "video", "canvas", "template")},
+        **{f"unclosed {t} in p": f"<body>{inside.format(f'<p><{t}>')}</body>" for t in ("select", "button", "object", "svg")}, "unclosed before": "<body><select><option>A<option>B" + article.format("") + "</body>",
+        **{f"nested {t}": inside.format(f"<{t}><g><{t}><g>no</g></{t}> not this </g></{t}>") for t in ("svg", "object", "template", "button")}, "self-closing": inside.format("<svg/><svg><path/><text>no</text></svg>"),
+        "block inside": inside.format("<object><div><p>no</p></div></object>"), "link inside": inside.format('<button><a href="#">no</button>'),
+    }
+    got = dict(zip(same, pages.main_texts(list(same.values()), model), strict=True))
+    assert {k: v for k, v in got.items() if v != plain} == {}
+    maths = pages.main_texts([article.format("<p>So it holds that <math><mi>a</mi><mo>=</mo><msup><mi>b</mi><mn>2</mn></msup><annotation>tex</annotation></math> in all of the cases here.</p>")], model)[0]
+    assert "So it holds that a=b2 in all of the cases here." in maths
+
+
 def test_messages_equal_enumeration():
     r = np.random.default_rng(1)
     page = pages.parse("<div><p>a<p>b</div><section><div>c</div></section>")
