@@ -40,6 +40,7 @@ class Profiles:
     letters: np.ndarray
     grams: list[np.ndarray] = field(default_factory=list)
     ranks: list[np.ndarray] = field(default_factory=list)
+    floors: dict[str, float] = field(default_factory=dict)  # from fit_profiles(calibrate=True)
 
 
 _TABLES: dict[str, np.ndarray] = {}
@@ -122,11 +123,12 @@ def _pieces(texts: list[str | None]):
         yield start, np.concatenate(points), np.repeat(np.arange(len(points)), [len(p) for p in points])
 
 
-def fit_profiles(docs: DataFrame, size: int = 300, max_rows: int = 2000, max_letters: int = 4000) -> Profiles:
+def fit_profiles(docs: DataFrame, size: int = 300, max_rows: int = 2000, max_letters: int = 4000, calibrate: bool = False) -> Profiles:
     """Profiles of each language in ``docs`` (text, lang), from the rows with non-null lang and text.
 
     The sample is bounded: of each language the ``max_rows`` texts with the smallest text hash, counted whole in the
     tasks; only n-gram counts of whole languages, cut at the ``size`` most frequent, and letter counts reach the driver.
+    With ``calibrate`` each language also gets a floor: half the median score of the sample's rows that are found to be in it, rightly.
     """
     bound_batches(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
@@ -168,6 +170,9 @@ def fit_profiles(docs: DataFrame, size: int = 300, max_rows: int = 2000, max_let
         part = table[table["lang"] == lang].sort_values("gram")
         profiles.grams.append(part["gram"].to_numpy().astype(np.uint64))
         profiles.ranks.append(part["rank"].to_numpy().astype(np.int64) - 1)
+    if calibrate and profiles.languages:
+        right = identify_language(sample.select("lang", "text"), profiles).where("lang_pred = lang")
+        profiles.floors = {r.lang: r.floor for r in right.groupBy("lang").agg((F.median("score") / 2).alias("floor")).collect()}
     return profiles
 
 

@@ -334,6 +334,21 @@ def test_languages_held_out_and_odd(spark, odd, none):
     assert language.identify_language(none, language.fit_profiles(odd)).count() == 0
 
 
+def test_pipeline_language_stage_rejects_by_score_and_learns_of_no_labels(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text", "lang", "source")
+    r = random.Random(1)
+    letters = "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(2000))
+    bad = [(-1, "Это русский текст о погоде и море " * 20, None, "s"), (-2, letters, None, "s"), (-3, "xqzj kkkq wwvx zzpq " * 30, "en", "s"), (-4, "12 !", None, "s"), (-5, None, "en", "s"), (-6, "中文文本没有空格" * 30, None, "s")]
+    both = docs.unionByName(spark.createDataFrame(bad, docs.schema))
+    kept = [x.doc_id for x in corpus_pipeline.identify_languages(spark, both, FOLDER).collect()]
+    assert sorted(kept) == sorted(x.doc_id for x in docs.where(F.col("text").rlike(r"\p{L}")).collect())
+    unlabelled = both.withColumn("lang", F.lit(None).cast("string"))
+    kept = [x.doc_id for x in corpus_pipeline.identify_languages(spark, unlabelled, FOLDER).collect()]
+    assert sorted(k for k in kept if k < 0) == [-6, -3, -2, -1] and len(kept) == docs.where(F.col("text").rlike(r"\p{L}")).count() + 4
+
+
 def test_long_texts_are_counted_in_runs(monkeypatch):
     text = "der die das und ist nicht " * 3000
     points = language._code_points(text)
