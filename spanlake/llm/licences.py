@@ -163,17 +163,19 @@ def scan_licences(files: DataFrame, templates: dict[str, list[str]] | None = Non
     notices = [(name, Counter(_tokens(t))) for name, texts in sorted((templates or TEMPLATES).items()) for t in texts]
     vocabulary = sorted({t for _, c in notices for t in c})
     found = files.select(F.col(path).alias("path"), F.regexp_extract_all(F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))), F.lit(_TOKEN), 0).alias("w"))
-    known = found.select("path", "w", F.array_intersect(_strings(vocabulary), "w").alias("known"))
+    # written once, for the optimizer would find words anew in every filter and lambda
+    known = cut_lineage(found.select("path", "w", F.array_intersect(_strings(vocabulary), "w").alias("known")))
     counted = known.select(F.explode("known").alias("t")).groupBy("t").count().collect()  # a row per word of the vocabulary
     seen, total = {r["t"]: r["count"] for r in counted}, files.count()
     idf = {t: 1.0 if t in COMMON else math.log((1 + total) / (1 + seen.get(t, 0))) + 1 for t in vocabulary}
     other = sum(idf.values()) / len(idf)
     every = F.array(*[_template(name, counts, idf, threshold) for name, counts in notices])
     may = F.filter(every, lambda t: (F.size(F.array_intersect(t["words"], "known")) >= t["least"]) & _names_in(t, F.col("known")))
-    asked = known.where(F.size("known") > 0).select("path", "w", F.explode(may).alias("t"))
+    asked = known.where(F.size("known") > 0).select("path", "w", F.explode_outer(may).alias("t")).where(F.col("t").isNotNull())  # a plain explode would work out its array three times
     scores = asked.select("path", F.col("t.licence").alias("licence"), F.round(_best_window(F.col("w"), F.col("t"), other), 9).alias("score"))
     rank = F.struct(-F.col("score"), F.col("licence"))
-    return scores.where(F.col("score") >= threshold).groupBy("path").agg(F.min_by("licence", rank).alias("licence"), F.max("score").alias("score"))
+    best = scores.withColumn("score", F.coalesce("score", F.lit(0.0))).groupBy("path").agg(F.min_by("licence", rank).alias("licence"), F.max("score").alias("score"))
+    return best.where(F.col("score") >= threshold)
 
 
 def _ancestors(path: Column) -> Column:
