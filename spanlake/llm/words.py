@@ -1,8 +1,8 @@
 """Words of whole UTF-8 texts in Arrow batches, found and hashed with numpy instead of one Python object per word.
 
 A word is a run of bytes other than space, tab, line feed, vertical tab, form feed and carriage return. Texts are
-handled in slices of about a megabyte (a longer text in pieces cut at white space), so memory stays bounded
-whatever the batch holds. Hashes have 64 bits.
+handled in slices of about a megabyte, so memory follows the slice and not the batch; a longer text is a slice of its
+own, and its words are hashed a megabyte at a time. Hashes have 64 bits.
 """
 
 from __future__ import annotations
@@ -63,8 +63,8 @@ class Slice:
             out[full] = np.add.reduceat(mask, self.offsets[:-1][full], dtype=np.int64)
         return out
 
-    def word_bounds(self) -> tuple[np.ndarray, np.ndarray]:
-        solid = ~SPACE[self.data]
+    def word_bounds(self, separators: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+        solid = ~separators[self.data]
         starts, ends = solid.copy(), solid.copy()
         starts[1:] &= ~solid[:-1]
         ends[:-1] &= ~solid[1:]
