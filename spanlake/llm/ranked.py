@@ -29,7 +29,7 @@ from spanlake.llm.batches import bound_batches
 from spanlake.session import cut_lineage
 
 BLOCK = 128
-SHARD_POSTINGS = 1 << 21
+SHARD_POSTINGS = 1 << 19
 QUERY_BLOCK = 512
 _NO_ID = np.iinfo(np.int64).max
 #: Every byte but letters and digits of ASCII and the bytes of other characters ends a term.
@@ -38,63 +38,78 @@ _SEPARATORS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 @dataclass
 class Shard:
-    """Postings of some documents. Arrays that a search reads whole are kept apart from the packed blocks."""
+    """Postings of some documents: what a search reads whole as arrays, and the packed blocks apart."""
 
     ids: np.ndarray
     lengths: np.ndarray
     terms: np.ndarray
-    #: Of each term the first of its blocks, and one behind the last.
-    first_block: np.ndarray
+    df: np.ndarray
+    #: Of each block its last document, largest frequency and shortest document.
     last_doc: np.ndarray
-    before: np.ndarray
-    count: np.ndarray
     most: np.ndarray
     shortest: np.ndarray
-    #: Width in bytes and place of a block's steps and frequencies in the packed bytes.
+    #: Bytes in which a block's steps and frequencies are packed.
     widths: tuple[np.ndarray, np.ndarray]
-    places: tuple[np.ndarray, np.ndarray]
     packed: tuple[bytes, bytes]
 
+    def __post_init__(self):
+        blocks = -(-self.df // BLOCK)
+        #: Of each term the first of its blocks, and one behind the last.
+        self.first_block = np.concatenate([[0], np.cumsum(blocks)]).astype(np.int32)
+        within = np.arange(len(self.last_doc), dtype=np.int32) - np.repeat(self.first_block[:-1], blocks)
+        self.count = np.minimum(BLOCK, np.repeat(self.df, blocks) - within * BLOCK).astype(np.int32)
+        self.before = np.where(within > 0, np.roll(self.last_doc, 1), 0)
+        self.places = tuple(_places(w, self.count) for w in self.widths)
+
     def postings(self, block: int) -> tuple[np.ndarray, np.ndarray]:
         """Documents and frequencies of a block, decompressed."""
         steps, tf = (np.frombuffer(p, f"<u{w[block]}", int(self.count[block]), int(at[block])) for p, w, at in zip(self.packed, self.widths, self.places, strict=True))
-        return np.cumsum(steps, dtype=np.int64) + self.before[block], tf.astype(np.int64)
+        return np.cumsum(steps, dtype=np.int32) + self.before[block], tf.astype(np.int64)
+
+    def stored(self) -> bytes:
+        return pickle.dumps((self.ids, self.lengths, self.last_doc, self.most, self.shortest, self.widths, self.packed), 5)
+
+    @classmethod
+    def read(cls, dictionary: bytes, stored: bytes) -> Shard:
+        ids, lengths, last_doc, most, shortest, widths, packed = pickle.loads(stored)
+        return cls(ids, lengths, *pickle.loads(dictionary), last_doc, most, shortest, widths, packed)
 
 
-def _pack(values: np.ndarray, first: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, bytes]:
+def _places(widths: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Where each block is packed: the blocks of one byte a value first, then those of two, then of four."""
+    out, at = np.zeros(len(widths), np.int64), 0
+    for width in (1, 2, 4):
+        own = widths == width
+        sizes = counts[own].astype(np.int64) * width
+        out[own] = at + np.cumsum(sizes) - sizes
+        at += int(sizes.sum())
+    return out
+
+
+def _pack(values: np.ndarray, first: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, bytes]:
     """Each block's values in 1, 2 or 4 bytes, as its largest needs."""
     most = np.maximum.reduceat(values, first) if len(first) else np.empty(0, np.int64)
     widths = np.where(most < 1 << 8, 1, np.where(most < 1 << 16, 2, 4)).astype(np.uint8)
-    places, parts, at = np.zeros(len(first), np.int64), [], 0
     of = np.repeat(widths, counts)
-    for width in (1, 2, 4):
-        own = widths == width
-        sizes = counts[own] * width
-        places[own] = at + np.cumsum(sizes) - sizes
-        parts.append(values[of == width].astype(f"<u{width}").tobytes())
-        at += int(sizes.sum())
-    return widths, places, b"".join(parts)
+    return widths, b"".join(values[of == width].astype(f"<u{width}").tobytes() for width in (1, 2, 4))
 
 
 def pack_shard(ids: np.ndarray, lengths: np.ndarray, term: np.ndarray, doc: np.ndarray, tf: np.ndarray) -> Shard:
     """The shard of postings (term, doc, tf) in the order of documents; ids and lengths by document."""
     order = np.argsort(term, kind="stable")
-    term, doc, tf = term[order], doc[order].astype(np.int64), tf[order].astype(np.int64)
-    terms, start, df = np.unique(term, return_index=True, return_counts=True)
+    term, doc, tf = term[order], doc[order].astype(np.int32), tf[order].astype(np.int32)
+    start = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])) if len(term) else np.empty(0, np.int64)
+    df = np.diff(start, append=len(term)).astype(np.int32)
     blocks = -(-df // BLOCK)
-    first_block = np.concatenate([[0], np.cumsum(blocks)]).astype(np.int64)
-    within = np.arange(first_block[-1]) - np.repeat(first_block[:-1], blocks)
+    first_block = np.cumsum(blocks) - blocks
+    within = np.arange(int(blocks.sum())) - np.repeat(first_block, blocks)
     first = np.repeat(start, blocks) + within * BLOCK
     counts = np.minimum(BLOCK, np.repeat(df, blocks) - within * BLOCK)
-    steps = np.diff(doc, prepend=0)
+    steps = np.diff(doc, prepend=np.int32(0))
     steps[start] = doc[start]
-    before = np.where(within > 0, doc[first - 1], 0) if len(first) else np.empty(0, np.int64)
-    packed = [_pack(v, first, counts) for v in (steps, tf)]
-    reduced = lambda f, v: f.reduceat(v, first) if len(first) else np.empty(0, np.int64)
-    return Shard(
-        ids, lengths, terms, first_block, doc[first + counts - 1], before, counts, reduced(np.maximum, tf), reduced(np.minimum, lengths[doc]),
-        (packed[0][0], packed[1][0]), (packed[0][1], packed[1][1]), (packed[0][2], packed[1][2]),
-    )
+    (step_widths, packed_steps), (tf_widths, packed_tf) = _pack(steps, first, counts), _pack(tf, first, counts)
+    reduced = lambda f, v: f.reduceat(v, first).astype(np.int32) if len(first) else np.empty(0, np.int32)
+    return Shard(ids, lengths.astype(np.int32), term[start], df, doc[first + counts - 1], reduced(np.maximum, tf), reduced(np.minimum, lengths[doc]), (step_widths, tf_widths), (packed_steps, packed_tf))
 
 
 def _terms(piece: words.Slice) -> tuple[np.ndarray, np.ndarray]:
@@ -112,9 +127,9 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush():
         lengths, term, doc, tf = (np.concatenate(c) for c in zip(*held, strict=True))
+        held.clear()
         shard = pack_shard(np.concatenate(ids), lengths, term, doc, tf)
-        df = np.add.reduceat(shard.count, shard.first_block[:-1]) if len(shard.terms) else np.empty(0, np.int64)
-        row = [int((lengths > 0).sum()), int(lengths.sum()), pickle.dumps((shard.terms, df), 5), pickle.dumps(shard, 5)]
+        row = [int((lengths > 0).sum()), int(lengths.sum()), pickle.dumps((shard.terms, shard.df), 5), shard.stored()]
         return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, schema.types, strict=True)], schema=schema)
 
     for batch in batches:
@@ -132,7 +147,7 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n_docs, n_postings = n_docs + n, n_postings + len(at)
             if n_postings >= SHARD_POSTINGS:
                 yield flush()
-                held, ids, n_docs, n_postings = [], [], 0, 0
+                ids, n_docs, n_postings = [], 0, 0
     if held:
         yield flush()
 
@@ -211,7 +226,7 @@ class ShardSearch:
 
     def __init__(self, shard: Shard, scoring: Scoring):
         self.shard, self.scoring = shard, scoring
-        self.block_bound = scoring.part(shard.most, shard.shortest)
+        self.block_bound = scoring.part(shard.most.astype(np.int64), shard.shortest.astype(np.int64))
         self.opened: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.lists: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.decompressed = 0
@@ -219,13 +234,15 @@ class ShardSearch:
     def block(self, b: int) -> tuple[np.ndarray, np.ndarray]:
         if b not in self.opened:
             doc, tf = self.shard.postings(b)
-            self.opened[b] = doc, self.scoring.part(tf, self.shard.lengths[doc])
+            self.opened[b] = doc, self.scoring.part(tf, self.shard.lengths[doc].astype(np.int64)).astype(np.int32)
             self.decompressed += 1
         return self.opened[b]
 
     def whole(self, t: int) -> tuple[np.ndarray, np.ndarray]:
         if t not in self.lists:
             parts = [self.block(b) for b in range(self.shard.first_block[t], self.shard.first_block[t + 1])]
+            if len(parts) == 1:
+                return parts[0]
             self.lists[t] = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         return self.lists[t]
 
@@ -247,7 +264,7 @@ class ShardSearch:
         floor, n, todo = best.floor, 0, int(rest[0] + bounds[0])
         while n < len(at) and todo >= floor:  # essential lists: a document in none of them can't reach the floor
             doc, part = self.whole(int(at[n]))
-            scores[doc] += part * weights[n]
+            scores[doc] += part.astype(np.int64) * weights[n]
             todo = int(rest[n])
             n += 1
             if n < len(at) and len(scores) > best.k:  # what is found so far only grows
@@ -270,7 +287,7 @@ class ShardSearch:
                 want = asked[of == one]
                 p = np.minimum(np.searchsorted(doc, want), len(doc) - 1)
                 hit = doc[p] == want
-                scores[want[hit]] += part[p[hit]] * weights[k]
+                scores[want[hit]] += part[p[hit]].astype(np.int64) * weights[k]
             if len(found) > best.k:
                 floor = max(floor, int(np.partition(scores[found], -best.k)[-best.k]))
         found = found[scores[found] >= max(floor, 1)]
@@ -283,8 +300,8 @@ def _search(queries: dict[int, tuple[np.ndarray, np.ndarray]], scoring: Scoring,
     def run(batches):
         best = {q: Best(k) for q in queries}
         for batch in batches:
-            for stored in batch.column(0):
-                search = ShardSearch(pickle.loads(stored.as_buffer()), scoring)
+            for dictionary, stored in zip(*batch.columns, strict=True):
+                search = ShardSearch(Shard.read(dictionary.as_buffer(), stored.as_buffer()), scoring)
                 for q, (terms, weights) in queries.items():
                     search.query(terms, weights, best[q])
         for q, b in best.items():
@@ -324,7 +341,7 @@ def search_index(index: DataFrame, items: DataFrame, k: int = 20, item_id: str =
             of = np.flatnonzero((q == one_q) & (weights > 0))
             of = of[np.argsort(term[of].view(np.uint64))]
             queries[one_q] = term[of].view(np.uint64), weights[of]
-        part = cut_lineage(index.select("shard").mapInArrow(_search(queries, scoring, k), "q long, doc_id long, score long"))
+        part = cut_lineage(index.select("dictionary", "shard").mapInArrow(_search(queries, scoring, k), "q long, doc_id long, score long"))
         found = part if found is None else found.unionByName(part)
     rank = F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), F.asc_nulls_last("doc_id")))
     best = found.withColumn("rank", rank).where(F.col("rank") <= k)
