@@ -1,12 +1,12 @@
 """Exact top-k by inner product with M-trees, searched best first.
 
-Vectors are dealt to cells by their nearest routing vector (a bounded sample), cells to pages of bounded size, and each
-page is one stored row with a small M-tree: routing objects with covering radius and distance to the parent's, entries
-with distance to their leaf's. For a query q and a ball around c of radius r no inner product exceeds q.c + |q| r, and
+Vectors are dealt to cells by their nearest routing vector (a bounded sample), cells to pages by the distance to it, and
+each page is one stored row with its radius and a small M-tree: routing objects with covering radius and distance to
+the parent's, entries with distance to their leaf's. For a query q and a ball around c of radius r no inner product exceeds q.c + |q| r, and
 for a node or entry at distance d from its parent p none exceeds q.p + |q| (d + r), which needs no product of its own.
 
-A query first searches one page of its best cell, which gives a k-th score, and then only pages of cells whose ball can
-reach that. Ties go to the smaller id, so a ball of radius 0 whose ids are all larger than the k-th is left out too.
+A query first searches one page of its best cell, which gives a k-th score, and then only pages whose ball can reach
+that. All queries of a page go down its tree in blocks, so what is left to compute are products of matrices.
 
 Of equal vectors only the k + 1 smallest ids can be in an answer, and equal queries are searched once; so copies, however many, are
 never compared with one another.
@@ -28,22 +28,60 @@ from spanlake.llm.groups import sorted_groups
 from spanlake.session import cut_lineage
 
 PAGE_ROWS = 4096
-LEAF_ROWS = 256
+LEAF_ROWS = 32
 FANOUT = 8
 MAX_CELLS = 256
+MAX_RINGS = 64
 QUERY_BLOCK = 2048
 
 
+class Answers:
+    """The k best (score, id) of each of some queries so far, and the score that a further one needs at least."""
+
+    def __init__(self, floors: np.ndarray, k: int):
+        self.k, self.floors = k, floors.astype(float)
+        self.held = [np.empty(0, np.int64)] * 3
+        self.fresh: list[list[np.ndarray]] = [[], [], []]
+        self.n = 0
+
+    def add(self, query: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        for column, part in zip(self.fresh, (query, scores, ids), strict=True):
+            column.append(part)
+        self.n += len(query)
+        if self.n > 2 * self.k * len(self.floors) + (1 << 16):
+            self.settle()
+
+    def settle(self) -> list[np.ndarray]:
+        """(query, score, id), the k best of each query; ties go to the smaller id."""
+        query, scores, ids = (np.concatenate([h, *f]) for h, f in zip(self.held, self.fresh, strict=True))
+        order = np.lexsort((ids, -scores, query))
+        query, scores, ids = query[order], scores[order], ids[order]
+        rank = np.arange(len(query)) - np.searchsorted(query, query)
+        full = rank == self.k - 1
+        self.floors[query[full]] = np.maximum(self.floors[query[full]], scores[full])
+        self.held = [column[rank < self.k] for column in (query, scores, ids)]
+        self.fresh, self.n = [[], [], []], 0
+        return self.held
+
+
 class MTree:
     """A bulk-loaded M-tree over one page of integer vectors."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        self.ids, self.vectors = ids, vectors
-        self.exact_floats = len(vectors) == 0 or float(np.abs(vectors).max(initial=0)) ** 2 * max(vectors.shape[1], 1) < 2.0**52
+        self.ids = ids
+        top = int(np.abs(vectors).max(initial=0))
+        self.vectors = vectors.astype(next(t for t in (np.int8, np.int16, np.int32, np.int64) if top <= np.iinfo(t).max))
+        self.exact_floats = float(top) ** 2 * max(vectors.shape[1], 1) < 2.0**52
         self.points = vectors.astype(float)
         self.nodes: list[dict] = []
         self._build(np.arange(len(ids)), self._middle(np.arange(len(ids))), 0.0)
-        self.root_radius = self.nodes[0]["radius"]
+        self.computed = self.asked = 0
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "points"}
+
+    def __setstate__(self, state):
+        self.__dict__ = state | {"points": state["vectors"].astype(float)}
 
     def _middle(self, rows: np.ndarray) -> int:
         """The row nearest to the mean: its ball tends to be small."""
@@ -52,7 +90,7 @@ class MTree:
     def _build(self, rows: np.ndarray, centre: int, parent_distance: float) -> int:
         apart = np.sqrt(((self.points[rows] - self.points[centre]) ** 2).sum(axis=1))
         at = len(self.nodes)
-        node = {"centre": centre, "radius": float(apart.max()), "parent_distance": parent_distance, "least": int(self.ids[rows].min())}
+        node = {"centre": centre, "radius": float(apart.max()), "parent_distance": parent_distance}
         self.nodes.append(node)
         if len(rows) > LEAF_ROWS and node["radius"] > 0:
             routes = [int(rows[apart.argmax()])]
@@ -71,57 +109,62 @@ class MTree:
                 if len(part):
                     c = self._middle(part)
                     children.append(self._build(part, c, float(np.sqrt(((self.points[c] - self.points[centre]) ** 2).sum()))))
-            node["children"] = children
+            node["children"] = np.array(children)
+            node["centres"] = np.array([self.nodes[c]["centre"] for c in children])
+            node["radii"] = np.array([self.nodes[c]["radius"] for c in children])
             node["reach"] = np.array([self.nodes[c]["parent_distance"] + self.nodes[c]["radius"] for c in children])
         else:
             node["rows"], node["apart"] = rows, apart
         return at
 
-    def search(self, query: np.ndarray, k: int, threshold: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
-        """The k best (score, id), scores first, ties to the smaller id; those below ``threshold`` may be missing."""
-        q = query.astype(float)
-        length = float(np.sqrt(q @ q))
-        scores, ids = np.empty(0, np.int64), np.empty(0, np.int64)
+    def search(self, queries: np.ndarray, k: int, floors: np.ndarray | None = None) -> list[np.ndarray]:
+        """(query, score, id) of the k best of each query, ties to the smaller id; those below ``floors`` may be missing.
+
+        The queries go down the tree together. A node is opened only for the queries whose bound reaches their floor,
+        and the node in which some query's bound exceeds its floor most is opened first.
+        """
+        q = queries.astype(float)
+        lengths = np.sqrt((q**2).sum(axis=1))
+        answers = Answers(np.full(len(q), -np.inf) if floors is None else floors, k)
+        exact = self.exact_floats and float(np.abs(q).max(initial=0)) ** 2 * max(q.shape[1], 1) < 2.0**52
 
-        def bound(dot, reach):
-            return dot + np.where(np.asarray(reach) > 0, length * np.asarray(reach) * (1 + 1e-9) + 1e-6, 0.0)
+        def bound(dots, lengths, reach):
+            return dots + np.where(reach > 0, lengths * reach * (1 + 1e-9) + 1e-6, 0.0)
 
-        root = self.nodes[0]
-        dot = float(q @ self.points[root["centre"]])
-        heap = [(-float(bound(dot, root["radius"])), 0, dot)]
-        floor, floor_id = threshold, np.iinfo(np.int64).max
+        everyone, root = np.arange(len(q)), self.nodes[0]
+        dots = q @ self.points[root["centre"]]
+        heap, pushed = [(-np.inf, 0, 0, everyone, dots, bound(dots, lengths, np.float64(root["radius"])))], 1
+        self.asked += len(q) * len(self.ids)
         while heap:
-            best, at, dot = heapq.heappop(heap)
-            if -best < floor:
-                break
-            node = self.nodes[at]
-            if -best == floor and node["least"] > floor_id:
+            _, _, at, active, dots, bounds = heapq.heappop(heap)
+            open_ = bounds >= answers.floors[active]
+            active, dots = active[open_], dots[open_]
+            if not len(active):
                 continue
-            if "children" in node:
-                open_ = np.flatnonzero(bound(dot, node["reach"]) >= floor)
-                if len(open_):
-                    children = [node["children"][c] for c in open_]
-                    dots = self.points[[self.nodes[c]["centre"] for c in children]] @ q
-                    bounds = bound(dots, [self.nodes[c]["radius"] for c in children])
-                    for c, d, b in zip(children, dots.tolist(), bounds.tolist(), strict=True):
-                        if b >= floor:
-                            heapq.heappush(heap, (-b, c, d))
+            node, floor, length = self.nodes[at], answers.floors[active][:, None], lengths[active][:, None]
+            reach = node["reach"] if "children" in node else node["apart"]
+            needed = bound(dots[:, None], length, reach[None, :]) >= floor
+            who, which = np.flatnonzero(needed.any(axis=1)), np.flatnonzero(needed.any(axis=0))
+            if not len(who):
                 continue
-            rows = node["rows"]
-            if floor > -np.inf:
-                rows = rows[bound(dot, node["apart"]) >= floor]
-            found = (self.points[rows] @ q).astype(np.int64) if self.exact_floats and length**2 < 2.0**52 else self.vectors[rows] @ query
-            good = found >= floor
-            if not good.any():
+            needed, asking = needed[np.ix_(who, which)], active[who]
+            self.computed += len(who) * len(which)
+            if "children" in node:
+                found = q[asking] @ self.points[node["centres"][which]].T
+                limits = bound(found, lengths[asking][:, None], node["radii"][which][None, :])
+                alive = needed & (limits >= floor[who])
+                for j, child in enumerate(node["children"][which].tolist()):
+                    own = np.flatnonzero(alive[:, j])
+                    if len(own):
+                        slack = float((limits[own, j] - answers.floors[asking[own]]).max())
+                        heapq.heappush(heap, (-slack, pushed, child, asking[own], found[own, j], limits[own, j]))
+                        pushed += 1
                 continue
-            scores, ids = np.concatenate([scores, found[good]]), np.concatenate([ids, self.ids[rows[good]]])
-            order = np.lexsort((ids, -scores))[:k]
-            scores, ids = scores[order], ids[order]
-            if len(scores) == k:
-                if scores[-1] > floor or floor_id > ids[-1]:
-                    floor_id = int(ids[-1])
-                floor = max(floor, int(scores[-1]))
-        return scores, ids
+            rows = node["rows"][which]
+            found = q[asking] @ self.points[rows].T if exact else queries[asking].astype(np.int64) @ self.vectors[rows].astype(np.int64).T
+            i, j = np.nonzero(needed & (found >= floor[who]))
+            answers.add(asking[i], found[i, j].astype(np.int64), self.ids[rows[j]])
+        return answers.settle()
 
 
 def integer_vectors(table: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", scale: float = 64.0) -> DataFrame:
@@ -160,19 +203,20 @@ def _route(routes: dict[int, np.ndarray]):
 
 
 def _plant(batches):
-    schema = pa.schema([("dim", pa.int32()), ("cell", pa.int32()), ("page", pa.int64()), ("tree", pa.binary())])
+    schema = pa.schema([("dim", pa.int32()), ("cell", pa.int32()), ("page", pa.int64()), ("reach", pa.float64()), ("tree", pa.binary())])
     for group in sorted_groups(batches, ["dim", "cell", "page"]):
         dim = group.column("dim")[0].as_py()
         tree = MTree(group.column("vec_id").to_numpy(), _matrix(group.column("v"), dim))
-        row = [group.column("dim")[0], group.column("cell")[0], group.column("page")[0], pa.scalar(pickle.dumps(tree, 5))]
+        row = [group.column("dim")[0], group.column("cell")[0], group.column("page")[0], pc.max(group.column("apart")), pa.scalar(pickle.dumps(tree, 5))]
         yield pa.RecordBatch.from_arrays([pa.array([x.as_py()], t) for x, t in zip(row, schema.types, strict=True)], schema=schema)
 
 
 def build_index(vectors: DataFrame, k: int) -> tuple[DataFrame, dict[int, np.ndarray], DataFrame]:
-    """The stored pages (dim, cell, page, tree), the routing vectors per dimension, and cells (dim, cell, radius, pages).
+    """The stored pages (dim, cell, page, tree), the routing vectors per dimension, and the table (dim, cell, page, reach).
 
-    Routing vectors are at most MAX_CELLS sampled rows, so they and the table of cells are bounded. A cell larger than
-    a page is dealt to pages by hash, however its vectors lie.
+    Routing vectors are at most MAX_CELLS sampled rows. A cell larger than a page is split by the distance to its
+    routing vector into at most MAX_RINGS rings, each with the radius of its outermost vector, and a ring that is
+    still larger by hash.
     """
     rank = F.row_number().over(W.partitionBy("v").orderBy("vec_id"))
     kept = cut_lineage(vectors.withColumn("_n", rank).where(F.col("_n") <= k + 1).drop("_n"))
@@ -184,35 +228,46 @@ def build_index(vectors: DataFrame, k: int) -> tuple[DataFrame, dict[int, np.nda
         routes.setdefault(len(r.v), []).append(r.v)
     centres = {d: np.array(v, float).reshape(len(v), d) for d, v in routes.items()}
     placed = cut_lineage(kept.mapInArrow(_route(centres), "vec_id long, v array<long>, dim int, cell int, apart double"))
-    table = cut_lineage(placed.groupBy("dim", "cell").agg(F.max("apart").alias("radius"), F.ceil(F.count("*") / PAGE_ROWS).alias("pages")))
-    paged = placed.join(table, ["dim", "cell"]).select("dim", "cell", F.pmod(F.xxhash64("vec_id"), "pages").alias("page"), "vec_id", "v")
+    quantiles = F.percentile_approx("apart", [n / MAX_RINGS for n in range(1, MAX_RINGS)], 1000)
+    sized = placed.groupBy("dim", "cell").agg(F.ceil(F.count("*") / PAGE_ROWS).alias("pages"), quantiles.alias("marks"))
+    # of the 63 marks those that cut a cell into as many rings as it has pages
+    rings = F.least("pages", F.lit(MAX_RINGS))
+    cuts = F.filter("marks", lambda m, i: F.floor((i + 1) * rings / MAX_RINGS) > F.floor(i * rings / MAX_RINGS))
+    sized = cut_lineage(sized.select("dim", "cell", cuts.alias("cuts"), F.ceil(F.col("pages") / MAX_RINGS).alias("deals")))
+    ring = F.size(F.filter("cuts", lambda m: m < F.col("apart"))).cast("long")
+    page = ring * F.col("deals") + F.pmod(F.xxhash64("vec_id"), "deals")
+    paged = placed.join(sized, ["dim", "cell"]).select("dim", "cell", page.alias("page"), "vec_id", "v", "apart")
     dealt = paged.repartition("dim", "cell", "page").sortWithinPartitions("dim", "cell", "page", "vec_id")
-    return cut_lineage(dealt.mapInArrow(_plant, "dim int, cell int, page long, tree binary")), centres, table
+    index = cut_lineage(dealt.mapInArrow(_plant, "dim int, cell int, page long, reach double, tree binary"))
+    return index, centres, index.select("dim", "cell", "page", "reach")
 
 
 def _choose_cells(centres: dict[int, np.ndarray], radii: dict[tuple[int, int], float], only_best: bool):
-    """Cells of each query (q, v, floor): the one with the best centre, or all whose ball reaches the floor."""
-    schema = pa.schema([("q", pa.int64()), ("v", pa.list_(pa.int64())), ("floor", pa.float64()), ("dim", pa.int32()), ("cell", pa.int32())])
+    """Cells of each query (q, v, floor), with its product with their centre and its length: the best cell, or all whose ball reaches the floor."""
+    schema = pa.schema([("q", pa.int64()), ("v", pa.list_(pa.int64())), ("floor", pa.float64()), ("dim", pa.int32()), ("cell", pa.int32()), ("dot", pa.float64()), ("length", pa.float64())])
 
     def run(batches):
         for batch in batches:
-            vectors, floors = batch.column(1).to_pylist(), batch.column(2).to_numpy(zero_copy_only=False)
-            rows, cells = [], []
-            for i, v in enumerate(vectors):
-                known = centres.get(len(v), np.zeros((1, len(v))))
-                q = np.array(v, float)
-                dots = known @ q if len(v) else np.zeros(len(known))
-                radius = np.array([radii.get((len(v), c), -1.0) for c in range(len(known))])
+            floors = batch.column(2).to_numpy(zero_copy_only=False)
+            dims = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
+            for dim in np.unique(dims).tolist():
+                own = np.flatnonzero(dims == dim)
+                q = _matrix(batch.column(1).take(pa.array(own)), dim).astype(float)
+                known = centres.get(dim, np.zeros((1, dim)))
+                radius = np.array([radii.get((dim, c), -1.0) for c in range(len(known))])
                 there = np.flatnonzero(radius >= 0)
+                if not len(there):
+                    continue
+                dots, lengths = q @ known[there].T, np.sqrt((q**2).sum(axis=1))
                 if only_best:
-                    there = there[[int(dots[there].argmax())]] if len(there) else there
+                    chosen = np.zeros(dots.shape, bool)
+                    chosen[np.arange(len(q)), dots.argmax(axis=1)] = True
                 else:
-                    there = there[(dots + np.sqrt(q @ q) * radius * (1 + 1e-9) + 1e-6)[there] >= floors[i]]
-                rows += [i] * len(there)
-                cells += there.tolist()
-            taken = batch.take(pa.array(rows, pa.int64()))
-            dims = pa.array([len(vectors[i]) for i in rows], pa.int32())
-            yield pa.RecordBatch.from_arrays([*taken.columns, dims, pa.array(cells, pa.int32())], schema=schema)
+                    chosen = dots + lengths[:, None] * radius[there] * (1 + 1e-9) + 1e-6 >= floors[own][:, None]
+                i, j = np.nonzero(chosen)
+                taken = batch.take(pa.array(own[i]))
+                more = [np.full(len(i), dim, np.int32), there[j].astype(np.int32), dots[i, j], lengths[i]]
+                yield pa.RecordBatch.from_arrays([*taken.columns, *map(pa.array, more)], schema=schema)
 
     return run
 
@@ -229,17 +284,13 @@ def _search(k: int):
             asked = group.filter(pc.is_valid(group.column("q")))
             if not asked.num_rows:
                 continue
-            out: list[list[np.ndarray]] = [[], [], []]
-            for q, v, floor in zip(asked.column("q").to_pylist(), _matrix(asked.column("v"), dim), asked.column("floor").to_pylist(), strict=True):
-                scores, ids = tree.search(v, k, floor)
-                for column, part in zip(out, (np.full(len(ids), q), ids, scores), strict=True):
-                    column.append(part)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], schema=schema)
+            query, scores, ids = tree.search(_matrix(asked.column("v"), dim), k, asked.column("floor").to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(asked.column("q").to_numpy()[query]), pa.array(ids), pa.array(scores)], schema=schema)
 
     return run
 
 
-def _ask(index: DataFrame, table: DataFrame, chosen: DataFrame, blocks: int, k: int) -> DataFrame:
+def _ask(index: DataFrame, chosen: DataFrame, blocks: int, k: int) -> DataFrame:
     """Search the pages that ``chosen`` (q, v, floor, dim, cell, page) names."""
     block = F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int")
     asked = chosen.select("dim", "cell", "page", block.alias("block"), "q", "v", "floor", F.lit(None).cast("binary").alias("tree"))
@@ -258,20 +309,22 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     (``integer_vectors`` sees to it).
     """
     index, centres, table = build_index(vectors, k)
-    radii = {(r.dim, r.cell): r.radius for r in table.collect()}  # MAX_CELLS rows and one per further length
+    radii = {(r.dim, r.cell): r.radius for r in table.groupBy("dim", "cell").agg(F.max("reach").alias("radius")).collect()}  # MAX_CELLS rows and one per further length
     groups = cut_lineage(queries.groupBy("v").agg(F.min("vec_id").alias("q")))
     blocks = max(1, -(-groups.count() // QUERY_BLOCK))
     asked = groups.select("q", "v", F.lit(float("-inf")).alias("floor"))
-    columns = "q long, v array<long>, floor double, dim int, cell int"
-    home = asked.mapInArrow(_choose_cells(centres, radii, True), columns).join(table.select("dim", "cell", "pages"), ["dim", "cell"])
-    home = cut_lineage(home.withColumn("page", F.pmod(F.xxhash64("q"), "pages")).drop("pages"))
-    first = cut_lineage(_ask(index, table, home, blocks, k + 1))
+    columns = "q long, v array<long>, floor double, dim int, cell int, dot double, length double"
+    pages = table.groupBy("dim", "cell").agg(F.sort_array(F.collect_list("page")).alias("pages"))
+    home = asked.mapInArrow(_choose_cells(centres, radii, True), columns).join(pages, ["dim", "cell"])
+    one = F.element_at("pages", (F.pmod(F.xxhash64("q"), F.size("pages")) + 1).cast("int"))
+    home = cut_lineage(home.select("q", "v", "floor", "dim", "cell", one.alias("page")))
+    first = cut_lineage(_ask(index, home, blocks, k + 1))
     reached = first.groupBy("q").agg(F.count("*").alias("n"), F.min("score").alias("least"))
     floors = groups.join(reached, "q", "left").select("q", "v", F.when(F.col("n") > k, F.col("least").cast("double")).otherwise(float("-inf")).alias("floor"))
-    others = floors.mapInArrow(_choose_cells(centres, radii, False), columns).join(table.select("dim", "cell", "pages"), ["dim", "cell"])
-    others = others.withColumn("page", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pages") - 1))).drop("pages")
+    others = floors.mapInArrow(_choose_cells(centres, radii, False), columns).join(table, ["dim", "cell"])
+    others = others.where(F.col("dot") + F.col("length") * F.col("reach") * (1 + 1e-9) + 1e-6 >= F.col("floor"))
     others = others.join(home.select("q", "dim", "cell", "page"), ["q", "dim", "cell", "page"], "left_anti")
-    found = first.unionByName(_ask(index, table, others, blocks, k + 1))
+    found = first.unionByName(_ask(index, others, blocks, k + 1))
     order = W.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     best = cut_lineage(found.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k + 1).drop("_n"))
     each = queries.join(groups, "v").select(F.col("vec_id").alias("query_id"), "q")
