@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 
 BATCH_BYTES = 4 << 20
@@ -15,3 +20,14 @@ def bound_batches(spark: SparkSession) -> None:
     Python workers. How rows are dealt to batches changes no result.
     """
     spark.conf.set(_SETTING, str(BATCH_BYTES))
+
+
+def portions(batches: Iterable[pa.RecordBatch], text: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in portions whose column ``text`` has about ``size`` bytes, or one row with more."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        i = 0
+        while i < batch.num_rows:
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + size, "right")))
+            yield batch.slice(i, j - i)
+            i = j
