@@ -1,8 +1,9 @@
 """Cross-tokenizer alignment: which tokens of two vocabularies stand for the same bytes, and how many documents say so.
 
 Both tokenisations of a text cover the same bytes; the offsets at which tokens of both end cut them into groups, and
-every token of one side of a group is linked with every token of the other. A first pass aligns the documents and
-collects the distinct linked pairs. These get a minimal perfect hash: pairs are dealt to segments by a hash, and in
+every token of one side of a group is linked with every token of the other. No token of either side reaches over a
+space behind a character that is no white space, so texts are encoded chunk by chunk, each distinct chunk once. A first
+pass encodes and aligns the documents, stores their ids and collects the distinct linked pairs. These get a minimal perfect hash: pairs are dealt to segments by a hash, and in
 each segment levels of bits give every pair a slot of its own (a pair whose bit no other pair of its level wants is
 settled there, the others go on to the next level; the slot is the rank of the bit). With it, counts need no keys: each
 task adds its documents into dense vectors indexed by slot, and the vectors are summed segment by segment in a tree of
@@ -19,24 +20,29 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.llm.batches import bound_batches
+from spanlake.llm.batches import bound_batches, portions
 from spanlake.session import cut_lineage
 
 SEGMENT_PAIRS = 4096
 PIECE_BYTES = 64 << 20
 FAN_IN = 64
-HELD_PAIRS = 1 << 21
-LINK_BLOCK = 1 << 21
-MEMO_WORDS = 50_000
+HELD_PAIRS = 1 << 20
+LINK_BLOCK = 1 << 20
+MEMO_CHUNKS = 120_000
+LINE_CHUNKS = 16
+PORTION_BYTES = 1 << 20
+PORTION_IDS = 1 << 18
+CACHED_COUNTS = 1 << 17
 _GAMMA = 2
 _MAX_LEVELS = 64
 #: Bits of a pair that hold the second id.
-_B_BITS = 24
+_B_BITS = 22
+#: Bits of a pair; documents of one portion are counted above them.
+_PAIR_BITS = 44
 #: The public pattern that splits a text into words before the merges of byte-level BPE.
 _SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -76,12 +82,12 @@ class BytePairs:
         known = {i: t for t, i in spelled.items()}
         self.labels = Labels([known.get(i, b"") for i in range(max(known) + 1)])
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [self.ids[np.array(self.encoding.encode_ordinary(text), np.int64)] for text in texts]
+    def encode(self, text: str) -> np.ndarray:
+        return self.ids[np.array(self.encoding.encode_ordinary(text), np.int64)]
 
 
 class Pieces:
-    """A BPE piece model. As no piece has a space mark after another character, words are encoded once and kept for a while."""
+    """A BPE piece model."""
 
     def __init__(self, definition: bytes):
         import sentencepiece
@@ -89,24 +95,103 @@ class Pieces:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=definition)
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         self.labels = Labels([bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)])
+        #: No piece has a space mark behind another character, so pieces never reach over one.
         self.by_word = not any("▁" in p.lstrip("▁") for p in pieces)
-        self.spaced = regex.compile(" +[^ ]*")
-        self.memo: dict[str, list[int]] = {}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if not self.by_word:
-            return [np.array(ids, np.int64) for ids in self.model.encode(texts, num_threads=1)]
-        split = [[w[1:] for w in self.spaced.findall(" " + t)] if "  " in t or t[:1] == " " or t[-1:] == " " else t.split(" ") for t in texts]
-        if len(self.memo) > MEMO_WORDS:
-            self.memo = {}
-        new = list({w for parts in split for w in parts} - self.memo.keys())
-        found = dict(zip(new, self.model.encode(new, num_threads=1), strict=True)) if new else {}
-        if len(new) <= MEMO_WORDS:
-            self.memo |= found
-            found = self.memo
-        else:
-            found |= self.memo
-        return [np.fromiter(chain.from_iterable(map(found.__getitem__, parts)), np.int64) for parts in split]
+
+    def encode(self, texts: list[str]) -> np.ndarray:
+        """The ids of all texts, one after the other."""
+        return np.fromiter(chain.from_iterable(self.model.encode(texts, num_threads=1)), np.int64)
+
+
+def _runs(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The runs of ``values`` with these starts and counts, one after the other."""
+    return values[np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))]
+
+
+class Chunks:
+    """Both encodings of the chunks met lately. A chunk begins with a space and goes on to the next space behind no white space."""
+
+    _spaces = regex.compile(r"\s\s|^\s|\s$")
+    _cut = regex.compile(r"(?<=\S)(?= )")
+
+    def __init__(self, one: BytePairs, two: Pieces):
+        self.one, self.two = one, two
+        self.forget()
+
+    def forget(self) -> None:
+        self.index: dict[str, int] = {}
+        self.ids, self.counts, self.good = [np.empty(0, np.int64)] * 2, [np.empty(0, np.int64)] * 2, np.empty(0, bool)
+
+    def split(self, text: str) -> list[str]:
+        """The chunks of " " + text; an empty text has none."""
+        if not text:
+            return []
+        if not self.two.by_word:
+            return [" " + text]
+        if self._spaces.search(text):
+            return self._cut.split(" " + text)
+        return [" " + word for word in text.split(" ")]
+
+    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], Aligned | None]:
+        """Per side the ids of all texts, and how many each has (none where bytes differ); the groups of the chunks that were new."""
+        split = [self.split(text) for text in texts]
+        new = list(set(chain.from_iterable(split)) - self.index.keys())
+        fresh = self._add(new) if new else None
+        n = np.array([len(parts) for parts in split])
+        chunk = np.fromiter(map(self.index.__getitem__, chain.from_iterable(split)), np.int64, int(n.sum()))
+        of = np.repeat(np.arange(len(texts)), n)
+        sound = np.bincount(of[~self.good[chunk]], minlength=len(texts)) == 0
+        chunk, of = chunk[sound[of]], of[sound[of]]
+        ids, counts = [], []
+        for flat, each in zip(self.ids, self.counts, strict=True):
+            starts = np.cumsum(each) - each
+            ids.append(_runs(flat, starts[chunk], each[chunk]))
+            counts.append(np.bincount(of, each[chunk], minlength=len(texts)).astype(np.int64))
+        if len(self.index) > MEMO_CHUNKS:
+            self.forget()
+        return ids, counts, fresh
+
+    def _add(self, new: list[str]) -> Aligned:
+        # chunks that end in white space or have the piece model's own space mark stand alone; all others are read as one text
+        alone, joined = [], []
+        for c in new:
+            (alone if c[-1].isspace() or "▁" in c else joined).append(c)
+        found = self._together(joined) if joined and self.two.by_word else None
+        if found is None:
+            alone, joined, found = new, [], ([np.empty(0, np.int64)] * 2, [np.empty(0, np.int64)] * 2, np.empty(0, bool))
+        ids, counts, good = found
+        single = [self._alone(c) for c in alone]
+        for side in (0, 1):
+            ids[side] = np.concatenate([ids[side], *(x[side] for x in single)])
+            counts[side] = np.concatenate([counts[side], [len(x[side]) for x in single]]).astype(np.int64)
+        self.index |= dict(zip(joined + alone, range(len(self.good), len(self.good) + len(new)), strict=True))
+        self.ids = [np.concatenate(x) for x in zip(self.ids, ids, strict=True)]
+        self.counts = [np.concatenate(x) for x in zip(self.counts, counts, strict=True)]
+        self.good = np.concatenate([self.good, good, [len(a) > 0 for a, _ in single]]).astype(bool)
+        return Aligned(ids[0], np.cumsum(counts[0]), ids[1], np.cumsum(counts[1]), self.one.labels.lengths, self.two.labels.lengths)
+
+    def _together(self, chunks: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray] | None:
+        """Ids and counts of chunks read as one text, or None if a token reaches over a chunk or bytes differ."""
+        text = "".join(chunks)
+        data = np.frombuffer(text.encode(), np.uint8)
+        ends = np.cumsum(np.fromiter(map(len, map(str.encode, chunks)), np.int64, len(chunks)))
+        # the piece model sorts all merges of a text, so many short ones are read faster than a long one
+        lines = ["".join(chunks[k : k + LINE_CHUNKS])[1:] for k in range(0, len(chunks), LINE_CHUNKS)]
+        ids, counts = [self.one.encode(text), self.two.encode(lines)], []
+        for side, labels in zip(ids, (self.one.labels, self.two.labels), strict=True):
+            at = np.cumsum(labels.lengths[side])
+            last = np.searchsorted(at, ends)
+            if not len(at) or last[-1] >= len(at) or (at[last] != ends).any() or not np.array_equal(labels.join(side), data):
+                return None
+            counts.append(np.diff(last + 1, prepend=0))
+        return ids, counts, np.ones(len(chunks), bool)
+
+    def _alone(self, chunk: str) -> tuple[np.ndarray, np.ndarray]:
+        # the model puts no space in front of an empty text, which would be all of a lone space
+        a, b = self.one.encode(chunk), self.two.encode([chunk[1:]]) if len(chunk) > 1 else np.array([self.two.model.piece_to_id("▁")])
+        data = np.frombuffer(chunk.encode(), np.uint8)
+        same = np.array_equal(self.one.labels.join(a), data) and np.array_equal(self.two.labels.join(b), data)
+        return (a, b) if same else (a[:0], b[:0])
 
 
 class Aligned:
@@ -114,15 +199,18 @@ class Aligned:
 
     def __init__(self, a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: np.ndarray, a_lengths: np.ndarray, b_lengths: np.ndarray):
         """a, b: the ids of all documents; a_ends, b_ends: behind the last id of each document."""
-        self.a, self.b = a, b
+        self.a, self.b, self.docs = a, b, len(a_ends)
         at_a, at_b = np.cumsum(a_lengths[a]), np.cumsum(b_lengths[b])
+        size = int(at_a[-1]) + 1 if len(a) else 1
+        of_a, of_b = np.zeros(size, bool), np.zeros(size, bool)
+        of_a[at_a], of_b[at_b] = True, True
         # a document's last tokens end together, so groups never span documents
-        self.ends = np.intersect1d(at_a, at_b, assume_unique=True)
-        self.a_group, self.b_group = np.searchsorted(self.ends, at_a), np.searchsorted(self.ends, at_b)
-        self.n_a, self.n_b = np.bincount(self.a_group, minlength=len(self.ends)), np.bincount(self.b_group, minlength=len(self.ends))
-        doc = np.searchsorted(a_ends, np.arange(len(a)), "right")
-        self.doc = doc[np.cumsum(self.n_a) - 1] if len(self.ends) else doc
-        self.docs = len(a_ends)
+        a_last, b_last = of_b[at_a], of_a[at_b]
+        self.a_group, self.b_group = np.cumsum(a_last) - a_last, np.cumsum(b_last) - b_last
+        a_cut, b_cut = np.flatnonzero(a_last) + 1, np.flatnonzero(b_last) + 1
+        self.n_a, self.n_b = np.diff(a_cut, prepend=0), np.diff(b_cut, prepend=0)
+        self.a_last, self.b_last = a_last, b_last
+        self.doc = np.searchsorted(a_ends, a_cut - 1, "right")
 
     def blocks(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(document, pair) of every link, in portions of about LINK_BLOCK links."""
@@ -132,39 +220,33 @@ class Aligned:
         i = 0
         while i < len(self.a):
             j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + LINK_BLOCK, "right")))
-            n = partners[i:j]
-            group = self.a_group[i:j]
-            at = np.repeat(first_b[group] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            yield np.repeat(self.doc[group], n), (np.repeat(self.a[i:j], n) << _B_BITS) | self.b[at]
+            n, group = partners[i:j], self.a_group[i:j]
+            yield np.repeat(self.doc[group], n), (np.repeat(self.a[i:j], n) << _B_BITS) | _runs(self.b, first_b[group], n)
             i = j
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray]:
         """(document, pair), each once; links are made distinct portion by portion."""
-        docs, pairs = [], []
-        for doc, pair in self.blocks():
-            d, p = _unique(doc, pair)
-            docs.append(d)
-            pairs.append(p)
-        if len(docs) < 2:
-            return (docs[0], pairs[0]) if docs else (np.empty(0, np.int64), np.empty(0, np.int64))
-        return _unique(np.concatenate(docs), np.concatenate(pairs))
+        keys = [np.unique((doc << _PAIR_BITS) | pair) for doc, pair in self.blocks()]
+        keys = np.unique(np.concatenate(keys)) if len(keys) > 1 else keys[0] if keys else np.empty(0, np.int64)
+        return keys >> _PAIR_BITS, keys & ((1 << _PAIR_BITS) - 1)
 
 
-def _unique(doc: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((pair, doc))
-    doc, pair = doc[order], pair[order]
-    new = np.ones(len(pair), bool)
-    new[1:] = (pair[1:] != pair[:-1]) | (doc[1:] != doc[:-1])
-    return doc[new], pair[new]
+def _binary(values: np.ndarray, counts: np.ndarray, kind: type) -> pa.Array:
+    """A binary column of the runs of ``values``."""
+    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32) * np.dtype(kind).itemsize
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(values.astype(kind))])
 
 
-def _lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values, kind))
+def _unpacked(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a binary column without nulls, and where each row ends."""
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data and len(column) else np.empty(0, np.uint8)
+    return data.view(kind).astype(np.int64), (offsets[1:] - offsets[0]).astype(np.int64) // np.dtype(kind).itemsize
 
 
-def _ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The values of a list column and where each list ends."""
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64))
+def _width(labels: np.ndarray) -> type:
+    return np.uint16 if len(labels) <= 1 << 16 else np.uint32
 
 
 # -- minimal perfect hash -------------------------------------------------------------------------------------------
@@ -215,6 +297,8 @@ class PairTable:
         self.rank = np.concatenate([[0], np.cumsum(self.bits, dtype=np.int64)])[:-1].astype(np.int32) if len(self.bits) else np.empty(0, np.int32)
         read = lambda name: np.concatenate([np.frombuffer(x, np.int64) for x in rows.column(name).to_pylist()]) if name in rows.column_names and len(sizes) else None
         self.pairs, self.counts = read("pairs"), read("counts")
+        # pairs counted lately, one per place
+        self.asked, self.answer = np.full(CACHED_COUNTS, -1, np.int64), np.zeros(CACHED_COUNTS, np.int64)
 
     def slots(self, pairs: np.ndarray) -> np.ndarray:
         """The slot of each pair, counted over all segments of the table; -1 for pairs of other segments."""
@@ -237,11 +321,20 @@ class PairTable:
 
     def count(self, pairs: np.ndarray) -> np.ndarray:
         """The count of each pair, 0 for a pair that is not the one stored at its slot."""
-        slots = self.slots(pairs)
-        known = slots >= 0
-        known[known] = self.pairs[slots[known]] == pairs[known]
-        out = np.zeros(len(pairs), np.int64)
-        out[known] = self.counts[slots[known]]
+        place = (pairs * 0x9E3779B97F4A7C1) >> 20 & (CACHED_COUNTS - 1)
+        out = self.answer[place]
+        new = np.flatnonzero(self.asked[place] != pairs)
+        if len(new):
+            asked, at = pairs[new], place[new]
+            slots = self.slots(asked)
+            known = slots >= 0
+            known[known] = self.pairs[slots[known]] == asked[known]
+            out[new] = 0
+            out[new[known]] = self.counts[slots[known]]
+            # of several pairs that share a place one stays, with its own count
+            self.asked[at] = asked
+            stays = self.asked[at] == asked
+            self.answer[at[stays]] = out[new[stays]]
         return out
 
 
@@ -249,55 +342,52 @@ class PairTable:
 
 
 def _encode(a_definition, b_definition) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(doc_id, a, b, pairs) of each (doc_id, text): both lists of ids, and the distinct linked pairs; empty where the bytes differ."""
+    """(doc_id, a, b, pairs) of each (doc_id, text): the ids of both sides; further rows hold distinct linked pairs of the task."""
 
     def run(batches):
-        one, two = BytePairs(a_definition.value), Pieces(b_definition.value)
-        for whole in batches:
-            for batch in _portions(whole):
-                texts = batch.column(1).fill_null("").to_pylist()
-                usable = [bool(t) and "▁" not in t for t in texts]
-                spaced = [" " + t if ok else "" for t, ok in zip(texts, usable, strict=True)]
-                a = one.encode(spaced)
-                b = [ids if ok else ids[:0] for ids, ok in zip(two.encode([t if ok else "" for t, ok in zip(texts, usable, strict=True)]), usable, strict=True)]
-                for k, (text, ok) in enumerate(zip(spaced, usable, strict=True)):
-                    data = np.frombuffer(text.encode(), np.uint8)
-                    if ok and not (np.array_equal(one.labels.join(a[k]), data) and np.array_equal(two.labels.join(b[k]), data)):
-                        a[k], b[k] = a[k][:0], b[k][:0]
-                n_a, n_b = (np.array([len(x) for x in ids], np.int64) for ids in (a, b))
-                flat_a, flat_b = np.concatenate(a), np.concatenate(b)
-                doc, pair = Aligned(flat_a, np.cumsum(n_a), flat_b, np.cumsum(n_b), one.labels.lengths, two.labels.lengths).distinct()
-                lists = [_lists(flat_a, n_a, pa.int32()), _lists(flat_b, n_b, pa.int32()), _lists(pair, np.bincount(doc, minlength=len(texts)), pa.int64())]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["doc_id", "a", "b", "pairs"])
+        chunks = Chunks(BytePairs(a_definition.value), Pieces(b_definition.value))
+        kinds = [_width(x.labels.lengths) for x in (chunks.one, chunks.two)]
+        held, fresh = np.empty(0, np.int64), []
+        schema = pa.schema([("doc_id", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("pairs", pa.binary())])
+
+        def pairs():
+            row = [pa.nulls(1, t) for t in schema.types[:3]] + [pa.array([held.tobytes()], pa.binary())]
+            return pa.RecordBatch.from_arrays(row, schema=schema)
+
+        for batch in portions(batches, 1, PORTION_BYTES):
+            ids, counts, new = chunks.encode(batch.column(1).fill_null("").to_pylist())
+            if new is not None:
+                fresh.append(np.unique(np.concatenate([np.empty(0, np.int64), *(np.unique(p) for _, p in new.blocks())])))
+            columns = [_binary(i, n, kind) for i, n, kind in zip(ids, counts, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.nulls(batch.num_rows, pa.binary())], schema=schema)
+            if sum(map(len, fresh)) > HELD_PAIRS:
+                held, fresh = np.unique(np.concatenate([held, *fresh])), []
+                if len(held) > HELD_PAIRS:
+                    yield pairs()
+                    held = held[:0]
+        held = np.unique(np.concatenate([held, *fresh]))
+        if len(held):
+            yield pairs()
 
     return run
 
 
-def _portions(batch: pa.RecordBatch, bytes_: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Rows of a batch whose texts have about a megabyte, or one row with more."""
-    sizes = np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
-    i = 0
-    while i < batch.num_rows:
-        j = max(i + 1, int(np.searchsorted(sizes, (sizes[i - 1] if i else 0) + bytes_, "right")))
-        yield batch.slice(i, j - i)
-        i = j
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.column(0):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(row.as_buffer(), np.int64))], names=["pair"])
+
 
+class _Documents:
+    """The stored ids of documents, a portion of them at a time, aligned anew."""
 
-def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct pairs of a task, given away whenever HELD_PAIRS of them are held."""
-    give = lambda pairs: pa.RecordBatch.from_arrays([pa.array(pairs)], names=["pair"])
-    held, fresh, n = np.empty(0, np.int64), [], 0
-    for batch in batches:
-        fresh.append(batch.column(0).flatten().to_numpy(zero_copy_only=False))
-        n += len(fresh[-1])
-        if n >= HELD_PAIRS:
-            held, fresh, n = np.unique(np.concatenate([held, *fresh])), [], 0
-            if len(held) >= HELD_PAIRS:
-                yield give(held)
-                held = held[:0]
-    held = np.unique(np.concatenate([held, *fresh]))
-    if len(held):
-        yield give(held)
+    def __init__(self, a_lengths: np.ndarray, b_lengths: np.ndarray):
+        self.lengths, self.kinds = (a_lengths, b_lengths), (_width(a_lengths), _width(b_lengths))
+
+    def read(self, batches: Iterator[pa.RecordBatch], a: int, b: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, Aligned]]:
+        for batch in portions(batches, a, PORTION_IDS * np.dtype(self.kinds[0]).itemsize):
+            (one, one_ends), (two, two_ends) = (_unpacked(batch.column(k), kind) for k, kind in zip((a, b), self.kinds, strict=True))
+            yield batch, one_ends, two_ends, Aligned(one, one_ends, two, two_ends, *self.lengths)
 
 
 _HASHED = "segment long, n long, levels binary, bits binary, pairs binary"
@@ -319,16 +409,18 @@ def _piece(rows: DataFrame, columns: list[str]):
     return rows.sparkSession.sparkContext.broadcast(rows.select(*columns).toArrow())
 
 
-def _add(piece, segments: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _add(piece, segments: int, documents: _Documents) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """(part, segment, counts): the dense count vectors of a task's documents, for the segments that they touch."""
 
     def run(batches):
         from pyspark import TaskContext
 
         table = PairTable(piece.value, segments)
+        if not len(table.segment):
+            return
         vector = np.zeros(int(table.size.sum()), np.int64)
-        for batch in batches:
-            slots = table.slots(batch.column(0).flatten().to_numpy(zero_copy_only=False))
+        for *_, aligned in documents.read(batches, 0, 1):
+            slots = table.slots(aligned.distinct()[1])
             vector += np.bincount(slots[slots >= 0], minlength=len(vector))
         part = TaskContext.get().partitionId()
         for segment, own in zip(table.segment.tolist(), np.split(vector, np.cumsum(table.size)[:-1]), strict=True):
@@ -364,66 +456,61 @@ def _highest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n[order][first])], names=["a", "best"])
 
 
-_FOUND = "doc_id long, a array<int>, b array<int>, n_best long, count_sum long"
+_KEPT = "doc_id long, a binary, b binary, n_best long, count_sum long"
+_FOUND = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, n_best long, count_sum long"
 
 
-def _look_up(piece, segments: int, highest, a_lengths: np.ndarray, b_lengths: np.ndarray):
-    """Adds to n_best and count_sum of each document the links whose pairs are in this piece."""
+def _look_up(piece, segments: int, highest, documents: _Documents, last: bool):
+    """Adds to n_best and count_sum of each document the links whose pairs are in this piece; the last piece also describes the groups."""
 
     def run(batches):
         table = PairTable(piece.value, segments)
-        best = np.full(len(a_lengths), -1, np.int64)
+        best = np.full(len(documents.lengths[0]), -1, np.int64)
         ids, counts = highest.value
         best[ids] = counts
-        for batch in batches:
-            a, a_ends = _ids(batch.column(1))
-            b, b_ends = _ids(batch.column(2))
+        numbers = Labels([b"%d," % i for i in range(max(map(len, documents.lengths)))])
+        for batch, a_ends, b_ends, aligned in documents.read(batches, 1, 2):
             n_best, count_sum = (batch.column(k).to_numpy(zero_copy_only=False).copy() for k in (3, 4))
-            aligned = Aligned(a, a_ends, b, b_ends, a_lengths, b_lengths)
             for doc, pair in aligned.blocks():
-                distinct, inverse = np.unique(pair, return_inverse=True)
-                count = table.count(distinct)
-                is_best = (count > 0) & (count == best[distinct >> _B_BITS])
+                count = table.count(pair)
+                is_best = (count > 0) & (count == best[pair >> _B_BITS])
                 # counts stay below 2^53 in sums, so floats hold them exactly
-                count_sum += np.bincount(doc, count[inverse], minlength=aligned.docs).astype(np.int64)
-                n_best += np.bincount(doc[is_best[inverse]], minlength=aligned.docs)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n_best), pa.array(count_sum)], names=["doc_id", "a", "b", "n_best", "count_sum"])
+                count_sum += np.bincount(doc, count, minlength=aligned.docs).astype(np.int64)
+                n_best += np.bincount(doc[is_best], minlength=aligned.docs)
+            added = [pa.array(n_best), pa.array(count_sum)]
+            if last:
+                per_doc = lambda v: np.bincount(aligned.doc, v, minlength=aligned.docs).astype(np.int64)  # noqa: B023, E731
+                sizes = [np.diff(a_ends, prepend=0), np.diff(b_ends, prepend=0), per_doc(None), per_doc(aligned.n_a * aligned.n_b)]
+                columns = [*map(pa.array, sizes), _described(aligned, a_ends + b_ends, numbers)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *columns, *added], names=[c.split()[0] for c in _FOUND.split(", ")])
+            else:
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], *added], names=[c.split()[0] for c in _KEPT.split(", ")])
 
     return run
 
 
-def _describe(a_lengths: np.ndarray, b_lengths: np.ndarray):
-    """Sizes and groups of each document: groups as `a1,a2|b1` joined by `;`."""
-
-    def run(batches):
-        for batch in batches:
-            a, a_ends = _ids(batch.column(1))
-            b, b_ends = _ids(batch.column(2))
-            found = Aligned(a, a_ends, b, b_ends, a_lengths, b_lengths)
-            per_doc = lambda v: np.bincount(found.doc, v, minlength=found.docs).astype(np.int64)
-            # every id with the character behind it, then all joined in the order of groups
-            said = {}
-            for side, last in (("a", "|"), ("b", ";")):
-                ids, group = (a, found.a_group) if side == "a" else (b, found.b_group)
-                ends = np.ones(len(ids), bool)
-                ends[:-1] = group[1:] != group[:-1]
-                said[side] = [f"{i}{last}" if end else f"{i}," for i, end in zip(ids.tolist(), ends.tolist(), strict=True)]
-            group = np.concatenate([found.a_group, found.b_group])
-            order = np.argsort(group, kind="stable")  # both lists are in order, and a group's first ids come first
-            both = said["a"] + said["b"]
-            both = [both[i] for i in order.tolist()]
-            ends = a_ends + b_ends
-            text = ["".join(both[i:j])[:-1] for i, j in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
-            columns = [pa.array(np.diff(a_ends, prepend=0)), pa.array(np.diff(b_ends, prepend=0)), pa.array(per_doc(None)), pa.array(per_doc(found.n_a * found.n_b)), pa.array(text, pa.string())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, batch.column(3), batch.column(4)], names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", "n_best", "count_sum"])
-
-    return run
+def _described(aligned: Aligned, ends: np.ndarray, numbers: Labels) -> pa.Array:
+    """The groups of each document as text, written for all documents at once."""
+    # every id with the character behind it, in the order of groups and its first side first
+    before_a, before_b = np.cumsum(aligned.n_b) - aligned.n_b, np.cumsum(aligned.n_a)
+    at_a, at_b = np.arange(len(aligned.a)) + before_a[aligned.a_group], np.arange(len(aligned.b)) + before_b[aligned.b_group]
+    ids, behind = np.empty(len(aligned.a) + len(aligned.b), np.int64), np.empty(len(aligned.a) + len(aligned.b), np.uint8)
+    ids[at_a], ids[at_b] = aligned.a, aligned.b
+    behind[at_a], behind[at_b] = np.where(aligned.a_last, ord("|"), ord(",")), np.where(aligned.b_last, ord(";"), ord(","))
+    text, at = numbers.join(ids), np.cumsum(numbers.lengths[ids])
+    text[at - 1] = behind
+    offsets = np.concatenate([[0], at])[np.concatenate([[0], ends])]
+    full = np.diff(offsets) > 0
+    keep = np.ones(len(text), bool)
+    keep[offsets[1:][full] - 1] = False  # the last group has no character behind it
+    offsets -= np.concatenate([[0], np.cumsum(full)])
+    return pa.Array.from_buffers(pa.string(), len(ends), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(text[keep])])
 
 
 def encode_both(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, a, b, pairs): ids of " " + text by the byte-level vocabulary and of the text by the piece model, and the distinct pairs they link.
+    """(doc_id, a, b, pairs): packed ids of " " + text by the byte-level vocabulary and of the text by the piece model.
 
-    Stored once. Null and empty texts, and texts that one of the two can't give back byte by byte, have empty lists.
+    Stored once; rows whose a is null hold distinct linked pairs instead of a document. Null and empty texts, and texts that one of the two can't give back byte by byte, have empty lists.
     Strings of special tokens are plain text. Repeated rows and rows without id are documents of their own.
     """
     bound_batches(docs.sparkSession)
@@ -431,12 +518,13 @@ def encode_both(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id
     with open(a_path, encoding="utf-8") as a, open(b_path, "rb") as b:
         definitions = context.broadcast(a.read()), context.broadcast(b.read())
     rows = docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string"))
-    return cut_lineage(rows.mapInArrow(_encode(*definitions), "doc_id long, a array<int>, b array<int>, pairs array<long>"))
+    return cut_lineage(rows.mapInArrow(_encode(*definitions), "doc_id long, a binary, b binary, pairs binary"))
 
 
-def count_pairs(encoded: DataFrame) -> tuple[DataFrame, int]:
+def count_pairs(encoded: DataFrame, documents: _Documents) -> tuple[DataFrame, int]:
     """(segment, n, levels, bits, pairs, counts) stored, and the number of segments; counts: documents that link each pair."""
-    distinct = cut_lineage(encoded.select("pairs").mapInArrow(_collect, "pair long").distinct())
+    distinct = cut_lineage(encoded.where("pairs is not null").select("pairs").mapInArrow(_each, "pair long").distinct())
+    stored = encoded.where("a is not null").select("a", "b")
     segments = max(1, -(-distinct.count() // SEGMENT_PAIRS))
 
     def dealt(batches):
@@ -444,11 +532,11 @@ def count_pairs(encoded: DataFrame) -> tuple[DataFrame, int]:
             yield pa.RecordBatch.from_arrays([pa.array(segment_of(batch.column(0).to_numpy(), segments)), batch.column(0)], names=["segment", "pair"])
 
     hashed = cut_lineage(distinct.mapInArrow(dealt, "segment long, pair long").groupBy("segment").applyInArrow(_build, _HASHED))
-    parts = encoded.select(F.spark_partition_id().alias("part")).agg(F.coalesce(F.max("part"), F.lit(0)) + 1).first()[0]
+    parts = stored.select(F.spark_partition_id().alias("part")).agg(F.coalesce(F.max("part"), F.lit(0)) + 1).first()[0]
     counted = None
     for own in pieces(hashed, segments):
         piece = _piece(own, ["segment", "n", "levels", "bits"])
-        vectors = encoded.select("pairs").mapInArrow(_add(piece, segments), "part long, segment long, counts binary")
+        vectors = stored.mapInArrow(_add(piece, segments, documents), "part long, segment long, counts binary")
         summed = cut_lineage(_tree_sum(vectors, parts))
         counted = summed if counted is None else counted.unionByName(summed)
     return cut_lineage(hashed.join(counted, "segment")), segments
@@ -466,17 +554,17 @@ def align_tokenizers(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "d
     groups: the ids of each group, ``a1,a2|b1;a3|b2,b3``. n_best: links whose pair is linked by as many documents as any
     pair of its first id; count_sum: over all links, how many documents link the pair. Rows without tokens have zeros and ''.
     """
+    with open(a_path, encoding="utf-8") as a, open(b_path, "rb") as b:
+        documents = _Documents(BytePairs(a.read()).labels.lengths, Pieces(b.read()).labels.lengths)
     encoded = encode_both(docs, a_path, b_path, doc_id, text)
-    counted, segments = count_pairs(encoded)
+    counted, segments = count_pairs(encoded, documents)
     best = counted.select("pairs", "counts").mapInArrow(_highest, "a long, best long").groupBy("a").agg(F.max("best").alias("best")).toArrow()  # a row per id of the vocabulary
     highest = docs.sparkSession.sparkContext.broadcast((best.column("a").to_numpy(), best.column("best").to_numpy()))
-    with open(a_path, encoding="utf-8") as a, open(b_path, "rb") as b:
-        a_lengths, b_lengths = BytePairs(a.read()).labels.lengths, Pieces(b.read()).labels.lengths
-    found = encoded.select("doc_id", "a", "b", F.lit(0).cast("long").alias("n_best"), F.lit(0).cast("long").alias("count_sum"))
+    zero = F.lit(0).cast("long")
+    found = encoded.where("a is not null").select("doc_id", "a", "b", zero.alias("n_best"), zero.alias("count_sum"))
     ranges = pieces(counted, segments)
-    for k, own in enumerate(ranges):
+    for own in ranges[:-1]:
         piece = _piece(own, ["segment", "n", "levels", "bits", "pairs", "counts"])
-        found = found.mapInArrow(_look_up(piece, segments, highest, a_lengths, b_lengths), _FOUND)
-        if k + 1 < len(ranges):
-            found = cut_lineage(found)
-    return found.mapInArrow(_describe(a_lengths, b_lengths), "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, n_best long, count_sum long")
+        found = cut_lineage(found.mapInArrow(_look_up(piece, segments, highest, documents, False), _KEPT))
+    piece = _piece(ranges[-1], ["segment", "n", "levels", "bits", "pairs", "counts"])
+    return found.mapInArrow(_look_up(piece, segments, highest, documents, True), _FOUND)
