@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from spanlake.functions.arrays import explode_rows
 from spanlake.functions.text import drop_prefix, extract_category, normalize_category, strip
 from spanlake.session import cut_lineage
+from spanlake.sources.json_records import read_record_texts
 
 RECORD_SCHEMA = (
     "title STRING, paragraphs ARRAY<STRUCT<context: STRING, qas: ARRAY<STRUCT<"
@@ -28,13 +29,6 @@ def resolve_path(primary: str, aliases: tuple[str, ...] = (), folders: tuple[str
     raise FileNotFoundError(f"none of {', '.join((primary, *aliases))} found")
 
 
-def _one_json_per_line(spark: SparkSession, path: str) -> bool:
-    """Whether the first line with content is a JSON value of its own (only its two ends come to the driver)."""
-    line = F.trim(F.col("value"))
-    ends = spark.read.text(path).where(line != "").select(F.left(line, F.lit(1)).alias("a"), F.right(line, F.lit(1)).alias("z"), F.length(line).alias("n")).first()
-    return ends is not None and ends.n > 1 and (ends.a, ends.z) in (("{", "}"), ("[", "]"))
-
-
 def number_rows(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """Gapless numbers from 0 in the given order: rows are sorted into ranges, and only range sizes are summed up."""
     placed = cut_lineage(df.orderBy(*order).withColumn("_range", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
@@ -44,22 +38,23 @@ def number_rows(df: DataFrame, order: list[str], name: str) -> DataFrame:
     return placed.join(starts, "_range").withColumn(name, at).drop("_range", "_at", "_start")
 
 
-def read_corpus(spark: SparkSession, path: str, lines: bool | None = None) -> DataFrame:
+def read_corpus(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Records ``(record_pos, title, paragraphs)`` of a corpus: a file, several, or a folder.
 
-    JSON may be ``{"data": [...]}``, a list of records or one record, as whole files or one value per line; ``lines``
-    says which, by default the first line does. Paths ending in ``.parquet`` are read as parquet with title and
-    paragraphs. Positions number the records over all files, by file name and place in the file. Lines and parquet are
-    read in splits; a whole-file JSON is one task by nature.
+    JSON files may hold ``{"data": [...]}``, lists of records and single records, on one line or on many; files of
+    different layouts may be mixed. ``lines`` says that every line of every file is a value of its own, which is read
+    with less work. Paths ending in ``.parquet`` are read as parquet with title and paragraphs. Positions number the
+    records over all files, by file name and place in the file. All files are read in splits.
     """
+    wrapped = f"data ARRAY<STRUCT<{RECORD_SCHEMA.replace('title STRING', 'title: STRING').replace('paragraphs ARRAY', 'paragraphs: ARRAY')}>>, {RECORD_SCHEMA}"
+    records = F.coalesce("data", F.array(F.struct("title", "paragraphs"))).alias("records")
     if path.rstrip("/").endswith(".parquet"):
         raw = spark.read.parquet(path).select(F.array(F.struct("title", "paragraphs")).alias("records"), "_metadata.file_path", "_metadata.file_block_start")
+    elif lines:
+        raw = spark.read.schema(wrapped).option("mode", "FAILFAST").json(path).select(records, "_metadata.file_path", "_metadata.file_block_start")
     else:
-        wrapped = f"data ARRAY<STRUCT<{RECORD_SCHEMA.replace('title STRING', 'title: STRING').replace('paragraphs ARRAY', 'paragraphs: ARRAY')}>>, {RECORD_SCHEMA}"
-        whole = not (_one_json_per_line(spark, path) if lines is None else lines)
-        raw = spark.read.schema(wrapped).option("multiLine", whole).option("mode", "FAILFAST").json(path)
-        records = F.coalesce("data", F.array(F.struct("title", "paragraphs")))
-        raw = raw.select(records.alias("records"), "_metadata.file_path", "_metadata.file_block_start")
+        texts = read_record_texts(spark, path).select("file_path", "record_no", F.from_json("text", wrapped, {"mode": "FAILFAST"}).alias("r"))
+        raw = texts.select("file_path", "record_no", "r.*").select(records, "file_path", F.col("record_no").alias("file_block_start"))
     raw = raw.withColumn("_row", F.monotonically_increasing_id())  # rises within a split
     each = explode_rows(raw, F.col("records"), "file_path", "file_block_start", "_row", names=("_item", "r"))
     order = ["file_path", "file_block_start", "_row", "_item"]
