@@ -109,18 +109,20 @@ def answers(spark, args) -> dict:
     from spanlake.operators.gold import answer_texts
     from spanlake.plans import answers as plan
     from spanlake.plans import variants
-    from spanlake.plans.stores import stored_spans
+    from spanlake.plans.stores import stored_index, stored_spans
 
     documents, rows, _ = _selection(spark, args)
     options = {"leaf_k": args.hierarchical_leaf_k, "top_sections": args.hierarchical_top_sections}
-    chunks = sentence_chunks(stored_spans(documents, f"{args.output_dir}/rag_cache"))
+    cache = f"{args.output_dir}/rag_cache"
+    chunks = sentence_chunks(stored_spans(documents, cache))
     enrichments = enrich_questions(rows).select("question_index", "enriched_query", "enrichment_terms")
     asked = rows.join(enrichments, "question_index", "left").withColumn("base_query", base_query())
     prompts = read_prompts(spark, args.prompts_file) if args.prompts_file else None
+    modes = list(variants.CONTEXT_LABELS) if args.compare_variants or args.all_context_modes else [args.context_mode]
+    options["index"] = stored_index(documents, chunks, cache) if set(modes) - {"raw"} else None
     if args.compare_variants:
         table = variants.run_variants(asked.withColumn("golds", answer_texts(F.col("answers"))), documents, chunks, prompts, top_k=args.top_k, **options)
         return {"variants": [r.asDict() for r in table.groupBy("variant_name").agg(F.avg("token_f1").alias("mean_token_f1")).collect()]}
-    modes = list(variants.CONTEXT_LABELS) if args.all_context_modes else [args.context_mode]
     baseline = read_results_csv(spark, args.baseline_results) if args.baseline_results else None
     text = F.col("base_query") if args.question_mode == "raw" else F.coalesce("enriched_query", "base_query")
     out = {}

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanlake.operators.lexical import DOC, POS, QUERY, bm25_scores, rank_top
+from spanlake.operators.term_index import TermIndex, bm25_index_scores, tfidf_index_scores
 from spanlake.operators.vectors import tfidf_scores
 from spanlake.session import cut_lineage
 
@@ -84,9 +85,12 @@ def hierarchical_search(
     k: int = 30,
     leaf_k: int = LEAF_K,
     top_sections: int = TOP_SECTIONS,
+    index: TermIndex | None = None,
 ) -> DataFrame:
-    """Section-expanding retrieval on BM25 or TF-IDF leaf scores."""
-    scorers = {"bm25_hierarchical": bm25_scores, "dense_hierarchical": tfidf_scores}
+    """Section-expanding retrieval on BM25 or TF-IDF leaf scores, from the stored index if there is one."""
+    scorers = {"bm25_hierarchical": (bm25_scores, bm25_index_scores), "dense_hierarchical": (tfidf_scores, tfidf_index_scores)}
     if method not in scorers:
         raise ValueError(f"unsupported hierarchical retriever: {method}")
-    return _expand(scorers[method](chunks, queries, leaf_k), chunks, queries, k, leaf_k, top_sections)
+    from_chunks, from_index = scorers[method]
+    scores = from_chunks(chunks, queries, leaf_k) if index is None else from_index(index, queries, leaf_k)
+    return _expand(scores, chunks, queries, k, leaf_k, top_sections)

@@ -18,7 +18,8 @@ from spanlake.operators.chunk import sentence_chunks
 from spanlake.operators.fusion import fuse_ranked
 from spanlake.operators.lexical import attach_chunks
 from spanlake.operators.retrieve import HIERARCHICAL_METHODS, RECURSIVE_METHODS, retrieve
-from spanlake.plans.stores import stored_recursive_chunks, stored_spans
+from spanlake.operators.term_index import TermIndex
+from spanlake.plans.stores import RECURSIVE_VERSION, stored_index, stored_recursive_chunks, stored_spans
 from spanlake.session import cut_lineage
 from spanlake.sinks.report import write_report
 from spanlake.sinks.tables import output_layout, write_csv, write_document, write_json_lines
@@ -41,28 +42,29 @@ def _labelled(ranked: DataFrame, name: str) -> DataFrame:
 
 
 def benchmark_methods(
-    rows: DataFrame, chunks: DataFrame | dict[str, DataFrame], records: DataFrame, methods: list[str], top_k: int = 30, cutoffs=C.CUTOFFS, **options
+    rows: DataFrame, chunks: DataFrame | dict[str, DataFrame], records: DataFrame, methods: list[str], top_k: int = 30, cutoffs=C.CUTOFFS, index: TermIndex | dict[str, TermIndex] | None = None, **options
 ) -> DataFrame:
-    """Coverage of every eligible row by every method. ``chunks`` may be given per method."""
+    """Coverage of every eligible row by every method. ``chunks`` and their stored ``index`` may be given per method."""
     stored, golds = eligible_queries(rows, records, query=E.base_query())
     queries = as_queries(stored, "query")
     found = []
     for method in methods:
         own = chunks[method] if isinstance(chunks, dict) else chunks
-        ranked = retrieve(own, queries, method, top_k, **(options if method in HIERARCHICAL_METHODS else {}))
+        terms = index.get(method) if isinstance(index, dict) else index
+        ranked = retrieve(own, queries, method, top_k, index=terms, **(options if method in HIERARCHICAL_METHODS else {}))
         found.append(attach_chunks(_labelled(ranked, method), own, "sentence_ids"))
     retrieved = reduce(DataFrame.unionByName, found).withColumnRenamed("query_id", "row_id")
     return C.coverage(golds, retrieved, methods, cutoffs)
 
 
-def compare_queries(rows: DataFrame, chunks: DataFrame, records: DataFrame, cutoffs=(10, 20, 30)) -> DataFrame:
+def compare_queries(rows: DataFrame, chunks: DataFrame, records: DataFrame, cutoffs=(10, 20, 30), index: TermIndex | None = None) -> DataFrame:
     """Base against enriched queries, dense and fused; ``rows`` carry ``enriched_query``."""
     stored, golds = eligible_queries(rows, records, baseline=E.base_query(), enriched=F.col("enriched_query"))
     # Both query variants go through one search: the variant is part of the query id.
     variants = stored.select("row_id", "document_row_id", F.explode(F.create_map(F.lit("baseline"), "baseline", F.lit("enriched"), "enriched")).alias("variant", "query"))
     queries = variants.select(F.concat_ws("|", "variant", "row_id").alias("query_id"), "document_row_id", "query")
-    dense = cut_lineage(retrieve(chunks, queries, "dense_sentence", max(cutoffs)))
-    lexical = retrieve(chunks, queries, "bm25_sentence", max(cutoffs))
+    dense = cut_lineage(retrieve(chunks, queries, "dense_sentence", max(cutoffs), index=index))
+    lexical = retrieve(chunks, queries, "bm25_sentence", max(cutoffs), index=index)
     variant = F.substring_index("query_id", "|", 1)
     flat = _labelled(dense, "").withColumn("retriever", variant)
     fused = _labelled(fuse_ranked(dense, lexical, max(cutoffs)), "").withColumn("retriever", F.concat(variant, F.lit("_hybrid")))
@@ -93,6 +95,10 @@ def run(
     if set(methods) & set(RECURSIVE_METHODS):
         recursive = stored_recursive_chunks(documents, cache, rebuild)
         chunks.update({m: recursive for m in methods if m in RECURSIVE_METHODS})
+    index = {}
+    if not preflight_only:
+        sentences = stored_index(documents, sentence_chunks(spans), cache, rebuild=rebuild)
+        index = {m: stored_index(documents, recursive, cache, RECURSIVE_VERSION, rebuild) if m in RECURSIVE_METHODS else sentences for m in methods}
     records = cut_lineage(G.eligibility(rows, spans, documents))
     write_json_lines(records, paths["eligibility"])
     per_question = G.eligibility_by_question(records).orderBy("question_index")
@@ -104,7 +110,7 @@ def run(
     if not preflight_only:
         cutoffs = tuple(sorted({*C.CUTOFFS, top_k}))
         covered = cut_lineage(
-            benchmark_methods(rows, chunks, records, methods, max(top_k, 30), cutoffs, leaf_k=leaf_k, top_sections=top_sections)
+            benchmark_methods(rows, chunks, records, methods, max(top_k, 30), cutoffs, index, leaf_k=leaf_k, top_sections=top_sections)
         )
         ranking = C.summarize_methods(covered, methods, cutoffs)
         summary["ranking"] = [r.asDict() for r in ranking.collect()]
@@ -112,7 +118,7 @@ def run(
             "enriched_query", F.coalesce("enriched_query", E.base_query())
         )
         tables["ranking"] = ranking
-        effect = compare_queries(enriched, sentence_chunks(spans), records)
+        effect = compare_queries(enriched, sentence_chunks(spans), records, index=sentences)
         tables["enrichment effect"] = E.summarize_deltas(effect, rows).orderBy("question_index")
         tables["rows"] = C.summarize_rows(covered, methods, tuple(sorted({10, 20, 30, top_k})))
         write_json_lines(covered, paths["retrieval"])

@@ -1,17 +1,22 @@
-"""Stored sentence spans and chunks: reused when their manifest matches the documents, rebuilt otherwise."""
+"""Stored sentence spans, chunks and search indexes: reused when their manifest matches the documents, rebuilt otherwise."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from spanlake.operators.chunk import recursive_chunks
 from spanlake.operators.incremental import content_manifest
 from spanlake.operators.segment import sentence_spans
+from spanlake.operators.term_index import TermIndex, open_index, write_index
 from spanlake.sinks.tables import write_versioned
 from spanlake.sources.results import read_valid_cache
 
 SENTENCE_VERSION = "sentence-v3"
 RECURSIVE_VERSION = "legal-recursive-v1"
+INDEX_VERSION = "terms-v1"
 
 
 def load_or_build(documents: DataFrame, path: str, version: str, build, rebuild: bool = False) -> tuple[DataFrame, bool]:
@@ -33,3 +38,16 @@ def stored_spans(documents: DataFrame, path: str, rebuild: bool = False) -> Data
 
 def stored_recursive_chunks(documents: DataFrame, path: str, rebuild: bool = False) -> DataFrame:
     return load_or_build(documents, f"{path}/{RECURSIVE_VERSION}", RECURSIVE_VERSION, recursive_chunks, rebuild)[0]
+
+
+def stored_index(documents: DataFrame, chunks: DataFrame, path: str, kind: str = SENTENCE_VERSION, rebuild: bool = False) -> TermIndex:
+    """The index of the documents' chunks; its tables are written first, then the row that names them."""
+    spark, home, version = documents.sparkSession, f"{path}/{INDEX_VERSION}-{kind}", f"{INDEX_VERSION}-{kind}"
+
+    def build(_: DataFrame) -> DataFrame:
+        name = f"tables-{uuid.uuid4().hex}"
+        write_index(chunks, f"{home}/{name}")
+        return spark.range(1).select(F.lit(name).alias("tables"))
+
+    named = load_or_build(documents, home, version, build, rebuild)[0].first()
+    return open_index(spark, f"{home}/{named.tables}")

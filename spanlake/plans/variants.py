@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spanlake.operators.retrieve import flat_context, retrieve, sectioned_context
 from spanlake.operators.scoring import with_token_f1
+from spanlake.operators.term_index import TermIndex
 from spanlake.plans.answers import dry_run_predictions
 from spanlake.session import cut_lineage
 
@@ -48,20 +49,20 @@ def variant_grid(rows: DataFrame, question_modes=tuple(QUESTION_LABELS), context
     )
 
 
-def contexts(queries: DataFrame, chunks: DataFrame, documents: DataFrame, mode: str, top_k: int = 30, **options) -> DataFrame:
+def contexts(queries: DataFrame, chunks: DataFrame, documents: DataFrame, mode: str, top_k: int = 30, index: TermIndex | None = None, **options) -> DataFrame:
     """(query_id, context) for one context mode."""
     if mode == "raw":
         texts = documents.select("document_row_id", F.col("text").alias("context"))
         return queries.select("query_id", "document_row_id").join(texts, "document_row_id").select("query_id", "context")
     method = CONTEXT_METHODS[mode]
     hierarchical = method.endswith("_hierarchical")
-    ranked = retrieve(chunks, queries, method, top_k, **(options if hierarchical else {}))
+    ranked = retrieve(chunks, queries, method, top_k, index=index, **(options if hierarchical else {}))
     build = sectioned_context if hierarchical else flat_context
     return build(ranked, chunks).select("query_id", "context")
 
 
 def run_variants(
-    rows: DataFrame, documents: DataFrame, chunks: DataFrame, prompts: DataFrame | None = None, question_modes=tuple(QUESTION_LABELS), context_modes=tuple(CONTEXT_LABELS), top_k: int = 30, predict=dry_run_predictions, **options
+    rows: DataFrame, documents: DataFrame, chunks: DataFrame, prompts: DataFrame | None = None, question_modes=tuple(QUESTION_LABELS), context_modes=tuple(CONTEXT_LABELS), top_k: int = 30, predict=dry_run_predictions, index: TermIndex | None = None, **options
 ) -> DataFrame:
     """Predictions and scores for every variant of the rows.
 
@@ -86,7 +87,7 @@ def run_variants(
     for mode in context_modes:
         mine = grid.where(F.col("context_mode") == mode)
         queries = mine.select("query_id", "document_row_id", F.col("retrieval_query").alias("query"))
-        found.append(mine.join(contexts(queries, chunks, documents, mode, top_k, **options), "query_id", "left"))
+        found.append(mine.join(contexts(queries, chunks, documents, mode, top_k, index, **options), "query_id", "left"))
     answered = predict(reduce(DataFrame.unionByName, found))
     scored = with_token_f1(answered, "predicted_answer", F.col("golds"))
     return scored.select(

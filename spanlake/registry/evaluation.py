@@ -161,7 +161,7 @@ _CUTS = (1, 10, 30)
 
 def _covered(spark, folder) -> DataFrame:
     rows = inputs.evaluation_rows(spark, folder)
-    return benchmark_methods(rows, inputs.chunks(spark, folder), _records(spark, folder), _METHODS, 30, _CUTS)
+    return benchmark_methods(rows, inputs.chunks(spark, folder), _records(spark, folder), _METHODS, 30, _CUTS, index=inputs.index(spark, folder))
 
 
 def _covered_sql() -> str:
@@ -311,7 +311,7 @@ def enrichment_eval(spark, folder):
     rows = inputs.evaluation_rows(spark, folder).withColumn(
         "enriched_query", E.enriched_query("question", E.offline_terms("category", "question", "category_description"))
     )
-    return compare_queries(rows, inputs.chunks(spark, folder), _records(spark, folder))
+    return compare_queries(rows, inputs.chunks(spark, folder), _records(spark, folder), index=inputs.index(spark, folder))
 
 
 # ---- answer scoring ---------------------------------------------------------------------------------------

@@ -17,7 +17,8 @@ from spanlake.functions.arrays import explode_rows
 from spanlake.functions.text import row_key
 from spanlake.operators.chunk import sentence_chunks
 from spanlake.operators.enrichment import base_query
-from spanlake.plans.stores import stored_recursive_chunks, stored_spans
+from spanlake.operators.term_index import TermIndex
+from spanlake.plans.stores import RECURSIVE_VERSION, stored_index, stored_recursive_chunks, stored_spans
 from spanlake.session import cut_lineage, shared_folder
 
 _TOKEN = r"[\p{L}\p{N}]+"
@@ -122,6 +123,14 @@ def chunks(spark: SparkSession, folder: str) -> DataFrame:
     return plain.withColumns({"section_title": part, "clause_path": F.array(part)})
 
 
+def index(spark: SparkSession, folder: str) -> TermIndex:
+    return stored_index(documents(spark, folder), chunks(spark, folder), store(spark, folder))
+
+
+def recursive_index(spark: SparkSession, folder: str) -> TermIndex:
+    return stored_index(documents(spark, folder), recursive(spark, folder), store(spark, folder), RECURSIVE_VERSION)
+
+
 def turn_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Each assistant turn as a prediction for the user turn before it.
 

@@ -81,15 +81,3 @@ def output_layout(root: str, run: str) -> dict[str, str]:
     above = root.rpartition("/")[0] if "/" in root else "."
     names = ("results", "results_log", "summary", "baseline", "rows", "retrieval", "ranking", "eligibility", "prompts")
     return {**{n: f"{root}/{run}/{n}" for n in names}, "html": f"{above}/dashboards/{run}.html"}
-
-
-def write_index(chunks: DataFrame, path: str) -> None:
-    """Lexical index as tables: postings partitioned for document look-ups, term and collection statistics."""
-    from spanlake.operators.lexical import DOC, POS, chunk_terms, collection_stats, document_frequencies, postings
-
-    tokens = chunk_terms(chunks)
-    # Rows of a document lie together, so a look-up by document reads few row groups.
-    postings(tokens).repartition(DOC, "term").sortWithinPartitions(DOC, "term").write.mode("overwrite").parquet(f"{path}/postings")
-    document_frequencies(tokens).write.mode("overwrite").parquet(f"{path}/terms")
-    collection_stats(tokens).write.mode("overwrite").parquet(f"{path}/stats")
-    chunks.select(DOC, POS, "chunk_id").write.mode("overwrite").parquet(f"{path}/places")

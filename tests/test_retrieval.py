@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from spanlake.operators import vectors
 from spanlake.operators.fusion import fuse_ranked, hierarchical_search, section_index
-from spanlake.operators.lexical import bm25_search, bm25_search_index
+from spanlake.operators.lexical import bm25_search
 from spanlake.operators.retrieve import retrieve, sectioned_context
 from spanlake.operators.vectors import dense_search, tfidf_search
-from spanlake.sinks.tables import write_index
+from spanlake.operators.term_index import open_index, write_index
+from spanlake.plans.stores import stored_index
 
 TEXTS = {
     (1, 0): "Assignment requires consent.",
@@ -91,7 +92,23 @@ def test_frequent_and_rare_terms_take_different_lookups(chunks, queries, monkeyp
 
 def test_stored_index_gives_the_same_ranking(spark, chunks, queries, tmp_path):
     write_index(chunks, str(tmp_path / "index"))
-    assert actual(bm25_search_index(spark, str(tmp_path / "index"), queries, 3)) == expected(bm25, 3)
+    index = open_index(spark, str(tmp_path / "index"))
+    assert actual(retrieve(chunks, queries, "bm25_sentence", 3, index=index)) == expected(bm25, 3)
+    assert actual(retrieve(chunks, queries, "dense_sentence", 3, index=index)) == expected(tfidf, 3)
+    for method in ("hybrid", "bm25_hierarchical", "dense_hierarchical"):
+        assert actual(retrieve(chunks, queries, method, 4, index=index)) == actual(retrieve(chunks, queries, method, 4))
+    plan = retrieve(chunks.drop("normalized_text"), queries, "dense_sentence", 3, index=index)
+    assert plan.count() == len(expected(tfidf, 3))  # no text is read
+    write_index(chunks.limit(0), str(tmp_path / "none"))
+    assert retrieve(chunks.limit(0), queries, "bm25_sentence", 3, index=open_index(spark, str(tmp_path / "none"))).count() == 0
+
+
+def test_stored_index_is_built_once_and_anew_for_changed_texts(spark, chunks, queries, tmp_path):
+    docs = spark.createDataFrame([(1, "one"), (2, "two")], "document_row_id long, text string")
+    path = str(tmp_path / "store")
+    first = stored_index(docs, chunks, path)
+    names = lambda index: index.places.inputFiles()
+    assert names(stored_index(docs, chunks, path)) == names(first) != names(stored_index(docs.withColumn("text", F.lit("new")), chunks, path))
 
 
 def test_fusion_ties_and_ranks(chunks, queries):
