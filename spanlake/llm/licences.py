@@ -3,9 +3,13 @@
 Only DataFrame operations. A passage is a window of as many words as the template has, from each word of the whole text
 that is one of the template's, and across its lines (up to the end where the text is shorter). So notices within a
 sentence, headers wrapped over commented lines and licence texts are each one vector. Document frequencies are counted
-over all files; words outside the template have the mean weight of the vocabulary, each as a word of its own. A short
-notice counts only with its licence's name in the window. A file is passed over for a template only if the words they
-share can't reach the threshold in any window.
+over all files, and every word has its own. A short notice counts only with its licence's name in the window.
+
+The scan is a sparse join. Postings (word, file) meet postings (word, template): a file stays for a template only if it
+has one of the template's rarest words, without which no window can reach the threshold, and if the words they share
+can. Where the template's words stand in such a file, running sums give the product of every window with the template
+and a lower bound of its length; only windows whose bound reaches the threshold, and the best score found in the file
+for its most promising window of each template, are scored in full.
 """
 
 from __future__ import annotations
@@ -13,9 +17,9 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanlake.session import cut_lineage
@@ -100,82 +104,119 @@ def _strings(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
 
 
-def _numbers(values: list[float]) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
-
-
-def _template(name: str, counts: Counter, idf: dict[str, float], threshold: float) -> Column:
-    """A template as a struct: its words with their part of the cosine and their square, and what a text must have at least."""
-    words = sorted(counts)
-    length = math.sqrt(sum((counts[t] * idf[t]) ** 2 for t in words))
-    size, least, mass = sum(counts.values()), 0, 0.0
-    for square in sorted(((counts[t] * idf[t]) ** 2 for t in words), reverse=True):
-        if mass >= threshold**2 * length**2 - 1e-9:
-            break
-        mass, least = mass + square, least + 1
-    groups = [[t for t in group.split() if t in counts] or group.split() for group in NAMES.get(name, [])] if size < NOTICE_WORDS else []
-    # the groups as one list each, of which there are three at most
-    named = [_strings(g).alias(f"named{k}") for k, g in enumerate((groups + [[], [], []])[:3])]
-    return F.struct(
-        F.lit(name).alias("licence"), F.lit(size).alias("size"), F.lit(least).alias("least"), _strings(words).alias("words"), _numbers([counts[t] * idf[t] ** 2 / length for t in words]).alias("part"),
-        _numbers([idf[t] ** 2 for t in words]).alias("square"), *named,
-    )
-
-
-def _names_in(template: Column, words: Column) -> Column:
-    """Whether there is a word of each group of names that the template needs."""
-    groups = [template[f"named{k}"] for k in range(3)]
-    return reduce(lambda a, b: a & b, [(F.size(g) == 0) | F.arrays_overlap(g, words) for g in groups])
-
+def _idf(seen: int, total: int) -> float:
+    return math.log((1 + total) / (1 + seen)) + 1
 
-def _best_window(w: Column, template: Column, other: float) -> Column:
-    """The best cosine over the windows that start at a word of the template."""
-    hits = F.filter(F.transform(w, lambda t, i: F.struct(i.alias("p"), F.array_position(template["words"], t).cast("int").alias("j"))), lambda h: h["j"] > 0)
 
-    def scored(hits: Column) -> Column:
-        def cosine(h: Column, inside: Column) -> Column:
-            n = F.least(template["size"], F.size(w) - h["p"])
-            start = F.struct(F.lit(0).alias("j"), F.lit(0).alias("run"), F.lit(0.0).alias("dot"), F.lit(0.0).alias("norm"))
+def _postings(notices: list[tuple[str, Counter]], idf: dict[str, float], threshold: float) -> tuple[list[tuple], list[tuple]]:
+    """(t, word, part, mass, anchor) of each word of each template, and (t, licence, size, least, named) of each template.
 
-            def add(a: Column, j: Column) -> Column:  # a word said n times adds 1 + 3 + .. + (2n - 1) = n squared times its square
-                run = F.when(a["j"] == j, a["run"] + 1).otherwise(F.lit(1))
-                return F.struct(j.alias("j"), run.alias("run"), (a["dot"] + F.element_at(template["part"], j)).alias("dot"), (a["norm"] + (2 * run - 1) * F.element_at(template["square"], j)).alias("norm"))
-
-            full = F.aggregate(F.array_sort(inside), start, add, lambda a: F.least(F.lit(1.0), a["dot"] / F.sqrt(a["norm"] + (n - F.size(inside)) * F.lit(other * other))))
-            return F.when(_names_in(template, F.transform(inside, lambda j: F.element_at(template["words"], j))), full)
-
-        def at(h: Column, i: Column) -> Column:
-            inside = F.filter(F.slice(hits, i + 1, template["size"]), lambda g: g["p"] < h["p"] + template["size"])
-            return F.transform(F.array(F.transform(inside, lambda g: g["j"])), lambda js: cosine(h, js))[0]
-
-        return F.array_max(F.transform(hits, at))
-
-    # the hits are worked out once, as the only element of an array
-    return F.transform(F.array(hits), scored)[0]
+    part: what an occurrence of the word adds to the cosine's product; mass: the word's share of the squared length.
+    No vector without an anchor, or with words of a smaller mass than ``least``, reaches the threshold.
+    """
+    words, templates = [], []
+    for t, (name, counts) in enumerate(notices):
+        mass = {w: (n * idf[w]) ** 2 for w, n in counts.items()}
+        total, size = sum(mass.values()), sum(counts.values())
+        rest, anchors = total, set()
+        for w in sorted(counts, key=lambda w: (-idf[w], w)):
+            if rest < threshold**2 * total - 1e-9:
+                break
+            anchors.add(w)
+            rest -= mass[w]
+        words += [(t, w, n * idf[w] ** 2 / math.sqrt(total), mass[w] / total, w in anchors) for w, n in counts.items()]
+        groups = [[w for w in group.split() if w in counts] or group.split() for group in NAMES.get(name, [])] if size < NOTICE_WORDS else []
+        templates.append((t, name, size, threshold**2 - 1e-9, groups))
+    return words, templates
+
+
+def _running(rows: DataFrame, keys: list[str], value: Column, into: str) -> DataFrame:
+    return rows.withColumn(into, F.sum(value).over(W.partitionBy(*keys).orderBy("at", "kind").rowsBetween(W.unboundedPreceding, W.currentRow)))
+
+
+def _windows(hits: DataFrame, lengths: DataFrame, threshold: float) -> DataFrame:
+    """(f, t, at, n, dot) of the windows whose bound reaches the threshold, from hits (f, t, at, size, part, square).
+
+    A window begins at a hit. Sums over all hits before its end, less those before its begin, are its own; the words that
+    are no hits weigh 1 at least.
+    """
+    begins = hits.select("f", "t", "at", F.lit(1).alias("kind"), F.col("at").alias("begin"), "part", "square", F.lit(1).alias("one"))
+    ends = hits.select("f", "t", (F.col("at") + F.col("size")).alias("at"), F.lit(0).alias("kind"), F.col("at").alias("begin"), F.lit(0.0).alias("part"), F.lit(0.0).alias("square"), F.lit(0).alias("one"))
+    events = begins.unionByName(ends)
+    for column in ("part", "square", "one"):
+        events = _running(events, ["f", "t"], F.col(column), f"all_{column}")
+    inside = [(F.max(F.when(F.col("kind") == 0, F.col(f"all_{c}"))) - F.max(F.when(F.col("kind") == 1, F.col(f"all_{c}") - F.col(c)))).alias(c) for c in ("part", "square", "one")]
+    summed = events.groupBy("f", "t", F.col("begin").alias("at")).agg(*inside).join(lengths, "f").join(hits.select("t", "size").distinct(), "t")
+    n = F.least("size", F.col("length") - F.col("at")).cast("long")
+    bound = F.col("part") / F.sqrt(F.col("square") + n - F.col("one"))
+    return summed.where(bound >= threshold - 1e-9).select("f", "t", "at", n.alias("n"), F.col("part").alias("dot"))
+
+
+def _scored(windows: DataFrame, words: DataFrame, templates: DataFrame) -> DataFrame:
+    """The windows (f, t, at, n, dot) that have their template's names, with their cosine."""
+    each = windows.select("f", "t", F.col("at").alias("begin"), "dot", F.explode(F.sequence("at", F.col("at") + F.col("n") - 1)).alias("at"))
+    told = each.join(words.select("f", "at", "word", "idf"), ["f", "at"]).groupBy("f", "t", "begin", "dot", "word").agg(F.count("*").alias("times"), F.first("idf").alias("idf"))
+    length = F.sqrt(F.sum((F.col("times") * F.col("idf")) ** 2))
+    named = [F.coalesce(F.max(F.array_contains(F.get("named", F.lit(k)), F.col("word"))), F.lit(True)).alias(f"named{k}") for k in range(3)]
+    found = told.join(templates.select("t", "named"), "t").groupBy("f", "t", "begin", "dot").agg(length.alias("length"), *named)
+    return found.where("named0 and named1 and named2").select("f", "t", F.round(F.least(F.lit(1.0), F.col("dot") / F.col("length")), 9).alias("score"))
 
 
 def scan_licences(files: DataFrame, templates: dict[str, list[str]] | None = None, path: str = "path", text: str = "text", threshold: float = 0.6) -> DataFrame:
     """(path, licence, score): of each file with a passage of cosine ``threshold`` or more to a template, the best one.
 
     Ties go to the smaller licence name. Null and empty texts, and files without such a passage, give no row. Rows
-    repeating a path are one file.
+    repeating a path are one file, though their texts are compared one by one; very long texts are compared whole, in
+    rows of one word each; other columns of ``files`` may have any name.
     """
+    spark = files.sparkSession
     notices = [(name, Counter(_tokens(t))) for name, texts in sorted((templates or TEMPLATES).items()) for t in texts]
     vocabulary = sorted({t for _, c in notices for t in c})
-    found = files.select(F.col(path).alias("path"), F.regexp_extract_all(F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))), F.lit(_TOKEN), 0).alias("w"))
-    # written once, for the optimizer would find words anew in every filter and lambda
-    known = cut_lineage(found.select("path", "w", F.array_intersect(_strings(vocabulary), "w").alias("known")))
+    found = F.regexp_extract_all(F.col("text"), F.lit(_TOKEN), 0)
+    lowered = files.select(F.col(path).alias("path"), F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("text"))
+    known = lowered.select("path", "text", F.array_intersect(_strings(vocabulary), found).alias("known"))
+    # texts without a word that only some texts have are not looked at again
+    telling = F.arrays_overlap("known", _strings([w for w in vocabulary if w not in COMMON]))
+    known = cut_lineage(known.select(F.monotonically_increasing_id().alias("f"), "path", "known", F.when(telling, F.col("text")).alias("text")))
     counted = known.select(F.explode("known").alias("t")).groupBy("t").count().collect()  # a row per word of the vocabulary
-    seen, total = {r["t"]: r["count"] for r in counted}, files.count()
-    idf = {t: 1.0 if t in COMMON else math.log((1 + total) / (1 + seen.get(t, 0))) + 1 for t in vocabulary}
-    other = sum(idf.values()) / len(idf)
-    every = F.array(*[_template(name, counts, idf, threshold) for name, counts in notices])
-    may = F.filter(every, lambda t: (F.size(F.array_intersect(t["words"], "known")) >= t["least"]) & _names_in(t, F.col("known")))
-    asked = known.where(F.size("known") > 0).select("path", "w", F.explode_outer(may).alias("t")).where(F.col("t").isNotNull())  # a plain explode would work out its array three times
-    scores = asked.select("path", F.col("t.licence").alias("licence"), F.round(_best_window(F.col("w"), F.col("t"), other), 9).alias("score"))
+    seen, total = {r["t"]: r["count"] for r in counted}, known.count()
+    idf = {t: 1.0 if t in COMMON else _idf(seen.get(t, 0), total) for t in vocabulary}
+    rows, each = _postings(notices, idf, threshold)
+    postings = spark.createDataFrame(rows, "t int, word string, part double, mass double, anchor boolean")
+    table = spark.createDataFrame(each, "t int, licence string, size int, least double, named array<array<string>>")
+    anchors = _strings(sorted({w for _, w, _, _, anchor in rows if anchor}))
+    asked = known.where(F.col("text").isNotNull() & F.arrays_overlap("known", anchors))
+    shared = asked.select("f", "known", F.explode("known").alias("word")).join(postings, "word").groupBy("f", "t").agg(F.sum("mass").alias("mass"), F.max("anchor").alias("anchor"), F.first("known").alias("known"))
+    named = F.forall("named", lambda group: F.arrays_overlap(group, F.col("known")))
+    pairs = cut_lineage(shared.where("anchor").join(table, "t").where((F.col("mass") >= F.col("least")) & named).select("f", "t", "size"))
+    told = asked.join(pairs.select("f").distinct(), "f", "left_semi").select("f", F.posexplode(found).alias("at", "word"))
+    words = cut_lineage(told)
+    hits = words.join(postings.select("t", "word", "part"), "word").join(pairs, ["f", "t"])
+    weights = spark.createDataFrame([(w, x * x) for w, x in idf.items()], "word string, square double")
+    lengths = words.groupBy("f").agg(F.count("*").alias("length"))
+    windows = cut_lineage(_windows(hits.join(weights, "word").select("f", "t", "at", "size", "part", "square"), lengths, threshold))
+    # the weight of every word of a file with such a window, counted over all files
+    needed = words.join(windows.select("f").distinct(), "f", "left_semi")
+    others = needed.select("word").distinct().join(weights, "word", "left_anti")
+    in_files = lowered.select(F.explode(F.array_distinct(found)).alias("word")).join(others, "word").groupBy("word").agg(F.count("*").alias("seen"))
+    own = in_files.select("word", (F.log((1 + F.lit(total)) / (1 + F.col("seen"))) + 1).alias("idf")).unionByName(weights.select("word", F.sqrt("square").alias("idf")))
+    weighed = needed.join(own, "word").withColumn("kind", F.lit(0))
+    weighed = cut_lineage(_running(weighed, ["f"], F.col("idf") ** 2, "all_squares"))
+    # bounds anew with the weight of every word; they are exact where no word repeats
+    first = weighed.select("f", "at", (F.col("all_squares") - F.col("idf") ** 2).alias("before"))
+    last = weighed.select("f", F.col("at").alias("last"), "all_squares")
+    limited = windows.join(first, ["f", "at"]).withColumn("last", (F.col("at") + F.col("n") - 1).cast("int")).join(last, ["f", "last"])
+    limited = limited.select("f", "t", "at", "n", "dot", (F.col("dot") / F.sqrt(F.col("all_squares") - F.col("before"))).alias("bound"))
+    limited = cut_lineage(limited.where(F.col("bound") >= threshold - 1e-9))
+    best = F.max_by(F.struct("at", "n", "dot"), F.struct("bound", -F.col("at")))
+    top = limited.groupBy("f", "t").agg(best.alias("w")).select("f", "t", "w.*")
+    reached = cut_lineage(_scored(top, weighed, table))
+    floor = reached.groupBy("f").agg(F.max("score").alias("floor"))
+    rest = limited.join(floor, "f", "left").where(F.col("bound") >= F.coalesce("floor", F.lit(0.0)) - 1e-9).drop("floor", "bound")
+    scores = reached.unionByName(_scored(rest, weighed, table)).where(F.col("score") >= threshold)
+    named_scores = scores.join(table.select("t", "licence"), "t").join(known.select("f", "path"), "f")
     rank = F.struct(-F.col("score"), F.col("licence"))
-    best = scores.withColumn("score", F.coalesce("score", F.lit(0.0))).groupBy("path").agg(F.min_by("licence", rank).alias("licence"), F.max("score").alias("score"))
-    return best.where(F.col("score") >= threshold)
+    return named_scores.groupBy("path").agg(F.min_by("licence", rank).alias("licence"), F.max("score").alias("score"))
 
 
 def _ancestors(path: Column) -> Column:

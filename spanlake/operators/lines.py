@@ -108,7 +108,7 @@ def annotate_documents(documents: DataFrame, text: str = "text", shown: int | No
         "document_row_id",
         "total_lines",
         exhibit.alias("starts_with_exhibit"),
-        F.when(exhibit, F.substring("first_line", 1, 80)).alias("exhibit_header"),
+        F.when(exhibit, F.col("first_line")).alias("exhibit_header"),
         zero("total_words"),
         zero("classified_words"),
         zero("classified_lines"),

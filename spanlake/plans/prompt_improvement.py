@@ -74,7 +74,7 @@ def propose(rows: DataFrame) -> DataFrame:
     several = F.when(F.col("typical_span_shape") == "multiple_spans", F.lit("Put every quotation on its own line."))
     lines = F.array_distinct(F.array_compact(F.array(profile, several, *advice)))
     block = F.concat(F.lit(f"\n\n{_HEADING}\n"), F.array_join(F.transform(lines, lambda v: F.concat(F.lit("- "), v)), "\n"))
-    feedback = F.array_join(F.transform(F.slice("feedback", 1, 3), lambda v: F.concat(F.lit("\n- "), v)), "")
+    feedback = F.array_join(F.transform("feedback", lambda v: F.concat(F.lit("\n- "), v)), "")
     base = F.coalesce("candidate_prompt", "current_prompt")
     fresh = ~F.contains(base, F.lit(_HEADING))
     return rows.withColumn("candidate_prompt", F.concat(base, F.when(fresh, block).otherwise(F.lit("")), feedback))
@@ -101,8 +101,8 @@ def improve(inputs: DataFrame, max_loops: int = MAX_LOOPS, propose_with=propose,
 
 def run(results: DataFrame, documents: DataFrame, prompts: DataFrame, output: str, model_id: str = "v2", generator_size: int = 20, evaluator_size: int = 20, max_loops: int = MAX_LOOPS, resume: bool = True) -> dict:
     """Improve all prompts, skipping categories settled by an earlier run, and write prompts, splits and report."""
-    if not (0 < generator_size <= 20 and 0 < evaluator_size <= 20 and 1 <= max_loops <= 3):
-        raise ValueError("example sizes must be 1..20 and loops 1..3")
+    if min(generator_size, evaluator_size, max_loops) < 1:
+        raise ValueError("example sizes and loops must be 1 at least")
     spark, paths = results.sparkSession, output_layout(output, model_id)
     rows, errors = category_inputs(results, documents, prompts, generator_size, evaluator_size)
     status = f"{paths['rows']}_status"

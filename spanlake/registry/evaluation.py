@@ -127,16 +127,16 @@ def chunk_matching(spark, folder):
     "compare_versions",
     f"""{_GOLD}, b AS (SELECT question_index, count(*) FILTER (WHERE matched = gold) AS f, sum(matched) / sum(gold) AS rate
                        FROM eligible WHERE gold > 0 GROUP BY ALL),
-        c AS (SELECT question_index, count(*) FILTER (WHERE raw = gold) AS f, sum(raw) / sum(gold) AS rate FROM eligible WHERE gold > 0 AND category = 'en' GROUP BY ALL)
+        c AS (SELECT question_index, count(*) FILTER (WHERE raw = gold) AS f, sum(raw) / sum(gold) AS rate FROM eligible WHERE gold > 0 GROUP BY ALL)
         SELECT question_index, coalesce(b.f, 0) AS baseline_full_match_rows, coalesce(c.f, 0) AS comparison_full_match_rows,
                coalesce(b.f, 0) - coalesce(c.f, 0) AS full_match_row_delta,
                round(coalesce(b.rate, 0) - coalesce(c.rate, 0), 4) AS split_sentence_match_rate_delta
         FROM b FULL JOIN c USING (question_index)""",
 )
 def compare_versions(spark, folder):
-    """Sentence matches against whole-text matches of the English documents as the other version."""
+    """Sentence matches against whole-text matches as the other version."""
     records = _records(spark, folder)
-    other = records.where(F.col("category") == "en").withColumn("matched_sentence_count", F.col("raw_contract_sentence_match_count"))
+    other = records.withColumn("matched_sentence_count", F.col("raw_contract_sentence_match_count"))
     compared = G.compare_versions_by_question(records, other, "sentence", "raw")
     return compared.select(
         "question_index", "baseline_full_match_rows", "comparison_full_match_rows", "full_match_row_delta", "split_sentence_match_rate_delta"
@@ -400,11 +400,11 @@ def baseline_compare(spark, folder):
     f"""WITH {_results_sql('r', 0)}, {_results_sql('b', 1)}, s AS (SELECT question_index, category, count(*) AS n, 100 * avg(token_f1) AS m FROM r GROUP BY ALL)
         SELECT r.id AS row_id, s.n AS category_count, round(s.m, 6) AS category_mean_token_f1, round(b.token_f1, 6) AS baseline_token_f1,
                round(r.token_f1 - b.token_f1, 6) AS token_f1_delta
-        FROM r JOIN s ON s.question_index = r.question_index AND s.category = r.category LEFT JOIN b ON b.id = r.id AND b.category <> 'en'""",
+        FROM r JOIN s ON s.question_index = r.question_index AND s.category = r.category LEFT JOIN b ON b.id = r.id""",
 )
 def evaluation_page_rows(spark, folder):
-    """The baseline lacks the English rows, so their baseline columns stay null."""
-    page = R.page_rows(inputs.results(spark, folder), inputs.results(spark, folder, shift=1).where("category <> 'en'"))
+    """Rows of a run with their category's size and mean, and the shifted answers as the baseline; rows it lacks keep nulls."""
+    page = R.page_rows(inputs.results(spark, folder), inputs.results(spark, folder, shift=1))
     return _round_all(
         page.select("row_id", "category_count", "category_mean_token_f1", "baseline_token_f1", "token_f1_delta"),
         "category_mean_token_f1", "baseline_token_f1", "token_f1_delta",
@@ -414,12 +414,12 @@ def evaluation_page_rows(spark, folder):
 @query(
     "align_runs",
     f"""WITH {_results_sql('r', 0)}, {_results_sql('b', 1)}, s AS (SELECT 'run_a' AS label, category, avg(token_f1) AS v FROM r GROUP BY ALL
-        UNION ALL SELECT 'run_b', category, avg(token_f1) FROM b WHERE category <> 'en' GROUP BY ALL)
+        UNION ALL SELECT 'run_b', category, avg(token_f1) FROM b GROUP BY ALL)
         SELECT category, round(max(v) FILTER (WHERE label = 'run_a'), 6) AS run_a, round(max(v) FILTER (WHERE label = 'run_b'), 6) AS run_b FROM s GROUP BY category""",
 )
 def align_runs(spark, folder):
     runs = [inputs.results(spark, folder, i).groupBy("category").agg(F.avg("token_f1").alias("mean_token_f1")) for i in (0, 1)]
-    both = runs[0].withColumn("label", F.lit("run_a")).unionByName(runs[1].where("category <> 'en'").withColumn("label", F.lit("run_b")))
+    both = runs[0].withColumn("label", F.lit("run_a")).unionByName(runs[1].withColumn("label", F.lit("run_b")))
     return _round_all(R.align_runs(both, ["run_a", "run_b"]), "run_a", "run_b")
 
 

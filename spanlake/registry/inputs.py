@@ -51,13 +51,24 @@ def _grams(tokens, keep):
     return keep(let(tokens, build))
 
 
+def _character_runs(text, size: int):
+    """All runs of ``size`` neighbouring characters, from one pass over the characters."""
+    from spanlake.functions.text import let
+
+    def build(letters):
+        count = F.greatest(F.size(letters) - (size - 1), F.lit(0))
+        return F.transform(F.slice(letters, 1, count), lambda c, i: F.concat(c, *[F.get(letters, i + k) for k in range(1, size)]))
+
+    return let(F.split(text, ""), build)
+
+
 def containment_join(haystacks: DataFrame, needles: DataFrame, hay_id: str, needle_id: str) -> DataFrame:
     """Exact (haystack, needle) pairs where the needle text is a substring, without pairing everything.
 
     Tokens inside a needle (all but the first and last) appear as whole tokens wherever the needle does, so
     the needle's first inner token triple must be among the triples of the haystack: an equi-join on a hash
-    gives the candidates, the substring test decides. A needle needs five tokens for that; shorter needles
-    raise an error instead of being lost.
+    gives the candidates, the substring test decides. A needle of fewer than five tokens is joined by its first
+    three characters (all, if fewer) with the runs of as many characters in the haystack. Empty needles have no pairs.
     """
     tokens = F.regexp_extract_all(F.col("text"), F.lit(_TOKEN), F.lit(0))
     anchors = needles.select(needle_id, F.col("text").alias("needle"), tokens.alias("t"))
@@ -65,11 +76,16 @@ def containment_join(haystacks: DataFrame, needles: DataFrame, hay_id: str, need
     anchors = anchors.select(
         needle_id,
         "needle",
-        F.when(F.size("t") >= 5, inner).otherwise(F.raise_error(F.lit("needle with fewer than five tokens")).cast("bigint")).alias("gram"),
+        F.when(F.size("t") >= 5, inner).alias("gram"),
+        F.least(F.length("needle"), F.lit(3)).alias("run"),
     )
     spread = explode_rows(haystacks, _grams(tokens, F.array_distinct), hay_id, names=("n", "gram")).drop("n")
     # A haystack holds each triple once and a needle has one triple, so no pair can repeat.
-    candidates = spread.join(anchors, "gram").select(hay_id, needle_id, "needle")
+    candidates = spread.join(anchors.where("gram is not null"), "gram").select(hay_id, needle_id, "needle")
+    short = anchors.where("gram is null and run > 0").withColumn("gram", F.left("needle", F.col("run")))
+    for run in sorted(r.run for r in short.select("run").distinct().collect()):  # 1 to 3, those that occur
+        starts = explode_rows(haystacks, F.array_distinct(_character_runs(F.col("text"), run)), hay_id, names=("n", "gram")).drop("n")
+        candidates = candidates.unionByName(starts.join(short.where(F.col("run") == run), "gram").select(hay_id, needle_id, "needle"))
     return candidates.join(haystacks, hay_id).where(F.contains("text", "needle"))
 
 

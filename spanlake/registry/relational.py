@@ -79,13 +79,14 @@ def anti_join(spark, folder):
 
 @query(
     "full_outer_compare",
-    """WITH a AS (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), b AS (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderstatus = 'O' GROUP BY 1)
+    """WITH a AS (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), b AS (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1)
        SELECT coalesce(a.k, b.k) AS custkey, coalesce(a.n, 0) AS baseline, coalesce(b.n, 0) AS comparison, coalesce(a.n, 0) - coalesce(b.n, 0) AS delta FROM a FULL JOIN b ON a.k = b.k""",
 )
 def full_outer(spark, folder):
     orders = inputs.table(spark, folder, "orders")
-    side = lambda s, n: orders.where(F.col("o_orderstatus") == s).groupBy(F.col("o_custkey").alias("custkey")).agg(F.count(F.lit(1)).alias(n))
-    both = side("F", "baseline").join(side("O", "comparison"), "custkey", "full_outer").na.fill(0)
+    filled = F.col("o_orderstatus") == "F"
+    side = lambda rows, n: orders.where(rows).groupBy(F.col("o_custkey").alias("custkey")).agg(F.count(F.lit(1)).alias(n))
+    both = side(filled, "baseline").join(side(~filled, "comparison"), "custkey", "full_outer").na.fill(0)
     return both.withColumn("delta", F.col("baseline") - F.col("comparison"))
 
 

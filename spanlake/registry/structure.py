@@ -194,21 +194,18 @@ def offsets(spark, folder):
       SELECT doc_id, l, s, regexp_matches(s, '(?i)^(?:Section{S.WS}+)?(\\p{{Nd}}+(?:\\.\\p{{Nd}}+)*(?:\\([a-zA-Z0-9]+\\))?|ARTICLE{S.WS}+[IVXLC]+)\\.?{S.WS}+.{{1,120}}$') AS numbered,
              length(s) <= 80 AND s <> '' AND upper(s) = s AND regexp_matches(s, '\\pL') AND NOT regexp_matches(s, '[.;,]$') AS caps FROM ln_s),
     g AS (SELECT doc_id, l, s, sum(CASE WHEN numbered OR caps THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY l ROWS UNBOUNDED PRECEDING) AS section_pos FROM h)
-    SELECT doc_id, l AS line_no, section_pos::BIGINT AS section_pos FROM g WHERE s <> ''""",
+    SELECT doc_id, l AS line_no, section_pos::BIGINT AS section_pos FROM g""",
 )
 def section_carry_forward(spark, folder):
-    """Number of the section current at each filled line, as an inclusive running count inside the document row."""
+    """Number of the section current at each line, as an inclusive running count inside the document row."""
     from spanlake.functions.arrays import explode_rows, running_starts
 
     lines = inputs.documents(spark, folder).select("document_row_id", T.split_lines("text").alias("lines"))
     marked = lines.withColumn("marks", F.transform("lines", lambda v: line_section(v).isNotNull().cast("int")))
     counted = marked.withColumn("before", running_starts(F.col("marks")))
-    rows = F.zip_with(
-        F.zip_with("marks", "before", lambda m, b: m + b), "lines",
-        lambda n, v: F.struct(n.cast("bigint").alias("section_pos"), (T.strip(v) != "").alias("filled")),
-    )
-    out = explode_rows(counted, rows, F.col("document_row_id").alias("doc_id"), names=("line_no", "r")).where("r.filled")
-    return out.select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), "r.section_pos")
+    current = F.zip_with("marks", "before", lambda m, b: (m + b).cast("bigint"))
+    out = explode_rows(counted, current, F.col("document_row_id").alias("doc_id"), names=("line_no", "section_pos"))
+    return out.select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), "section_pos")
 
 
 @query(

@@ -149,3 +149,12 @@ def test_dense_vectors_equal_brute_force(spark):
     cos = lambda v: sum(a * b for a, b in zip(v, query)) / (length(v) * length(query)) if length(v) else 0.0
     want = sorted(((-round(cos(v), 9), i) for _, i, v in vectors))[:5]
     assert [r.chunk_pos for r in dense_search(chunks, queries, 5).orderBy("rank").collect()] == [i for _, i in want]
+
+
+def test_containment_of_needles_of_any_length(spark):
+    from spanlake.registry.inputs import containment_join
+
+    hay = {1: "The quick brown fox jumps over the lazy dog", 2: "concatenate", 3: "a.b", 4: "", 5: None, 6: "brown fox jumps over", 7: "aaaa é日本 x"}
+    needles = {1: "cat", 2: "a", 3: ".", 4: "brown fox jumps over the", 5: "brown fox", 6: "zz", 7: "é日", 8: "", 9: "ck brown fox jumps ov", 10: "aaaaa", 11: None, 12: "x"}
+    found = containment_join(spark.createDataFrame(list(hay.items()), "h long, text string"), spark.createDataFrame(list(needles.items()), "n long, text string"), "h", "n")
+    assert sorted((r.h, r.n) for r in found.collect()) == sorted((h, n) for h, t in hay.items() for n, x in needles.items() if t and x and x in t)
