@@ -29,12 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanlake.llm.batches import bound_batches, portions
+from spanlake.llm.batches import bound_batches, portions, tidied
 
 #: The public pattern that splits a text into words before the merges of byte-level BPE.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 KEPT_WORDS = 20_000
-PORTION_BYTES = 2 << 20
+PORTION_BYTES = 1 << 20
 WORD_BYTES = 1 << 18
 _SHIFT = 24
 
@@ -418,7 +418,7 @@ def encode_texts(docs: DataFrame, path: str, text: str = "text", into: str = "id
                 columns.append(pa.array([automaton.value.decode(ids).decode("utf-8", "replace") for ids in found], pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names=["ids", "row", "decoded"][: len(columns)])
 
-    both = rows.mapInArrow(encoded, schema)
+    both = rows.mapInArrow(tidied(encoded), schema)
     return both.select(*[F.col("row")[c].alias(c) for c in kept], F.col("ids").alias(into), *([F.col("decoded").alias(decoded)] if decoded else []))
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spanlake.llm.batches import bound_batches
+from spanlake.llm.batches import bound_batches, give_back, tidied
 from spanlake.session import cut_lineage
 
 UNDETERMINED = "und"
@@ -147,7 +147,7 @@ def fit_profiles(docs: DataFrame, size: int = 300, max_rows: int = 2000, max_let
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["letter", "n"])
 
     sample = cut_lineage(sample)
-    common = sample.select("text").mapInArrow(letters_of, "letter int, n long").groupBy("letter").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "letter").limit(max_letters)
+    common = sample.select("text").mapInArrow(tidied(letters_of), "letter int, n long").groupBy("letter").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "letter").limit(max_letters)
     letters = np.array(sorted(r.letter for r in common.collect()), np.int64)
 
     def grams_of(batches):
@@ -162,7 +162,7 @@ def fit_profiles(docs: DataFrame, size: int = 300, max_rows: int = 2000, max_let
                     n = np.bincount(place, weights=counts[here == lang]).astype(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(values), pa.string()), pa.array(values.astype(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
-    counted = sample.select("lang", "text").mapInArrow(grams_of, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = sample.select("lang", "text").mapInArrow(tidied(grams_of), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = counted.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= size)
     table = best.select("lang", "gram", "rank").toPandas()
     profiles = Profiles(sorted(table["lang"].unique()), size, letters)
@@ -214,6 +214,7 @@ def identify_language(docs: DataFrame, profiles: Profiles, text: str = "text", i
         for column in batches:
             names, scores = _predict(column.tolist(), profiles, codes)
             yield pd.DataFrame({"lang": names, "score": scores})
+        give_back()
 
     found = docs.select(*rest, predicted(F.col(text).cast("string")).alias("_language"))
     return found.select(*rest, F.col("_language.lang").alias(into[0]), F.col("_language.score").alias(into[1]))

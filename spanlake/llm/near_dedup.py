@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.llm.batches import bound_batches
+from spanlake.llm.batches import bound_batches, tidied
 from spanlake.llm.components import connected_components
 from spanlake.llm.groups import sorted_groups
 from spanlake.llm.words import mix, slices, windows
@@ -141,7 +141,7 @@ def _linked_pairs(percent: int):
 def _bucketed_sets(reps: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     """(rep, shingles) of the representatives ``reps`` (rep, fingerprint), from the whole texts that bear their ids."""
     named = texts.join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").select("doc_id", "text")
-    sets = named.mapInArrow(_sets(words), "rep long, fingerprint binary, shingles array<long>").join(reps, ["rep", "fingerprint"], "left_semi")
+    sets = named.mapInArrow(tidied(_sets(words)), "rep long, fingerprint binary, shingles array<long>").join(reps, ["rep", "fingerprint"], "left_semi")
     return cut_lineage(sets.groupBy("rep", "fingerprint").agg(F.any_value("shingles").alias("shingles")).drop("fingerprint"))
 
 
@@ -186,7 +186,7 @@ def near_duplicate_classes(docs: DataFrame, words: int = 5, percent: int = 80, b
     """
     bound_batches(docs.sparkSession)
     columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    profile = cut_lineage(columns.mapInArrow(_profiles(words, bands, rows), "doc_id long, fingerprint binary, n_shingles long, bands array<long>"))
+    profile = cut_lineage(columns.mapInArrow(tidied(_profiles(words, bands, rows)), "doc_id long, fingerprint binary, n_shingles long, bands array<long>"))
     named = profile.where("doc_id is not null and n_shingles > 0")
     reps = cut_lineage(
         named.groupBy("fingerprint").agg(F.min("doc_id").alias("rep"), *[F.any_value(c).alias(c) for c in ("n_shingles", "bands")])
@@ -242,7 +242,7 @@ def near_duplicate_classes(docs: DataFrame, words: int = 5, percent: int = 80, b
         .select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "rep", "component", "n_shingles", "folded")
     )
     dealt = rows_.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
-    rest = cut_lineage(dealt.mapInArrow(_linked_pairs(percent), "u long, v long").distinct())
+    rest = cut_lineage(dealt.mapInArrow(tidied(_linked_pairs(percent)), "u long, v long").distinct())
     first = classed.select("rep", "component")
     if not rest.isEmpty():
         first = _with_components(links.unionByName(_confirmed(rest, sets, percent)), met).select("rep", "component")
@@ -254,10 +254,13 @@ def near_duplicate_classes(docs: DataFrame, words: int = 5, percent: int = 80, b
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each class: that with the smallest doc_id, once.
+    """``docs`` with one row of each class of like texts: that with the smallest doc_id, rows without one last.
 
-    All columns stay. Rows without doc_id stay. Of rows repeating the doc_id that stays, one is kept.
+    Classes are made of rows, so rows that share a doc_id are one only if their texts are alike, and rows without
+    doc_id are linked like all others. Rows without a word stay. All columns stay, whatever their names.
     """
-    classes = near_duplicate_classes(docs, words, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept_id")).distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(cut_lineage(classes), F.col("doc_id") == F.col("_kept_id"), "left_semi")
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))
+    rows = cut_lineage(docs.select(F.monotonically_increasing_id().alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")))
+    classes = near_duplicate_classes(rows.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text")), words, percent)
+    member = rows.select("key", F.col("row.doc_id").alias("id")).join(classes.select(F.col("doc_id").alias("key"), "component_id"), "key")
+    first = member.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("first")).select(F.col("first.key").alias("key"))
+    return rows.join(cut_lineage(first), "key", "left_semi").select(*[F.col("row")[c].alias(c) for c in docs.columns])

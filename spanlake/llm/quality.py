@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.llm.batches import bound_batches
+from spanlake.llm.batches import bound_batches, give_back, tidied
 from spanlake.llm.boosting import FlatTrees, train
 from spanlake.llm.words import SPACE, mix, slices, windows
 from spanlake.session import cut_lineage
@@ -113,7 +113,7 @@ def document_counts(docs: DataFrame, text: str = "text") -> DataFrame:
             )
 
     wanted = ", ".join(f"{n} long" for n in names)
-    return docs.select(*rest, F.col(text).cast("string").alias(text)).mapInArrow(run, f"{fields}, {wanted}" if fields else wanted)
+    return docs.select(*rest, F.col(text).cast("string").alias(text)).mapInArrow(tidied(run), f"{fields}, {wanted}" if fields else wanted)
 
 
 def _breaks_rules(n_words, n_repeat_words):
@@ -125,6 +125,12 @@ def base_failed() -> Column:
     return _breaks_rules(F.col("q_n_words"), F.col("q_n_repeat_words"))
 
 
+def _smallest_hashes(n: int, max_rows: int) -> Column:
+    """Whether the hash of ``_id`` is among the smallest, about four times ``max_rows`` of ``n``: what further tasks need not send."""
+    share = min(1.0, 4 * max_rows / max(n, 1))
+    return F.lit(True) if share == 1.0 else F.xxhash64("_id") <= F.lit(int(share * 2**64) - 2**63)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> DataFrame:
     """doc_id and text of the documents that ``fit_quality`` may learn from, so that only their texts are counted.
 
@@ -133,7 +139,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000)
     """
     known = labels.where("quality in (0, 1)").select(F.col("doc_id").cast("long").alias("_id")).distinct()
     ids = docs.select(F.col("doc_id").cast("long").alias("_id"))
-    chosen = cut_lineage(known.join(ids, "_id", "left_semi").orderBy(F.xxhash64("_id"), "_id").limit(max_rows))
+    there = cut_lineage(known.join(ids, "_id", "left_semi"))
+    chosen = cut_lineage(there.where(_smallest_hashes(there.count(), max_rows)).orderBy(F.xxhash64("_id"), "_id").limit(max_rows))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"), "left_semi")
 
 
@@ -141,12 +148,14 @@ def fit_quality(counted: DataFrame, labels: DataFrame, max_rows: int = 20_000) -
     """Train on labelled documents that pass the base rules.
 
     ``counted``: doc_id and the counts; ``labels``: doc_id, quality (1 good, 0 not, other values and null ignored). At
-    most ``max_rows`` rows, those with the smallest hash of doc_id, come to the driver: that bound does not grow with
-    the corpus. Without labels of both kinds the model is constant.
+    most ``max_rows`` rows, those with the smallest hash of doc_id among the first 4 * ``max_rows`` labels by hash, are
+    written and then read by the driver: that bound does not grow with the corpus. Without labels of both kinds the
+    model is constant.
     """
     wanted = labels.where("quality in (0, 1)").select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("double").alias("_y"))
+    wanted = wanted.where(_smallest_hashes(wanted.count(), max_rows))
     sample = counted.where(~base_failed()).join(wanted, F.col("doc_id") == F.col("_id")).orderBy(F.xxhash64("doc_id"), "doc_id", "_y").limit(max_rows)
-    rows = sample.select("_y", *[f"q_{c}" for c in COUNTS]).toPandas()
+    rows = cut_lineage(sample.select("_y", *[f"q_{c}" for c in COUNTS])).toPandas()
     signs = list(FEATURES.values())
     return train(features(rows.iloc[:, 1:].to_numpy()), rows["_y"].to_numpy(), signs)
 
@@ -190,6 +199,7 @@ def keeps_text(model: FlatTrees, threshold: float = 0.5):
         good = ~_breaks_rules(counts[:, n_words], counts[:, n_repeat_words])
         if len(model.roots):
             good &= model.probability(features(counts)) >= threshold
+        give_back()
         return pa.array(good)
 
     return lambda text: kept(F.col(text).cast("string"))
