@@ -198,7 +198,8 @@ def scan_licences(files: DataFrame, templates: dict[str, list[str]] | None = Non
     # the weight of every word of a file with such a window, counted over all files
     needed = words.join(windows.select("f").distinct(), "f", "left_semi")
     others = needed.select("word").distinct().join(weights, "word", "left_anti")
-    in_files = lowered.select(F.explode(F.array_distinct(found)).alias("word")).join(others, "word").groupBy("word").agg(F.count("*").alias("seen"))
+    # counted before they meet the few that are needed, so that tasks send each word once
+    in_files = lowered.select(F.explode(F.array_distinct(found)).alias("word")).groupBy("word").agg(F.count("*").alias("seen")).join(others, "word")
     own = in_files.select("word", (F.log((1 + F.lit(total)) / (1 + F.col("seen"))) + 1).alias("idf")).unionByName(weights.select("word", F.sqrt("square").alias("idf")))
     weighed = needed.join(own, "word").withColumn("kind", F.lit(0))
     weighed = cut_lineage(_running(weighed, ["f"], F.col("idf") ** 2, "all_squares"))

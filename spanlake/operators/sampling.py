@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -64,6 +65,53 @@ def sample_ids(ids: DataFrame, size: int, seed: int, column: str = "document_row
     return with_position(ids, column).join(chosen, "position").select(column, "selection_pos")
 
 
+def permuted(position: Column, n: int, seed: int, rounds: int = 4) -> Column:
+    """The place of a position from 0 to n - 1 in a permutation of them that the seed determines.
+
+    A Feistel network on pairs (position div b, position mod b) with a * b >= n: each round adds a hash of one half to the
+    other, which can be undone, so pairs stay distinct. A result of n or more, of which there are less than a, is put in
+    again until it is below n (cycle walking), which keeps the permutation exact.
+    """
+    a = max(1, math.isqrt(max(n - 1, 0)) + 1)
+    b = max(1, -(-n // a))
+
+    def once(x: Column) -> Column:
+        start = F.array(F.floor(x / b).cast("bigint"), F.pmod(x, F.lit(b)).cast("bigint"))
+        step = lambda v, r: F.when(r % 2 == 0, F.array((v[0] + rounds_of(v[1], r)) % a, v[1])).otherwise(F.array(v[0], (v[1] + rounds_of(v[0], r)) % b))
+        return F.aggregate(F.array(*[F.lit(r) for r in range(rounds)]), start, step, lambda v: v[0] * b + v[1])
+
+    def rounds_of(half: Column, r: Column) -> Column:
+        return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), r.cast("string"), F.lit(":"), half.cast("string"))), 1, 13), 16, 10).cast("bigint")
+
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(64)), once(position.cast("bigint")), lambda x, _: F.when(x >= n, once(x)).otherwise(x))
+    return F.when(walked < n, walked).otherwise(F.raise_error(F.lit("a cycle of more than 64 steps")).cast("bigint"))
+
+
+def permuted_ids(ids: DataFrame, seed: int, column: str = "document_row_id") -> DataFrame:
+    """(id, draw_pos, total): each distinct id's place in a seeded permutation of the sorted ids; no list of ids or draws on the driver."""
+    placed = with_position(ids, column)
+    n = placed.count()
+    return placed.select(column, permuted(F.col("position"), n, seed).alias("draw_pos"), F.lit(n).cast("bigint").alias("total"))
+
+
+def disjoint_draws(ids: DataFrame, sizes: Sequence[int], seed: int, column: str = "document_row_id") -> DataFrame:
+    """(id, draw, selection_pos) of several samples without a common id: consecutive ranges of one permutation."""
+    placed = permuted_ids(ids, seed, column)
+    total = placed.count()
+    if sum(sizes) > total:
+        raise ValueError(f"draws of {sum(sizes)} exceed available ids={total}")
+    ends = [sum(sizes[: k + 1]) for k in range(len(sizes))]
+    draw = F.aggregate(F.array(*[F.lit(e).cast("bigint") for e in ends]), F.lit(0), lambda n, end: n + (F.col("draw_pos") >= end).cast("int"))
+    start = F.get(F.array(*[F.lit(e - s).cast("bigint") for e, s in zip(ends, sizes, strict=True)]), draw)
+    return placed.where(F.col("draw_pos") < sum(sizes)).select(column, draw.alias("draw"), (F.col("draw_pos") - start).alias("selection_pos"))
+
+
+def share_split(ids: DataFrame, share: float, seed: int, column: str = "document_row_id") -> DataFrame:
+    """(id, split): the first ``share`` of a seeded permutation is "train", the rest "test"."""
+    placed = permuted_ids(ids, seed, column)
+    return placed.select(column, F.when(F.col("draw_pos") < F.floor(F.col("total") * share), "train").otherwise("test").alias("split"))
+
+
 def select_rows(
     questions: DataFrame,
     selected: DataFrame,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from spanlake.functions.text import row_key
 from spanlake.operators.failures import sentence_units, span_shape
 from spanlake.operators.incremental import content_manifest, first_by_key, last_by_key, merge_results, pending
-from spanlake.operators.sampling import position_within, sample_ids, with_position
+from spanlake.operators.sampling import disjoint_draws, position_within, sample_ids, share_split, with_position
 from spanlake.operators.scoring import parse_bool, parse_gold_answers
 from spanlake.registry import inputs, query
 from spanlake.registry import sqltext as S
@@ -172,6 +172,38 @@ def document_positions(spark, folder):
     return with_position(inputs.table(spark, folder, "orders"), "o_orderkey")
 
 
+def _permutation_sql(seed: int) -> str:
+    """Places of all documents in the permutation that ``permuted`` defines."""
+    add = lambda r, half: f"CAST(('0x' || substr(md5('{seed}:{r}:' || CAST({half} AS VARCHAR)), 1, 13)) AS BIGINT)"
+    l1 = f"((x // b) + {add(0, '(x % b)')}) % a"
+    steps = f"""SELECT id, a, b, n, ({l1}) AS l1, x % b AS r0 FROM {{0}}"""
+    second = f"SELECT *, (r0 + {add(1, 'l1')}) % b AS r1 FROM ({steps})"
+    third = f"SELECT *, (l1 + {add(2, 'r1')}) % a AS l2 FROM ({second})"
+    fourth = f"SELECT id, a, b, n, l2 * b + (r1 + {add(3, 'l2')}) % b AS x FROM ({third})"
+    size = "SELECT n, CAST(floor(sqrt(n - 1)) AS BIGINT) + 1 AS a FROM (SELECT count(*) AS n FROM (SELECT DISTINCT doc_id FROM documents))"
+    return f"""size AS (SELECT n, a, (n + a - 1) // a AS b FROM ({size})),
+      placed AS (SELECT doc_id AS id, row_number() OVER (ORDER BY doc_id) - 1 AS x FROM (SELECT DISTINCT doc_id FROM documents)),
+      walk AS ({fourth.format('(SELECT id, a, b, n, x FROM placed, size)')} UNION ALL {fourth.format('(SELECT * FROM walk WHERE x >= n)')}),
+      drawn AS (SELECT id, x, n FROM walk WHERE x < n)"""
+
+
+@query(
+    "disjoint_draws",
+    f"""WITH RECURSIVE {_permutation_sql(42)}, cut AS (SELECT *, n // 5 AS first, n // 10 AS second FROM drawn)
+        SELECT id AS doc_id, CASE WHEN x < first THEN 0 ELSE 1 END AS draw, CASE WHEN x < first THEN x ELSE x - first END AS selection_pos FROM cut WHERE x < first + second""",
+)
+def draws(spark, folder):
+    """A fifth and then a tenth of all documents, drawn without a common one."""
+    ids = inputs.table(spark, folder, "documents").select("doc_id")
+    n = ids.distinct().count()
+    return disjoint_draws(ids, [n // 5, n // 10], 42, "doc_id")
+
+
+@query("share_split", f"WITH RECURSIVE {_permutation_sql(7)} SELECT id AS doc_id, CASE WHEN x < floor(n * 0.6) THEN 'train' ELSE 'test' END AS split FROM drawn")
+def sixty_forty(spark, folder):
+    return share_split(inputs.table(spark, folder, "documents"), 0.6, 7, "doc_id")
+
+
 @query("seeded_sample")
 def seeded_sample(spark, folder):
     """The reference sample of 50 documents, drawn with seed 42 from all ids."""

@@ -137,3 +137,19 @@ def test_flags_of_all_kinds(spark):
     assert [(r.p.answer, r.p.marked_impossible) for r in rows] == [("a", True), ("b", False), ("c", True), ("plain", False)]
     results = spark.createDataFrame([("1", None), ("2", "x")], "row_id string, value string")
     assert require_complete(results, results.select("row_id")).count() == 2
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 50, 1000])
+def test_permutation_is_exact_and_draws_are_disjoint(spark, n):
+    from spanlake.operators.sampling import disjoint_draws, permuted_ids, share_split
+
+    ids = spark.range(n).select((F.col("id") * 3 - 5).alias("document_row_id"))
+    places = {seed: [r.draw_pos for r in permuted_ids(ids, seed).orderBy("document_row_id").collect()] for seed in (1, 2)}
+    assert all(sorted(p) == list(range(n)) for p in places.values()) and (n < 50 or places[1] != places[2])
+    sizes = [n // 2, n // 4]
+    rows = disjoint_draws(ids, sizes, 1).collect()
+    assert len({r.document_row_id for r in rows}) == len(rows) == sum(sizes)
+    assert [sorted(r.selection_pos for r in rows if r.draw == d) for d in (0, 1)] == [list(range(s)) for s in sizes]
+    assert sum(r.split == "train" for r in share_split(ids, 0.6, 1).collect()) == int(n * 0.6)
+    with pytest.raises(ValueError, match="exceed"):
+        disjoint_draws(ids, [n, 1], 1)
