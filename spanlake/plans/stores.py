@@ -1,22 +1,31 @@
-"""Stored sentence spans, chunks and search indexes: reused when their manifest matches the documents, rebuilt otherwise."""
+"""Stored sentence spans, chunks and search indexes: reused when their manifest matches the documents.
+
+Spans and chunks belong to one document each, so a store of them is brought up to date by document: rows lie in buckets
+of documents, and only buckets with a new, changed or vanished document are written anew. An index depends on the whole
+collection and is rebuilt.
+"""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanlake.operators.chunk import recursive_chunks
 from spanlake.operators.incremental import content_manifest
 from spanlake.operators.segment import sentence_spans
 from spanlake.operators.term_index import TermIndex, open_index, write_index
+from spanlake.session import cut_lineage
 from spanlake.sinks.tables import write_versioned
-from spanlake.sources.results import read_valid_cache
+from spanlake.sources.results import read_table, read_valid_cache
 
 SENTENCE_VERSION = "sentence-v3"
 RECURSIVE_VERSION = "legal-recursive-v1"
 INDEX_VERSION = "terms-v1"
+# Buckets of a store at least, and documents of a bucket at most when it is first built.
+BUCKETS = 64
+BUCKET_DOCUMENTS = 100_000
 
 
 def load_or_build(documents: DataFrame, path: str, version: str, build, rebuild: bool = False) -> tuple[DataFrame, bool]:
@@ -32,12 +41,65 @@ def load_or_build(documents: DataFrame, path: str, version: str, build, rebuild:
     return (built if stored is None else stored), False
 
 
+def _bucket(count: Column) -> Column:
+    return F.pmod(F.xxhash64(F.col("document_row_id").cast("string")), count).cast("int").alias("bucket")
+
+
+def _rows_of(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame | None:
+    """The rows of all buckets of a manifest (a path for each of them), None if there are none."""
+    places = manifest.where("rows_name is not null").select("rows_name", "bucket").distinct().collect()
+    return spark.read.parquet(*[f"{path}/{p.rows_name}/bucket={p.bucket}" for p in sorted(places)]) if places else None
+
+
+def load_or_update(documents: DataFrame, path: str, version: str, build, rebuild: bool = False) -> tuple[DataFrame, int]:
+    """(rows, number of buckets written). ``build`` must make the rows of each document from that document alone.
+
+    The manifest holds version and text hash of every document, its bucket, and under which name the bucket's rows were
+    written. Rows are written under a new name first, then the manifest, so readers and lost jobs never see rows and
+    manifest that do not belong together; the names a new manifest no longer mentions stay for readers of the old one.
+    """
+    spark, expected, every = documents.sparkSession, content_manifest(documents, version), documents
+    stored = None if rebuild else read_table(spark, f"{path}/manifest")
+    if stored is None or not {"bucket", "buckets", "rows_name"} <= set(stored.columns):
+        count = max(BUCKETS, documents.count() // BUCKET_DOCUMENTS)
+        stored = expected.limit(0).select("*", F.lit(0).alias("bucket"), F.lit(count).alias("buckets"), F.lit(None).cast("string").alias("rows_name"))
+        touched, kept = None, None
+    else:
+        first = stored.select("buckets").first()
+        count = first.buckets if first else BUCKETS
+        same = ["document_row_id", "version", "text_sha256"]
+        changed = expected.join(stored.select(same), same, "left_anti").select("document_row_id")
+        gone = stored.join(expected.select(same), same, "left_anti").select("document_row_id")
+        touched = [r.bucket for r in changed.unionByName(gone).select(_bucket(F.lit(count))).distinct().collect()]  # one number per bucket
+        if not touched:
+            rows = _rows_of(spark, path, stored)
+            return (build(documents) if rows is None else rows), 0
+        old = _rows_of(spark, path, stored.where(F.col("bucket").isin(touched)))
+        kept = None if old is None else old.join(stored.join(expected.select(same), same, "left_semi").select("document_row_id").distinct(), "document_row_id", "left_semi")
+        documents = documents.join(changed.distinct(), "document_row_id", "left_semi")
+    name = f"rows-{uuid.uuid4().hex}"
+    fresh = build(documents)
+    rows = fresh if kept is None else kept.select(fresh.columns).unionByName(fresh)
+    rows.withColumn("bucket", _bucket(F.lit(count))).repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/{name}")
+    written = [r.bucket for r in spark.read.parquet(f"{path}/{name}").select("bucket").distinct().collect()] if not rows.isEmpty() else []
+    own = _bucket(F.lit(count))
+    current = expected.select("*", own, F.lit(count).alias("buckets"))
+    # buckets that were not touched keep the name they have
+    before = stored.select("bucket", "rows_name").distinct()
+    if touched is not None:
+        before = before.where(~F.col("bucket").isin(touched))
+    after = spark.createDataFrame([(b, name) for b in written], "bucket int, rows_name string").unionByName(before)
+    cut_lineage(current.join(after, "bucket", "left")).write.mode("overwrite").parquet(f"{path}/manifest")
+    found = _rows_of(spark, path, spark.read.parquet(f"{path}/manifest"))
+    return (build(every) if found is None else found), len(touched) if touched is not None else len(written)
+
+
 def stored_spans(documents: DataFrame, path: str, rebuild: bool = False) -> DataFrame:
-    return load_or_build(documents, f"{path}/{SENTENCE_VERSION}", SENTENCE_VERSION, sentence_spans, rebuild)[0]
+    return load_or_update(documents, f"{path}/{SENTENCE_VERSION}", SENTENCE_VERSION, sentence_spans, rebuild)[0]
 
 
 def stored_recursive_chunks(documents: DataFrame, path: str, rebuild: bool = False) -> DataFrame:
-    return load_or_build(documents, f"{path}/{RECURSIVE_VERSION}", RECURSIVE_VERSION, recursive_chunks, rebuild)[0]
+    return load_or_update(documents, f"{path}/{RECURSIVE_VERSION}", RECURSIVE_VERSION, recursive_chunks, rebuild)[0]
 
 
 def stored_index(documents: DataFrame, chunks: DataFrame, path: str, kind: str = SENTENCE_VERSION, rebuild: bool = False) -> TermIndex:

@@ -178,3 +178,27 @@ def test_exploration_report(spark, corpus, tmp_path):
     got = cli.explore(spark, args)
     assert got["contracts"]["rows"] == 3 and got["questions"]["rows"] == 6
     assert "top_numbered" in Path(got["report"]).read_text()
+
+
+def test_store_rewrites_only_the_buckets_of_changed_documents(spark, tmp_path):
+    from spanlake.operators.segment import sentence_spans
+    from spanlake.plans import stores
+
+    path = str(tmp_path / "store")
+    texts = {i: f"One sentence {i}. And another one." for i in range(200)}
+    docs = lambda t: spark.createDataFrame(sorted(t.items()), "document_row_id long, text string")
+    load = lambda t, **k: stores.load_or_update(docs(t), path, "v1", sentence_spans, **k)
+    shown = lambda rows: sorted((r.document_row_id, r.sentence_index, r.raw_text) for r in rows.select("document_row_id", "sentence_index", "raw_text").collect())
+    rows, written = load(texts)
+    assert written > 30 and shown(rows) == shown(sentence_spans(docs(texts)))
+    files = set(rows.inputFiles())
+    assert load(texts)[1] == 0
+    changed = texts | {7: "Changed. Twice. Thrice."}
+    rows, written = load(changed)
+    assert written == 1 and len(set(rows.inputFiles()) - files) == 1 and shown(rows) == shown(sentence_spans(docs(changed)))
+    fewer = {k: v for k, v in changed.items() if k != 11} | {500: "New.", 501: ""}
+    rows, written = load(fewer)
+    assert 1 <= written <= 3 and shown(rows) == shown(sentence_spans(docs(fewer)))
+    rows, written = load({1: ""})
+    assert shown(rows) == [] and load({1: "Back again."})[0].count() == 1
+    assert shown(load(texts, rebuild=True)[0]) == shown(sentence_spans(docs(texts)))
