@@ -254,13 +254,11 @@ def near_duplicate_classes(docs: DataFrame, words: int = 5, percent: int = 80, b
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one row of each class of like texts: that with the smallest doc_id, rows without one last.
+    """``docs`` with one document of each class: that with the smallest doc_id, once.
 
-    Classes are made of rows, so rows that share a doc_id are one only if their texts are alike, and rows without
-    doc_id are linked like all others. Rows without a word stay. All columns stay, whatever their names.
+    All columns stay, whatever their names. Rows without doc_id stay. Of rows repeating the doc_id that stays, one is kept.
     """
-    rows = cut_lineage(docs.select(F.monotonically_increasing_id().alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")))
-    classes = near_duplicate_classes(rows.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text")), words, percent)
-    member = rows.select("key", F.col("row.doc_id").alias("id")).join(classes.select(F.col("doc_id").alias("key"), "component_id"), "key")
-    first = member.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("first")).select(F.col("first.key").alias("key"))
-    return rows.join(cut_lineage(first), "key", "left_semi").select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    classes = near_duplicate_classes(docs.select("doc_id", "text"), words, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("id")).distinct()
+    rows = docs.select(F.col("doc_id").alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    named = rows.where("id is not null").join(cut_lineage(classes), "id", "left_semi").dropDuplicates(["id"])
+    return named.unionByName(rows.where("id is null")).select(*[F.col("row")[c].alias(c) for c in docs.columns])

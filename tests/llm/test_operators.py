@@ -451,13 +451,6 @@ def test_pipeline_keeps_columns_of_any_name(spark):
         assert rows and all(r[n] == f"{n} of {r.doc_id}" for r in rows for n in names if n != "a.b"), name
 
 
-def test_unlike_texts_of_one_id_both_stay(spark):
-    words = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
-    rows = [(1, words(1)), (1, words(2)), (1, words(1)), (None, words(3)), (None, words(3)), (None, None), (None, None), (5, words(3)), (0, words(2)), (9, "")]
-    kept = near_dedup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted(map(tuple, kept), key=str) == sorted([(1, words(1)), (0, words(2)), (5, words(3)), (None, None), (None, None), (9, "")], key=str)
-
-
 def test_pipeline_stages_over_awkward_documents(spark, tmp_path):
     import corpus_pipeline
 
