@@ -92,6 +92,7 @@ NAMES = {
 }
 #: Templates of fewer words are notices; words of every text, which weigh least whatever the files' language.
 NOTICE_WORDS = 30
+WORD_BLOCK = 64
 COMMON = frozenset("a an and any are as at be by for from in is it its of on or that the this to under with".split())
 _TOKEN = r"[\p{L}\p{N}]+(?:\.\p{N}+)*"
 
@@ -182,20 +183,28 @@ def scan_licences(files: DataFrame, templates: dict[str, list[str]] | None = Non
     seen, total = {r["t"]: r["count"] for r in counted}, known.count()
     idf = {t: 1.0 if t in COMMON else _idf(seen.get(t, 0), total) for t in vocabulary}
     rows, each = _postings(notices, idf, threshold)
-    postings = spark.createDataFrame(rows, "t int, word string, part double, mass double, anchor boolean")
-    table = spark.createDataFrame(each, "t int, licence string, size int, least double, named array<array<string>>")
+    # a row per word of each template, and a row per template, whatever the files
+    sizes = {t: size for t, _, size, _, _ in each}
+    postings = F.broadcast(spark.createDataFrame([(*r, sizes[r[0]]) for r in rows], "t int, word string, part double, mass double, anchor boolean, size int"))
+    table = F.broadcast(spark.createDataFrame(each, "t int, licence string, size int, least double, named array<array<string>>"))
     anchors = _strings(sorted({w for _, w, _, _, anchor in rows if anchor}))
     asked = known.where(F.col("text").isNotNull() & F.arrays_overlap("known", anchors))
     shared = asked.select("f", "known", F.explode("known").alias("word")).join(postings, "word").groupBy("f", "t").agg(F.sum("mass").alias("mass"), F.max("anchor").alias("anchor"), F.first("known").alias("known"))
     named = F.forall("named", lambda group: F.arrays_overlap(group, F.col("known")))
     pairs = cut_lineage(shared.where("anchor").join(table, "t").where((F.col("mass") >= F.col("least")) & named).select("f", "t", "size"))
-    told = asked.join(pairs.select("f").distinct(), "f", "left_semi").select("f", F.posexplode(found).alias("at", "word"))
-    words = cut_lineage(told)
-    hits = words.join(postings.select("t", "word", "part"), "word").join(pairs, ["f", "t"])
-    weights = spark.createDataFrame([(w, x * x) for w, x in idf.items()], "word string, square double")
-    lengths = words.groupBy("f").agg(F.count("*").alias("length"))
+    told = cut_lineage(asked.join(pairs.select("f").distinct(), "f", "left_semi").select("f", F.posexplode(found).alias("at", "word")))
+    # a window that counts has an anchor, so it lies in the stretch of its template's size around one or in a neighbour of it
+    stretch = F.floor(F.col("at") / F.col("size"))
+    anchored = told.join(postings.where("anchor").select("t", "word", "size"), "word").join(pairs.select("f", "t"), ["f", "t"])
+    near = cut_lineage(anchored.select("f", "t", "size", F.explode(F.array(stretch - 1, stretch, stretch + 1)).alias("stretch")).distinct())
+    block = lambda at: F.floor(at / WORD_BLOCK)
+    blocks = near.select("f", F.explode(F.sequence(block(F.col("stretch") * F.col("size")), block((F.col("stretch") + 1) * F.col("size") - 1))).alias("block")).distinct()
+    words = cut_lineage(told.withColumn("block", block(F.col("at"))).join(blocks, ["f", "block"], "left_semi").select("f", "at", "word"))
+    hits = words.join(postings.select("t", "word", "part", "size"), "word").withColumn("stretch", stretch).join(near.drop("size"), ["f", "t", "stretch"])
+    weights = F.broadcast(spark.createDataFrame([(w, x * x) for w, x in idf.items()], "word string, square double"))
+    lengths = told.groupBy("f").agg(F.count("*").alias("length"))
     windows = cut_lineage(_windows(hits.join(weights, "word").select("f", "t", "at", "size", "part", "square"), lengths, threshold))
-    # the weight of every word of a file with such a window, counted over all files
+    # the weight of every word around such a window, counted over all files
     needed = words.join(windows.select("f").distinct(), "f", "left_semi")
     others = needed.select("word").distinct().join(weights, "word", "left_anti")
     # counted before they meet the few that are needed, so that tasks send each word once
