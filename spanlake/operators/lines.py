@@ -26,6 +26,8 @@ LINE_CLASSES = [
     ("num_paren", 4, r"^\(\d+\)\s+\S"),
     ("bare_letter", 4, r"^[a-z]\)\s+\S"),
 ]
+# Fixed value: how every line of a class with a pattern begins.
+_OPENING = r"^(?:EXHIBIT|Exhibit|SCHEDULE|Schedule|ANNEX|Annex|ARTICLE|Article|WHEREAS|WITNESSETH|RECITAL|NOW|SECTION|Section|\d|\(|[a-z]\))"
 # Fixed value: leading token of a line that may be a list marker.
 LINE_PREFIX = r"^(\([a-zA-Z0-9]+\)|[A-Za-z]{1,4}\.|\d+\.|[A-Za-z0-9]{1,3}\)|[•\-–—*])"
 EXHIBIT_START = r"^(?:EXHIBIT|Exhibit|exhibit|SCHEDULE|Schedule)\s+[\d.]+"
@@ -36,7 +38,9 @@ TOP_PREFIXES = 25
 
 def line_class(stripped: Column) -> Column:
     """Name of the first class a stripped line belongs to, null for body text."""
-    chain = F.when(stripped == "", F.lit(None).cast("string"))
+    # Most lines are body text, which one pattern and the test for capitals tell.
+    body = ~stripped.rlike("(?U)" + _OPENING) & ~is_all_caps(stripped)
+    chain = F.when((stripped == "") | body, F.lit(None).cast("string"))
     for name, _, pattern in LINE_CLASSES:
         chain = chain.when(is_all_caps(stripped) if pattern is None else stripped.rlike("(?U)" + pattern), F.lit(name))
     return chain

@@ -1,3 +1,6 @@
+from pyspark.sql import functions as F
+
+from spanlake.operators import lines
 from spanlake.operators.chunk import SplitRule, overlap_join, recursive_chunks, split_recursive
 from spanlake.operators.segment import sentence_spans
 
@@ -69,3 +72,16 @@ def test_overlap_join_equals_brute_force(spark):
     got = sorted((r.document_row_id, r.n, r.other_n) for r in pairs.collect())
     want = sorted((a[0], a[1], b[1]) for a in left for b in right if a[0] == b[0] and b[2] < a[3] and b[3] > a[2])
     assert got == want
+
+
+def test_lines_of_body_text_skip_the_class_patterns_and_no_class_is_lost(spark):
+    samples = ["EXHIBIT 1", "Annex B", "ARTICLE IV", "Article 3", "WHEREAS it", "RECITALS", "NOW THEREFORE we", "TERM AND RENT", "SECTION 2.1 x", "3. Term", "4.2", "(iv) x", "(a) x", "(B) x", "(12) x", "c) x", "Plain text.", "exhibit 1", "", "١.٢"]
+    known = dict.fromkeys(samples)
+    for name, _, pattern in reversed(lines.LINE_CLASSES):
+        test = lines.is_all_caps(F.col("s")) if pattern is None else F.col("s").rlike("(?U)" + pattern)
+        found = spark.createDataFrame([(s,) for s in samples if s], "s string").where(test).collect()
+        known.update({r.s: name for r in found})
+    rows = spark.createDataFrame([(s,) for s in samples], "s string").select("s", lines.line_class(F.col("s")).alias("c")).collect()
+    assert {r.s: r.c for r in rows} == known and {name for name, _, _ in lines.LINE_CLASSES} <= set(known.values())
+    plan = spark.createDataFrame([("x",)], "s string").select(lines.line_class(F.col("s")))._jdf.queryExecution().analyzed().toString()
+    assert lines._OPENING in plan

@@ -40,3 +40,24 @@ def test_lines_and_offsets(spark):
     starts = one(spark, running_starts(F.array(*[F.lit(n) for n in lengths])))
     assert starts == [sum(lengths[:i]) for i in range(1000)]
     assert one(spark, running_starts(F.array().cast("array<int>"))) == []
+
+
+def test_trimming_and_collapsing_agree_with_python_on_every_white_space(spark):
+    spaces = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+    rows = [(s, f"{s}a{s} b{s}{s}c\n{s}", f"é{s}") for s in [*spaces, "\u200b", "\ufeff", "\u180e"]]
+    shown = spark.createDataFrame(rows, "s string, t string, u string").select("*", T.strip("t").alias("b"), T.lstrip("t").alias("l"), T.rstrip("t").alias("r"), T.collapse("t").alias("c"), T.strip("u").alias("e"))
+    for r in shown.collect():
+        assert (r.b, r.l, r.r, r.e) == (r.t.strip(), r.t.lstrip(), r.t.rstrip(), r.u.strip())
+        assert r.c == " ".join(r.t.split())
+
+
+def test_term_counts_by_runs(spark):
+    tokens = F.array(*[F.lit(t) for t in ["b", "a", "b", "", "aa", "a b", "b"]], F.lit(None).cast("string"))
+    assert [tuple(e) for e in one(spark, T.term_counts(tokens))] == [("a", 1), ("a b", 1), ("aa", 1), ("b", 3)]
+    assert one(spark, T.term_counts(F.array().cast("array<string>"))) == []
+
+
+def test_running_starts_of_arrays_of_one_and_of_many_blocks(spark):
+    for n in (0, 1, 256, 257, 600):
+        lengths = F.sequence(F.lit(1), F.lit(n)) if n else F.array().cast("array<int>")
+        assert one(spark, running_starts(lengths)) == [i * (i + 1) // 2 for i in range(n)]
