@@ -5,11 +5,11 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from spanlake.operators import vectors
+from spanlake.operators import term_index, vectors
 from spanlake.operators.fusion import fuse_ranked, hierarchical_search, section_index
 from spanlake.operators.lexical import bm25_search
-from spanlake.operators.retrieve import retrieve, sectioned_context
-from spanlake.operators.vectors import dense_search, tfidf_search
+from spanlake.operators.retrieve import index_parts, retrieve, sectioned_context
+from spanlake.operators.vectors import dense_search, tfidf_search, tfidf_weights
 from spanlake.operators.term_index import open_index, write_index
 from spanlake.plans.stores import stored_index
 
@@ -158,3 +158,26 @@ def test_containment_of_needles_of_any_length(spark):
     needles = {1: "cat", 2: "a", 3: ".", 4: "brown fox jumps over the", 5: "brown fox", 6: "zz", 7: "é日", 8: "", 9: "ck brown fox jumps ov", 10: "aaaaa", 11: None, 12: "x"}
     found = containment_join(spark.createDataFrame(list(hay.items()), "h long, text string"), spark.createDataFrame(list(needles.items()), "n long, text string"), "h", "n")
     assert sorted((r.h, r.n) for r in found.collect()) == sorted((h, n) for h, t in hay.items() for n, x in needles.items() if t and x and x in t)
+
+
+def test_index_is_written_without_a_shuffle_of_postings_and_by_part(spark, chunks, queries, tmp_path):
+    path, docs = str(tmp_path), chunks.select("document_row_id", F.col("normalized_text").alias("text"))
+    words = stored_index(docs, chunks, path, parts=index_parts("bm25_sentence"))
+    assert actual(retrieve(chunks, queries, "bm25_sentence", 3, index=words)) == expected(bm25, 3)
+    assert words.ngram_counts is None and not list(tmp_path.glob("*ngrams"))
+    assert index_parts("bm25_sentence", "dense_hierarchical") == index_parts("hybrid") == ("words", "ngrams")
+    # one row per chunk, as they come, repeated chunks too
+    twice = chunks.unionByName(chunks)
+    write_index(twice, f"{path}/twice")
+    both = open_index(spark, f"{path}/twice")
+    assert both.n_chunks == both.word_counts.count() == both.ngram_counts.count() == both.places.count() == 2 * chunks.count()
+
+
+@pytest.mark.parametrize("hot_share", [1e-9, 1e-4, 10.0])
+def test_vector_lengths_do_not_depend_on_which_terms_are_frequent(spark, chunks, tmp_path, monkeypatch, hot_share):
+    monkeypatch.setattr(term_index, "HOT_SHARE", hot_share)
+    write_index(chunks, str(tmp_path), ("ngrams",))
+    found = {(r.document_row_id, r.chunk_pos): r.norm for r in open_index(spark, str(tmp_path), ("ngrams",)).places.collect()}
+    weights, _ = tfidf_weights(chunks, chunks.select("document_row_id"))
+    wanted = weights.groupBy("document_row_id", "chunk_pos").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("norm")).collect()
+    assert wanted and all(found[r.document_row_id, r.chunk_pos] == pytest.approx(r.norm) for r in wanted)
