@@ -14,6 +14,9 @@ _WS_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, r
 # The ends of line that str.splitlines recognises; "\r\n" counts once.
 LINE_END = r"(?<=[\n\x0b\x0c\x1c-\x1e\x85\u2028\u2029])|(?<=\r)(?!\n)"
 
+# White space as WS, told from printable ASCII by one comparison.
+_WS_FAST = r"[[^!-~]&&[\s\x1c-\x1f\x85\p{Z}]]"
+
 # Typographic characters and their ASCII stand-ins.
 _PLAIN_FOR = {
     "\u00a0": " ",
@@ -57,7 +60,7 @@ def rstrip(c: Column | str) -> Column:
 
 def collapse(c: Column | str) -> Column:
     """Every run of white space as one blank; single blanks are left where they are."""
-    return F.trim(F.regexp_replace(_col(c), rf"{WS}{{2,}}|[\s\x1c-\x1f\x85\p{{Z}}&&[^ ]]", " "))
+    return F.trim(F.regexp_replace(_col(c), rf"{_WS_FAST}(?:{_WS_FAST}++|(?<! ))", " "))
 
 
 def words(c: Column | str) -> Column:

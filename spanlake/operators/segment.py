@@ -89,7 +89,8 @@ def line_section(line: Column) -> Column:
 
 def may_announce_section(line: Column) -> Column:
     """Cheap necessary condition of ``line_section``: starts with a number or keyword, or has no lower case."""
-    return line.rlike(rf"^[\s\x1c-\x1f\x85\p{{Z}}{_CUT}]*+(?:\p{{Nd}}|(?i:section|article))|^[^a-z]*+$")
+    # one anchor in front of both: a failed line is not searched for another begin
+    return line.rlike(rf"^(?:[\s\x1c-\x1f\x85\p{{Z}}{_CUT}]*+(?:\p{{Nd}}|(?i:section|article))|[^a-z]*+$)")
 
 
 def _without(text: Column, *markers: str) -> Column:
@@ -214,11 +215,10 @@ def sentence_spans(documents: DataFrame, text: str = "text", carry_forward: bool
     A sentence gets the current section only if it starts exactly at a line start; with
     ``carry_forward`` every sentence gets the section current at its start.
     """
-    found = documents.select(
-        "document_row_id",
-        section_headers(F.col(text)).alias("headers"),
-        sentence_array(F.col(text), with_sections=True).alias("found"),
-    )
+    found = documents.select("document_row_id", F.col(text).alias("source_text"), sentence_array(F.col(text), with_sections=True).alias("found"))
+    # only sections some sentence lies in are read from the text again
+    used = F.exists("found", lambda s: s["section_pos"] > 0)
+    found = found.select("document_row_id", F.when(used, section_headers(F.col("source_text"))).alias("headers"), "found")
     rows = found.select("document_row_id", "headers", F.posexplode_outer("found").alias("sentence_index", "s"))
     rows = rows.where(F.col("s").isNotNull())
     known = F.lit(True) if carry_forward else F.col("s.at_line_start")

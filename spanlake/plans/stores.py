@@ -8,6 +8,8 @@ collection and is rebuilt.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +28,9 @@ INDEX_VERSION = "terms-v2"
 # Buckets of a store at least, and documents of a bucket at most when it is first built.
 BUCKETS = 64
 BUCKET_DOCUMENTS = 100_000
+# Buckets a task writes without sorting its rows.
+OPEN_BUCKETS = 4
+_WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
 
 
 def load_or_build(documents: DataFrame, path: str, version: str, build, rebuild: bool = False) -> tuple[DataFrame, bool]:
@@ -45,6 +50,17 @@ def _bucket(count: Column) -> Column:
     return F.pmod(F.xxhash64(F.col("document_row_id").cast("string")), count).cast("int").alias("bucket")
 
 
+@contextmanager
+def _open_files(spark: SparkSession, count: int) -> Iterator[None]:
+    """Writes inside keep so many partition files open in a task; only rows of further ones are sorted."""
+    before = spark.conf.get(_WRITERS)
+    spark.conf.set(_WRITERS, str(max(int(before), count)))
+    try:
+        yield
+    finally:
+        spark.conf.set(_WRITERS, before)
+
+
 def _rows_of(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame | None:
     """The rows of all buckets of a manifest (a path for each of them), None if there are none."""
     places = manifest.where("rows_name is not null").select("rows_name", "bucket").distinct().collect()
@@ -78,11 +94,15 @@ def load_or_update(documents: DataFrame, path: str, version: str, build, rebuild
         kept = None if old is None else old.join(stored.join(expected.select(same), same, "left_semi").select("document_row_id").distinct(), "document_row_id", "left_semi")
         documents = documents.join(changed.distinct(), "document_row_id", "left_semi")
     name = f"rows-{uuid.uuid4().hex}"
-    fresh = build(documents)
-    rows = fresh if kept is None else kept.select(fresh.columns).unionByName(fresh)
-    rows.withColumn("bucket", _bucket(F.lit(count))).repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/{name}")
-    written = [r.bucket for r in spark.read.parquet(f"{path}/{name}").select("bucket").distinct().collect()] if not rows.isEmpty() else []
     own = _bucket(F.lit(count))
+    # documents are dealt out by bucket before they are built, so their many rows are written where they are made,
+    # neither shuffled nor sorted
+    rows = build(documents.repartitionByRange(count, own)).withColumn("bucket", own)
+    if kept is not None:
+        rows = kept.select(rows.drop("bucket").columns).withColumn("bucket", own).unionByName(rows).repartition("bucket")
+    with _open_files(spark, OPEN_BUCKETS):
+        rows.write.partitionBy("bucket").parquet(f"{path}/{name}")
+    written = [r.bucket for r in spark.read.schema(rows.schema).parquet(f"{path}/{name}").select("bucket").distinct().collect()]
     current = expected.select("*", own, F.lit(count).alias("buckets"))
     # buckets that were not touched keep the name they have
     before = stored.select("bucket", "rows_name").distinct()

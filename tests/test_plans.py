@@ -202,3 +202,26 @@ def test_store_rewrites_only_the_buckets_of_changed_documents(spark, tmp_path):
     rows, written = load({1: ""})
     assert shown(rows) == [] and load({1: "Back again."})[0].count() == 1
     assert shown(load(texts, rebuild=True)[0]) == shown(sentence_spans(docs(texts)))
+
+
+def test_documents_are_dealt_out_by_bucket_before_their_rows_are_built(spark, tmp_path):
+    from spanlake.plans import stores
+
+    dealt = []
+
+    def build(docs):
+        dealt.append(docs.select(stores._bucket(F.lit(stores.BUCKETS)), F.spark_partition_id().alias("task")).distinct())
+        return docs.select("document_row_id", F.explode(F.split("text", " ")).alias("word"))
+
+    docs = spark.range(300).select(F.col("id").alias("document_row_id"), F.concat(F.lit("a b "), "id").alias("text"))
+    rows, written = stores.load_or_update(docs, str(tmp_path / "words"), "v", build)
+    assert rows.count() == 900 and rows.select("document_row_id").distinct().count() == 300
+    # all documents of a bucket are in one task when they are built, so no row of the store is shuffled
+    assert dealt[0].count() == written
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+    # one changed document touches one bucket; no documents make no rows
+    changed = docs.withColumn("text", F.when(F.col("document_row_id") == 7, F.lit("c")).otherwise(F.col("text")))
+    rows, written = stores.load_or_update(changed, str(tmp_path / "words"), "v", build)
+    assert (rows.count(), written) == (898, 1)
+    rows, written = stores.load_or_update(docs.limit(0), str(tmp_path / "none"), "v", build)
+    assert (rows.count(), written) == (0, 0)
