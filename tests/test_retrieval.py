@@ -181,3 +181,16 @@ def test_vector_lengths_do_not_depend_on_which_terms_are_frequent(spark, chunks,
     weights, _ = tfidf_weights(chunks, chunks.select("document_row_id"))
     wanted = weights.groupBy("document_row_id", "chunk_pos").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("norm")).collect()
     assert wanted and all(found[r.document_row_id, r.chunk_pos] == pytest.approx(r.norm) for r in wanted)
+
+
+def test_vector_lengths_are_computed_of_asked_documents_only(spark, chunks, queries, tmp_path, monkeypatch):
+    seen, whole = [], term_index._norms
+    monkeypatch.setattr(term_index, "_norms", lambda counts, *rest: seen.append({r.document_row_id for r in counts.collect()}) or whole(counts, *rest))
+    write_index(chunks, str(tmp_path), ("ngrams",))
+    assert not seen and not (tmp_path / "ngrams" / "places").exists()
+    index = open_index(spark, str(tmp_path), ("ngrams",))
+    seen.clear()
+    one = queries.where("document_row_id = 1")
+    found = actual(retrieve(chunks, one, "dense_sentence", 3, index=index))
+    assert seen == [{1}]
+    assert found == actual(tfidf_search(chunks, one, 3)) and found
