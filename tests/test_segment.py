@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from spanlake.operators import lines
+from spanlake.operators import lines, segment
 from spanlake.operators.chunk import SplitRule, overlap_join, recursive_chunks, split_recursive
 from spanlake.operators.segment import sentence_spans
 
@@ -85,3 +85,16 @@ def test_lines_of_body_text_skip_the_class_patterns_and_no_class_is_lost(spark):
     assert {r.s: r.c for r in rows} == known and {name for name, _, _ in lines.LINE_CLASSES} <= set(known.values())
     plan = spark.createDataFrame([("x",)], "s string").select(lines.line_class(F.col("s")))._jdf.queryExecution().analyzed().toString()
     assert lines._OPENING in plan
+
+
+def test_section_lines_are_found_in_the_whole_text(spark):
+    ends = ["\n", "\r", "\r\n", "\x0b", "\x85", "\u2028", "\n\n", "\n \t\n"]
+    texts = [f"{first}{a}2. Term{b}  SCOPE OF WORK {c}It ends here. Section 4 Law{a}article IV Fees{b}{last}"
+             for a in ends for b in ends for c in ends[:3] for first in ("", "Intro text.", "\ufdd2 1. Begin") for last in ("", "ÉTÉ", "x")]
+    rows = spark.createDataFrame(list(enumerate(texts)), "document_row_id long, text string")
+    marks = F.size(F.split(segment._marked(F.col("text"), True), segment._HEADER)) - 1
+    assert rows.where(marks != F.size(segment.section_headers(F.col("text")))).count() == 0
+    assert rows.where(marks > 1).count() == len(texts)
+    # lines are not taken one by one: the pattern of line ends stands for heading paragraphs only
+    patterns = [str(segment._marked(F.col("text"), sections)).count("(?<=\\r)(?!\\n)") for sections in (False, True)]
+    assert patterns[0] == patterns[1]

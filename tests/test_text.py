@@ -61,3 +61,13 @@ def test_running_starts_of_arrays_of_one_and_of_many_blocks(spark):
     for n in (0, 1, 256, 257, 600):
         lengths = F.sequence(F.lit(1), F.lit(n)) if n else F.array().cast("array<int>")
         assert one(spark, running_starts(lengths)) == [i * (i + 1) // 2 for i in range(n)]
+
+
+def test_only_untidy_sentences_are_rewritten(spark):
+    parts = ["a", "Word", " ", "  ", "\t", "\n", "\xa0", "\u2028", "\x85", ",", ".", "\u2019", "\u201c", "\u2013", "\xe9", "-"]
+    values = [x + y + z for x in parts for y in parts for z in parts] + ["", " "]
+    rows = spark.createDataFrame([(v,) for v in values], "text string")
+    changed = T.normalize_sentence("text") != F.col("text")
+    assert rows.where(F.col("text").rlike(T._UNTIDY) != changed).count() == 0
+    plain = F.regexp_replace(T.collapse(F.translate("text", "\xa0\u2018\u2019\u201c\u201d\u2013\u2014", " ''\"\"--")), r" ([,.;:!?])", "$1")
+    assert rows.where(T.normalize_sentence("text") != plain).count() == 0
