@@ -65,7 +65,9 @@ def searchable_texts(documents: DataFrame, text: str = "text") -> DataFrame:
 
 def match_gold(golds: DataFrame, spans: DataFrame, documents: DataFrame, text: str = "text") -> DataFrame:
     """Golden sentences with the matched sentence id, whole-text match flag and reason when unmatched."""
-    matched = golds.join(first_sentences(spans), ["document_row_id", "normalized_text"], "left")
+    # Only sentences that equal a golden one are grouped, so the texts of all others are not shuffled.
+    key = ["document_row_id", "normalized_text"]
+    matched = golds.join(first_sentences(spans.join(golds.select(*key).distinct(), key, "left_semi")), key, "left")
     # Only documents that have golden answers are segmented for the substring tests.
     wanted = documents.join(golds.select("document_row_id").distinct(), "document_row_id", "left_semi")
     checked = matched.join(searchable_texts(wanted, text), "document_row_id", "left")

@@ -16,7 +16,7 @@ from spanlake.operators import enrichment as E
 from spanlake.operators import gold as G
 from spanlake.operators.chunk import sentence_chunks
 from spanlake.operators.fusion import fuse_ranked
-from spanlake.operators.lexical import attach_chunks
+from spanlake.operators.lexical import attach_chunks, of_asked
 from spanlake.operators.retrieve import HIERARCHICAL_METHODS, RECURSIVE_METHODS, retrieve
 from spanlake.operators.term_index import TermIndex
 from spanlake.plans.stores import RECURSIVE_VERSION, stored_index, stored_recursive_chunks, stored_spans
@@ -52,7 +52,7 @@ def benchmark_methods(
         own = chunks[method] if isinstance(chunks, dict) else chunks
         terms = index.get(method) if isinstance(index, dict) else index
         ranked = retrieve(own, queries, method, top_k, index=terms, **(options if method in HIERARCHICAL_METHODS else {}))
-        found.append(attach_chunks(_labelled(ranked, method), own, "sentence_ids"))
+        found.append(attach_chunks(_labelled(ranked, method), of_asked(own, queries), "sentence_ids"))
     retrieved = reduce(DataFrame.unionByName, found).withColumnRenamed("query_id", "row_id")
     return C.coverage(golds, retrieved, methods, cutoffs)
 
@@ -68,7 +68,7 @@ def compare_queries(rows: DataFrame, chunks: DataFrame, records: DataFrame, cuto
     variant = F.substring_index("query_id", "|", 1)
     flat = _labelled(dense, "").withColumn("retriever", variant)
     fused = _labelled(fuse_ranked(dense, lexical, max(cutoffs)), "").withColumn("retriever", F.concat(variant, F.lit("_hybrid")))
-    retrieved = attach_chunks(flat.unionByName(fused), chunks, "sentence_ids")
+    retrieved = attach_chunks(flat.unionByName(fused), of_asked(chunks, queries), "sentence_ids")
     retrieved = retrieved.withColumn("row_id", F.substring_index("query_id", "|", -1))
     covered = C.coverage(golds, retrieved, ["baseline", "enriched", "baseline_hybrid", "enriched_hybrid"], cutoffs)
     return E.enrichment_deltas(covered, cutoffs)

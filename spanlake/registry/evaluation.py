@@ -19,8 +19,9 @@ _GOLD = f"WITH {S.SENTENCES}, {S.ROWS}, {S.golds()}"
 _BIG = "bigint"
 
 
-def _records(spark, folder) -> DataFrame:
-    return G.eligibility(inputs.evaluation_rows(spark, folder), inputs.spans(spark, folder), inputs.documents(spark, folder))
+def _records(spark, folder, rows: DataFrame | None = None) -> DataFrame:
+    rows = inputs.stored_rows(spark, folder) if rows is None else rows
+    return G.eligibility(rows, inputs.spans(spark, folder), inputs.documents(spark, folder))
 
 
 @query(
@@ -48,7 +49,7 @@ def evaluation_rows(spark, folder):
     f"{_GOLD} SELECT row_id, piece_pos, text, norm AS normalized_text, matched_sentence_id, raw_match AS raw_contract_match, reason FROM gold",
 )
 def gold_sentences(spark, folder):
-    golds = G.gold_sentences(inputs.evaluation_rows(spark, folder))
+    golds = G.gold_sentences(inputs.stored_rows(spark, folder))
     matches = G.match_gold(golds, inputs.spans(spark, folder), inputs.documents(spark, folder))
     return matches.select(
         "row_id", F.col("piece_pos").cast(_BIG).alias("piece_pos"), "text", "normalized_text", "matched_sentence_id", "raw_contract_match", "reason"
@@ -149,8 +150,8 @@ def compare_versions(spark, folder):
         FROM eligible e JOIN eval_rows r USING (row_id) WHERE gold > 0""",
 )
 def review_rows(spark, folder):
-    rows = inputs.evaluation_rows(spark, folder)
-    return G.review_rows(_records(spark, folder), rows).select("row_id", "question", "match_status")
+    rows = inputs.stored_rows(spark, folder)
+    return G.review_rows(_records(spark, folder, rows), rows).select("row_id", "question", "match_status")
 
 
 # ---- coverage ---------------------------------------------------------------------------------------------
@@ -160,8 +161,8 @@ _CUTS = (1, 10, 30)
 
 
 def _covered(spark, folder) -> DataFrame:
-    rows = inputs.evaluation_rows(spark, folder)
-    return benchmark_methods(rows, inputs.chunks(spark, folder), _records(spark, folder), _METHODS, 30, _CUTS, index=inputs.index(spark, folder))
+    rows = inputs.stored_rows(spark, folder)
+    return benchmark_methods(rows, inputs.chunks(spark, folder), _records(spark, folder, rows), _METHODS, 30, _CUTS, index=inputs.index(spark, folder))
 
 
 def _covered_sql() -> str:
@@ -308,10 +309,11 @@ def text_similarity(spark, folder):
 @query("enrichment_eval")
 def enrichment_eval(spark, folder):
     """Base against enriched queries, dense and fused, over all eligible rows."""
-    rows = inputs.evaluation_rows(spark, folder).withColumn(
+    stored = inputs.stored_rows(spark, folder)
+    rows = stored.withColumn(
         "enriched_query", E.enriched_query("question", E.offline_terms("category", "question", "category_description"))
     )
-    return compare_queries(rows, inputs.chunks(spark, folder), _records(spark, folder), index=inputs.index(spark, folder))
+    return compare_queries(rows, inputs.chunks(spark, folder), _records(spark, folder, stored), index=inputs.index(spark, folder))
 
 
 # ---- answer scoring ---------------------------------------------------------------------------------------

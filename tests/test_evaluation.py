@@ -153,3 +153,28 @@ def test_permutation_is_exact_and_draws_are_disjoint(spark, n):
     assert sum(r.split == "train" for r in share_split(ids, 0.6, 1).collect()) == int(n * 0.6)
     with pytest.raises(ValueError, match="exceed"):
         disjoint_draws(ids, [n, 1], 1)
+
+
+def test_only_sentences_that_equal_a_golden_one_are_grouped(spark, monkeypatch):
+    from spanlake.operators import gold
+
+    docs = spark.createDataFrame([(1, "One fish. Two fish. One fish."), (2, "One fish. Blue fish.")], "document_row_id long, text string")
+    spans = spark.createDataFrame([(1, 0, "One fish."), (1, 1, "Two fish."), (1, 2, "One fish."), (2, 0, "One fish."), (2, 1, "Blue fish.")], "document_row_id long, sentence_index int, normalized_text string")
+    golds = spark.createDataFrame([("a", 1, 0, 0, "One fish.", "One fish."), ("b", 2, 0, 0, "Red fish.", "Red fish.")], "row_id string, document_row_id long, answer_pos int, piece_pos int, text string, normalized_text string")
+    seen, whole = [], gold.first_sentences
+    monkeypatch.setattr(gold, "first_sentences", lambda rows: seen.extend((r.document_row_id, r.sentence_index) for r in rows.collect()) or whole(rows))
+    found = {r.row_id: r.matched_sentence_id for r in gold.match_gold(golds, spans, docs).collect()}
+    assert sorted(seen) == [(1, 0), (1, 2)] and found == {"a": "1:s:0", "b": None}
+
+
+def test_evaluation_rows_are_found_once_for_coverage(spark, monkeypatch):
+    from spanlake.registry import evaluation, inputs
+
+    calls, given = [], object()
+    monkeypatch.setattr(inputs, "evaluation_rows", lambda *a: calls.append(a) or given)
+    monkeypatch.setattr(inputs, "cut_lineage", lambda rows: rows)
+    for name in ("spans", "documents", "chunks", "index"):
+        monkeypatch.setattr(inputs, name, lambda *a: None)
+    monkeypatch.setattr(evaluation.G, "eligibility", lambda rows, *a: rows)
+    monkeypatch.setattr(evaluation, "benchmark_methods", lambda rows, chunks, records, *a, **b: (rows, records))
+    assert evaluation._covered(spark, "x") == (given, given) and len(calls) == 1

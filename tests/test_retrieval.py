@@ -5,9 +5,9 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from spanlake.operators import term_index, vectors
+from spanlake.operators import fusion, term_index, vectors
 from spanlake.operators.fusion import fuse_ranked, hierarchical_search, section_index
-from spanlake.operators.lexical import bm25_search
+from spanlake.operators.lexical import bm25_search, of_asked
 from spanlake.operators.retrieve import index_parts, retrieve, sectioned_context
 from spanlake.operators.vectors import dense_search, tfidf_search, tfidf_weights
 from spanlake.operators.term_index import open_index, write_index
@@ -194,3 +194,23 @@ def test_vector_lengths_are_computed_of_asked_documents_only(spark, chunks, quer
     found = actual(retrieve(chunks, one, "dense_sentence", 3, index=index))
     assert seen == [{1}]
     assert found == actual(tfidf_search(chunks, one, 3)) and found
+
+
+@pytest.mark.parametrize("method, scorer", [("bm25_sentence", bm25_search), ("dense_sentence", tfidf_search)])
+def test_terms_are_counted_of_asked_documents_only(spark, chunks, queries, tmp_path, monkeypatch, method, scorer):
+    write_index(chunks, str(tmp_path), index_parts(method))
+    index = open_index(spark, str(tmp_path), index_parts(method))
+    seen, whole = [], term_index._counted
+    monkeypatch.setattr(term_index, "_counted", lambda tokens, part: seen.append({r.document_row_id for r in tokens.collect()}) or whole(tokens, part))
+    one = queries.where("document_row_id = 1")
+    found = actual(retrieve(chunks, one, method, 3, index=index))
+    assert seen == [{1}] and found == actual(scorer(chunks, one, 3)) and found
+
+
+def test_only_sections_of_asked_documents_are_ranked(chunks, queries, monkeypatch):
+    seen = []
+    one = queries.where("document_row_id = 1")
+    wanted = actual(hierarchical_search(chunks, queries, k=10, leaf_k=2, top_sections=2))
+    monkeypatch.setattr(fusion, "of_asked", lambda rows, q: seen.append({r.document_row_id for r in of_asked(rows, q).collect()}) or of_asked(rows, q))
+    found = actual(hierarchical_search(chunks, one, k=10, leaf_k=2, top_sections=2))
+    assert seen == [{1}] and found and found == {key: rows for key, rows in wanted.items() if key in found}
