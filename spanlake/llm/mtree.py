@@ -15,6 +15,7 @@ never compared with one another.
 from __future__ import annotations
 
 import heapq
+import math
 import pickle
 
 import numpy as np
@@ -239,15 +240,17 @@ def build_index(vectors: DataFrame, k: int) -> tuple[DataFrame, dict[int, np.nda
     paged = placed.join(sized, ["dim", "cell"]).select("dim", "cell", page.alias("page"), "vec_id", "v", "apart")
     dealt = paged.repartition("dim", "cell", "page").sortWithinPartitions("dim", "cell", "page", "vec_id")
     index = cut_lineage(dealt.mapInArrow(_plant, "dim int, cell int, page long, reach double, tree binary"))
-    return index, centres, index.select("dim", "cell", "page", "reach")
+    # stored apart from the trees, so that its size is known to be small
+    return index, centres, cut_lineage(index.select("dim", "cell", "page", "reach"))
 
 
 def _choose_cells(centres: dict[int, np.ndarray], radii: dict[tuple[int, int], float], only_best: bool):
-    """Cells of each query (q, v, floor), with its product with their centre and its length: the best cell, or all whose ball reaches the floor."""
-    schema = pa.schema([("q", pa.int64()), ("v", pa.list_(pa.int64())), ("floor", pa.float64()), ("dim", pa.int32()), ("cell", pa.int32()), ("dot", pa.float64()), ("length", pa.float64())])
+    """Cells of each query (q, v, floor and any further columns), with its product with their centre and its length: the best cell, or all whose ball reaches the floor."""
+    found = [("dim", pa.int32()), ("cell", pa.int32()), ("dot", pa.float64()), ("length", pa.float64())]
 
     def run(batches):
         for batch in batches:
+            schema = pa.schema([*batch.schema, *map(pa.field, *zip(*found, strict=True))])
             floors = batch.column(2).to_numpy(zero_copy_only=False)
             dims = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
             for dim in np.unique(dims).tolist():
@@ -276,28 +279,36 @@ def _search(k: int):
     schema = pa.schema([("q", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def run(batches):
-        for group in sorted_groups(batches, ["dim", "cell", "page", "block"]):
-            trees = [t for t in group.column("tree").to_pylist() if t is not None]
-            if not trees:
+        place = tree = None
+        for group in sorted_groups(batches, ["dim", "cell", "page", "lane", "block"]):
+            here = tuple(group.column(c)[0].as_py() for c in ("dim", "cell", "page", "lane"))
+            if group.column("block")[0].as_py() < 0:  # the page itself, which comes before its queries
+                place, tree = here, group.column("tree")[0].as_py()
                 continue
-            tree, dim = pickle.loads(trees[0]), group.column("dim")[0].as_py()
-            asked = group.filter(pc.is_valid(group.column("q")))
-            if not asked.num_rows:
+            if place != here:
                 continue
-            query, scores, ids = tree.search(_matrix(asked.column("v"), dim), k, asked.column("floor").to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array(asked.column("q").to_numpy()[query]), pa.array(ids), pa.array(scores)], schema=schema)
+            if isinstance(tree, bytes):
+                tree = pickle.loads(tree)
+            query, scores, ids = tree.search(_matrix(group.column("v"), here[0]), k, group.column("floor").to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(group.column("q").to_numpy()[query]), pa.array(ids), pa.array(scores)], schema=schema)
 
     return run
 
 
-def _ask(index: DataFrame, chosen: DataFrame, blocks: int, k: int) -> DataFrame:
-    """Search the pages that ``chosen`` (q, v, floor, dim, cell, page) names."""
+def _lanes(blocks: int, pages: int, partitions: int) -> int:
+    """Tasks that share the queries of a page, each with a copy of it: as many as use all tasks, and else few compared with the blocks of queries."""
+    return min(blocks, max(-(-2 * partitions // max(pages, 1)), math.isqrt(blocks - 1) + 1))
+
+
+def _ask(index: DataFrame, chosen: DataFrame, blocks: int, lanes: int, k: int) -> DataFrame:
+    """Search the pages that ``chosen`` (q, v, floor, dim, cell, page) names, a block of queries at a time."""
     block = F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int")
-    asked = chosen.select("dim", "cell", "page", block.alias("block"), "q", "v", "floor", F.lit(None).cast("binary").alias("tree"))
+    asked = chosen.select("dim", "cell", "page", (block % lanes).alias("lane"), block.alias("block"), "q", "v", "floor", F.lit(None).cast("binary").alias("tree"))
     nothing = {"q": "long", "v": "array<long>", "floor": "double"}
-    stored = index.select("dim", "cell", "page", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), *[F.lit(None).cast(t).alias(c) for c, t in nothing.items()], "tree")
-    keys = ["dim", "cell", "page", "block"]
-    both = asked.unionByName(stored).repartition(*keys).sortWithinPartitions(*keys)
+    lane = F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane")
+    stored = index.select("dim", "cell", "page", lane, F.lit(-1).alias("block"), *[F.lit(None).cast(t).alias(c) for c, t in nothing.items()], "tree")
+    keys = ["dim", "cell", "page", "lane"]
+    both = asked.unionByName(stored).repartition(*keys).sortWithinPartitions(*keys, "block")
     return both.mapInArrow(_search(k), "q long, vec_id long, score long")
 
 
@@ -312,19 +323,24 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     radii = {(r.dim, r.cell): r.radius for r in table.groupBy("dim", "cell").agg(F.max("reach").alias("radius")).collect()}  # MAX_CELLS rows and one per further length
     groups = cut_lineage(queries.groupBy("v").agg(F.min("vec_id").alias("q")))
     blocks = max(1, -(-groups.count() // QUERY_BLOCK))
+    lanes = _lanes(blocks, table.count(), int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     asked = groups.select("q", "v", F.lit(float("-inf")).alias("floor"))
-    columns = "q long, v array<long>, floor double, dim int, cell int, dot double, length double"
-    pages = table.groupBy("dim", "cell").agg(F.sort_array(F.collect_list("page")).alias("pages"))
-    home = asked.mapInArrow(_choose_cells(centres, radii, True), columns).join(pages, ["dim", "cell"])
+    columns = "dim int, cell int, dot double, length double"
+    # A row for each page: of PAGE_ROWS vectors, or the last of a ring or of a length. A query meets up to all cells, which
+    # Spark's estimate doesn't see, so the pages are named as the side to broadcast.
+    pages = F.broadcast(table.groupBy("dim", "cell").agg(F.sort_array(F.collect_list("page")).alias("pages")))
+    home = asked.mapInArrow(_choose_cells(centres, radii, True), f"q long, v array<long>, floor double, {columns}").join(pages, ["dim", "cell"])
     one = F.element_at("pages", (F.pmod(F.xxhash64("q"), F.size("pages")) + 1).cast("int"))
     home = cut_lineage(home.select("q", "v", "floor", "dim", "cell", one.alias("page")))
-    first = cut_lineage(_ask(index, home, blocks, k + 1))
+    first = cut_lineage(_ask(index, home, blocks, lanes, k + 1))
     reached = first.groupBy("q").agg(F.count("*").alias("n"), F.min("score").alias("least"))
-    floors = groups.join(reached, "q", "left").select("q", "v", F.when(F.col("n") > k, F.col("least").cast("double")).otherwise(float("-inf")).alias("floor"))
-    others = floors.mapInArrow(_choose_cells(centres, radii, False), columns).join(table, ["dim", "cell"])
+    # a query that has no page at home has none anywhere
+    floor = F.when(F.col("n") > k, F.col("least").cast("double")).otherwise(float("-inf")).alias("floor")
+    floors = home.drop("floor").join(reached, "q", "left").select("q", "v", floor, F.col("cell").alias("home_cell"), F.col("page").alias("home_page"))
+    others = floors.mapInArrow(_choose_cells(centres, radii, False), f"q long, v array<long>, floor double, home_cell int, home_page long, {columns}")
+    others = others.join(F.broadcast(table), ["dim", "cell"]).where((F.col("cell") != F.col("home_cell")) | (F.col("page") != F.col("home_page")))
     others = others.where(F.col("dot") + F.col("length") * F.col("reach") * (1 + 1e-9) + 1e-6 >= F.col("floor"))
-    others = others.join(home.select("q", "dim", "cell", "page"), ["q", "dim", "cell", "page"], "left_anti")
-    found = first.unionByName(_ask(index, others, blocks, k + 1))
+    found = first.unionByName(_ask(index, others, blocks, lanes, k + 1))
     order = W.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     best = cut_lineage(found.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k + 1).drop("_n"))
     each = queries.join(groups, "v").select(F.col("vec_id").alias("query_id"), "q")

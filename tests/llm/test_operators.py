@@ -197,6 +197,28 @@ def test_top_k_equals_brute_force(spark, copies, monkeypatch):
     assert mtree.top_k(vectors.limit(0), vectors.limit(0), 20).count() == 0
 
 
+def test_exact_topk_broadcasts_pages_and_never_the_cells_of_queries(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(3000)]
+    vectors = mtree.cut_lineage(mtree.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))
+    monkeypatch.setattr(mtree, "PAGE_ROWS", 300)
+    monkeypatch.setattr(mtree, "QUERY_BLOCK", 4)
+    plans, cut = [], mtree.cut_lineage
+    monkeypatch.setattr(mtree, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().sparkPlan().toString()) or cut(df))
+    found = mtree.top_k(vectors, vectors.where("vec_id % 100 = 0"), 5).orderBy("query_id", "rank").collect()
+    joins = [line for plan in plans for line in plan.splitlines() if "BroadcastHashJoin" in line]
+    assert joins and not any("BuildLeft" in line for line in joins)
+    matrix = np.floor(np.array([v for _, v in rows]) * 64).astype(int)
+    for query in range(0, 3000, 100):
+        scores = matrix @ matrix[query]
+        best = [i for i in np.lexsort((np.arange(3000), -scores)) if i != query][:5]
+        assert [(r.vec_id, r.score) for r in found if r.query_id == query] == [(i, scores[i]) for i in best]
+
+
+def test_pages_are_copied_for_more_tasks_or_many_queries_only():
+    assert [mtree._lanes(*x) for x in ((1, 5, 12), (16, 222, 24), (16, 4, 12), (600, 6000, 600), (600, 0, 12))] == [1, 4, 6, 25, 25]
+
+
 def test_pages_keep_the_article_only(spark):
     source = spark.createDataFrame(
         [(1, "<html><body><header><h1>Site</h1></header><nav><a href=1>Home</a></nav><div class='cookie-notice'>We use cookies.</div><main><article><h1>Title</h1><p>First  para &amp; more\nwords enough.</p><p>Two <a href=2>link</a> here.<aside>Related</aside>"
