@@ -2,16 +2,19 @@ import math
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from spanlake.operators import fusion, term_index, vectors
+from spanlake.operators import fusion, ngram_counts, term_index, vectors
 from spanlake.operators.fusion import fuse_ranked, hierarchical_search, section_index
-from spanlake.operators.lexical import bm25_search, of_asked
+from spanlake.operators.lexical import bm25_search, chunk_terms, document_frequencies, of_asked
 from spanlake.operators.retrieve import index_parts, retrieve, sectioned_context
-from spanlake.operators.vectors import dense_search, tfidf_search, tfidf_weights
+from spanlake.operators.segment import sentence_spans
+from spanlake.operators.vectors import dense_search, ngram_terms, tfidf_search, tfidf_weights
 from spanlake.operators.term_index import open_index, write_index
-from spanlake.plans.stores import stored_index
+from spanlake.plans.stores import stored_index, stored_spans
+from spanlake.session import write_table
 
 TEXTS = {
     (1, 0): "Assignment requires consent.",
@@ -196,6 +199,51 @@ def test_vector_lengths_are_computed_of_asked_documents_only(spark, chunks, quer
     assert found == actual(tfidf_search(chunks, one, 3)) and found
 
 
+@pytest.mark.parametrize("method", ["bm25_sentence", "dense_sentence", "hybrid"])
+def test_a_collection_counted_in_slices_is_searched_alike(spark, chunks, queries, tmp_path, monkeypatch, method):
+    wanted = actual(retrieve(chunks, queries, method, 3))
+    monkeypatch.setattr(ngram_counts, "SLICE_ENTRIES", 10)
+    write_index(chunks, str(tmp_path))
+    index = open_index(spark, str(tmp_path))
+    assert index.n_slices > 1 and index.word_slices > 1
+    grams = chunk_terms(chunks, ngram_terms)
+    slices = index.ngram_terms.select("slice", ngram_counts.slice_of("term", index.n_slices).alias("own")).distinct().collect()
+    assert len(slices) > 1 and all(r.slice == r.own for r in slices)
+    counted = {(r.term, r.df) for r in index.ngram_terms.collect()}
+    assert counted == {(r.term, r.df) for r in document_frequencies(grams).collect()} and len(counted) == index.ngram_terms.count()
+    assert actual(retrieve(chunks, queries, method, 3, index=index)) == wanted
+
+
+def test_terms_are_counted_once_in_a_chunk_and_portions_add_up():
+    lists = [["b", "a", "b", "a"], [], None, ["a", None, "b"], ["ä", "b", "a"]]
+    wanted = {"a": 3, "b": 3, "ä": 1, "b a": 2, "a b": 1, "ä b": 1}
+    column = pa.array(lists, pa.list_(pa.string()))
+    for slices in (1, 3):
+        found = [(t, int(n)) for own in range(slices) for terms, counts in ngram_counts.count_chunks(column, slices, own) for t, n in zip(terms.to_pylist(), counts, strict=True)]
+        assert sorted(found) == sorted(wanted.items())
+    assert [len(t) for t, _ in ngram_counts.count_chunks(column[1:3])] == [0, 0]
+
+
+def test_what_a_stored_table_shuffled_is_removed(spark, tmp_path):
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {b.name() for b in (blocks.apply(i) for blocks in [manager.getAllBlocks()] for i in range(blocks.size())) if b.isShuffle()}
+    before = files()
+    rows = spark.range(2000).withColumn("k", F.col("id") % 7).groupBy("k").count()
+    write_table(rows, str(tmp_path / "t"))
+    assert not files() - before
+    assert spark.read.parquet(str(tmp_path / "t")).count() == rows.count() == 7
+
+
+def test_stored_spans_are_those_of_the_texts(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "SECTION 1. Terms\nA  plain sentence. Another one , with\u00a0space."), (2, None), (3, "")], "document_row_id int, text string")
+    kept, wanted = stored_spans(docs, str(tmp_path)), sentence_spans(docs)
+    assert kept.columns == wanted.columns and kept.count() > 1
+    assert sorted(map(str, kept.collect())) == sorted(map(str, wanted.collect()))
+    stored = spark.read.parquet(*map(str, tmp_path.glob("*/rows-*")))
+    assert "sentence_id" not in stored.columns and 0 < stored.where("normalized_text is null").count() < stored.count()
+    assert stored_spans(docs, str(tmp_path)).count() == kept.count()
+
+
 @pytest.mark.parametrize("method, scorer", [("bm25_sentence", bm25_search), ("dense_sentence", tfidf_search)])
 def test_terms_are_counted_of_asked_documents_only(spark, chunks, queries, tmp_path, monkeypatch, method, scorer):
     write_index(chunks, str(tmp_path), index_parts(method))
